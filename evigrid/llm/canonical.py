@@ -5,6 +5,8 @@ from __future__ import annotations
 import re
 import unicodedata
 
+import regex
+
 #: Labels of the fields that questions of the corpus may be written in.
 LABELS = ("claim", "unit", "source", "period", "asked by")
 
@@ -14,6 +16,9 @@ _SIGN = re.compile(rf"(?<![\w.,])[{_DASHES}](?=\.?\d)")
 _THOUSANDS = re.compile(r"(?<![\d.,])\d{1,3}(?:[,'’]\d{3})+(?!\d)")
 _DECIMAL = re.compile(rf"(?<=\d)[.,](?=\d)|(?<![^\s{_MINUS}])\.(?=\d)")
 _REST = re.compile(r"[^a-z0-9\ue000\ue001]+")
+_REST_ALL = regex.compile(rf"[^\p{{L}}\p{{N}}\p{{M}}{_MINUS}{_POINT}]+")
+_LINE_ENDS = regex.compile(r"[\t\r\x0b\x0c\x1c-\x1f\x85\p{Zl}\p{Zp}]")
+_UNSEEN = regex.compile(r"[\p{Cf}\p{Co}\u034f\ufe00-\ufe0f]|[^\P{Cc}\n]")
 _PART = re.compile(r"^\W*([^\W\d_][\w ]{0,30}?)\s*[:=]\s*(.+?)\s*$", re.S)
 
 
@@ -21,14 +26,9 @@ def plain(text: str) -> str:
     """Compatibility form, folded case, without invisible characters."""
     if text.isascii():
         return re.sub(r"[\x00-\x08\x0e-\x1f\x7f]", "", text).casefold()
-    kept = []
-    for c in unicodedata.normalize("NFKC", text):
-        kind = unicodedata.category(c)
-        if kind in ("Cc", "Zl", "Zp"):
-            kept.append(c if c == "\n" else " " if c.isspace() else "")
-        elif kind not in ("Cf", "Co") and not "︀" <= c <= "️" and c != "͏":
-            kept.append(c)
-    return unicodedata.normalize("NFKC", "".join(kept).casefold())
+    text = unicodedata.normalize("NFKC", text)
+    text = _UNSEEN.sub("", _LINE_ENDS.sub(" ", text))
+    return unicodedata.normalize("NFKC", text.casefold())
 
 
 def flat(text: str) -> str:
@@ -36,10 +36,7 @@ def flat(text: str) -> str:
     text = _SIGN.sub(_MINUS, text)
     text = _THOUSANDS.sub(lambda m: re.sub(r"\D", "", m[0]), text)
     text = _DECIMAL.sub(_POINT, text)
-    if text.replace(_MINUS, "").replace(_POINT, "").isascii():
-        text = _REST.sub("", text)
-    else:
-        text = "".join(c for c in text if c.isalnum() or c == _MINUS or c == _POINT or unicodedata.category(c)[0] == "M")
+    text = (_REST if text.isascii() else _REST_ALL).sub("", text)
     return text.replace(_MINUS, "-").replace(_POINT, ".")
 
 

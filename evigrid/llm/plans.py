@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from evigrid.llm import consensus, duplicates, leaks, mixture, spam
+from evigrid.llm import consensus, duplicates, leaks, mixture, pairs, spam, truncation
 from evigrid.session import Scratch, table
 
 
@@ -20,6 +20,56 @@ def p1_raw_groups(spark: SparkSession, d: str) -> DataFrame:
     return duplicates.raw_groups(table(spark, d, "blocks"), "id", "question")
 
 
+def p5_values(spark: SparkSession, d: str) -> DataFrame:
+    """Evidence of traces and quotes of reports: (tab, record_id, step_pos, item_pos, source, text)."""
+    steps = table(spark, d, "gaia_traces").select(F.lit("gaia_traces").alias("tab"), F.col("trace_id").alias("record_id"), F.posexplode("trace.steps").alias("s", "step"))
+    evidence = steps.select("tab", "record_id", (F.col("s") + 1).alias("step_pos"), F.col("step.tool").alias("source"), F.posexplode("step.evidence").alias("i", "text"))
+    quotes = table(spark, d, "quote_reports").select(
+        F.lit("quote_reports").alias("tab"), F.col("report_id").cast("string").alias("record_id"), F.lit(0).alias("step_pos"), F.lit(0).alias("item_pos"), F.col("model").alias("source"), F.col("quote").alias("text")
+    )
+    columns = ["tab", "record_id", "step_pos", "item_pos", "source", "text"]
+    return evidence.withColumn("item_pos", F.col("i") + 1).select(*columns).unionByName(quotes.select(*columns)).where("trim(text) <> ''").distinct()
+
+
+def p5_graded(spark: SparkSession, d: str) -> DataFrame:
+    return truncation.grade(p5_values(spark, d))
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return p5_graded(spark, d).where("is_cut").select("tab", "record_id", "step_pos", "item_pos").distinct()
+
+
+def p5_rates(spark: SparkSession, d: str) -> DataFrame:
+    return truncation.cut_rates(p5_graded(spark, d))
+
+
+def p5_limits(spark: SparkSession, d: str) -> DataFrame:
+    values = p5_values(spark, d).withColumn("source", F.coalesce("source", F.lit("")))
+    graded = values.select("tab", "source", F.length("text").alias("length"), truncation.ending(F.col("text")).alias("ending"))
+    return truncation.length_posteriors(graded).where("is_limit").drop("is_limit")
+
+
+def p6_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs of blocks and proposals (those without a block keep a null question), and of traces."""
+    questions = table(spark, d, "blocks").groupBy(F.col("id").alias("block_id")).agg(F.max_by("question", F.struct("loaded_at", "question")).alias("question"))
+    proposals = table(spark, d, "proposals").select("block_id", "pos", F.col("content").alias("answer")).distinct().join(questions, "block_id", "left")
+    traces = table(spark, d, "gaia_traces").select(F.lit("gaia_traces").alias("tab"), F.col("trace_id").alias("record_id"), F.lit(0).alias("pos"), "question", "answer")
+    return proposals.select(F.lit("proposals").alias("tab"), F.col("block_id").alias("record_id"), "pos", "question", "answer").unionByName(traces).distinct()
+
+
+def p6_defects(spark: SparkSession, d: str) -> DataFrame:
+    rows = Scratch(spark).cut(p6_pairs(spark, d))
+    return pairs.classify(rows, pairs.train(pairs.training_sample(rows)))
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return p6_defects(spark, d).select("tab", "record_id", "pos", "defect").distinct()
+
+
+def p6_report(spark: SparkSession, d: str) -> DataFrame:
+    return p6_defects(spark, d).groupBy("tab", "defect").agg(F.count("*").alias("n_pairs"))
+
+
 def _votes(spark: SparkSession, d: str, scratch: Scratch) -> DataFrame:
     return scratch.cut(consensus.last_votes(table(spark, d, "judge_runs"), "block_id", "model", "verdict", "recorded_at"))
 
@@ -95,12 +145,18 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    p1_found, p1_collapsed, p1_raw_groups, p7_found, p7_agreement, p7_reliability, p7_votes,
+    p1_found, p1_collapsed, p1_raw_groups, p5_found, p5_values, p5_rates, p5_limits, p5_graded, p6_found, p6_pairs, p6_defects, p6_report, p7_found, p7_agreement, p7_reliability, p7_votes,
     p8_found, p8_spans, p8_clean, p9_mix, p9_shares, p9_whole_corpus_shares, p10_found, p10_evidence,
 )}
 
 ORACLE = {
     "p1_raw_groups": "SELECT question AS text, count(DISTINCT id) AS n_ids, min(id) AS first_id FROM blocks WHERE question IS NOT NULL GROUP BY 1",
+    "p5_values": """SELECT DISTINCT 'gaia_traces' AS tab, trace_id AS record_id, CAST(s AS INT) AS step_pos, CAST(i AS INT) AS item_pos, trace.steps[s].tool AS source, trace.steps[s].evidence[i] AS text
+FROM (SELECT trace_id, trace, s, unnest(range(1, len(trace.steps[s].evidence) + 1)) AS i FROM (SELECT trace_id, trace, unnest(range(1, len(trace.steps) + 1)) AS s FROM gaia_traces))
+WHERE trim(trace.steps[s].evidence[i], ' ') <> ''
+UNION SELECT 'quote_reports', CAST(report_id AS VARCHAR), 0, 0, model, quote FROM quote_reports WHERE trim(quote, ' ') <> ''""",
+    "p6_pairs": """SELECT DISTINCT 'proposals' AS tab, p.block_id AS record_id, p.pos, b.question, p.content AS answer FROM proposals p LEFT JOIN (SELECT DISTINCT id, question FROM blocks) b ON b.id = p.block_id
+UNION SELECT 'gaia_traces', trace_id, 0, question, answer FROM gaia_traces""",
     "p7_votes": """SELECT block_id, model, verdict FROM (
   SELECT block_id, model, upper(regexp_replace(verdict, '^\\s+|\\s+$', '', 'g')) AS verdict,
     row_number() OVER (PARTITION BY block_id, model ORDER BY recorded_at DESC, id DESC) AS n FROM judge_runs)
