@@ -55,39 +55,60 @@ def direct_orphans(ends: DataFrame, states: DataFrame) -> DataFrame:
     ).select("group_id", "record_id", "side", "key", "loaded_at", "reason")
 
 
-def cascade_orphans(edges: DataFrame, direct: DataFrame, max_rounds: int = 10_000) -> DataFrame:
+def _apply(keys: DataFrame, links: DataFrame, power: int) -> DataFrame:
+    """Where links lead from keys (group_id, key, depth), ``power`` deeper; the smallest depth of each."""
+    from_key = keys.select("group_id", F.col("key").alias("src"), "depth")
+    return links.join(from_key, ["group_id", "src"]).groupBy("group_id", F.col("dst").alias("key")).agg((F.min("depth") + power).alias("depth"))
+
+
+def _doubled_size(links: DataFrame) -> int:
+    """How many pairs links of links are at most, from degrees, before any is made."""
+    out = links.groupBy("group_id", F.col("src").alias("k")).agg(F.count("*").alias("o"))
+    into = links.groupBy("group_id", F.col("dst").alias("k")).agg(F.count("*").alias("i"))
+    return out.join(into, ["group_id", "k"]).agg(F.sum(F.col("o") * F.col("i"))).head()[0] or 0
+
+
+def cascade_orphans(edges: DataFrame, direct: DataFrame, growth: float = 3.0) -> DataFrame:
     """All orphaned ends, direct (depth 0) and inherited (depth of the shortest way from a direct one).
 
     edges: (group_id, record_id, src, dst, loaded_at); direct: as above. A record with a direct
     orphan passes its state to the key it points to (dst) and thereby to every record that starts
-    there. Each round semi-joins the records with the keys reached last; keys are marked once, so
-    cycles end. Rounds run until no new key is reached; each is a written table, and only the
-    frontier, never the graph, is written again.
+    there, until nothing new is reached; cycles end, as a key counts once. Chains may be long, so
+    links are squared after each round, which halves the rounds that are left, as long as the square
+    (measured beforehand by degrees) has at most ``growth`` times as many pairs as the links;
+    beyond that, rounds go on from the frontier with the last power. Every round is a written table.
 
     Result: (group_id, record_id, side, key, loaded_at, reason, kind, depth); reason of inherited
     rows is ``inherited``, side is ``src``.
     """
     scratch = Scratch(edges.sparkSession)
-    links = scratch.cut(edges.where("src IS NOT NULL AND group_id IS NOT NULL").select("group_id", "record_id", "src", "dst", "loaded_at").distinct())
+    records = scratch.cut(edges.where("src IS NOT NULL AND group_id IS NOT NULL").select("group_id", "record_id", "src", "dst", "loaded_at").distinct())
     bad = direct.select("group_id", "record_id").distinct()
-    frontier = scratch.cut(
-        edges.join(bad, ["group_id", "record_id"], "left_semi").where("dst IS NOT NULL").select("group_id", F.col("dst").alias("key")).distinct().withColumn("depth", F.lit(1))
-    )
-    reached, rounds = frontier, 0
-    while rounds < max_rounds and not frontier.isEmpty():
-        rounds += 1
-        step = (
-            links.join(frontier.select("group_id", F.col("key").alias("src")), ["group_id", "src"], "left_semi")
-            .where("dst IS NOT NULL")
-            .select("group_id", F.col("dst").alias("key"))
-            .distinct()
-            .join(reached.select("group_id", "key"), ["group_id", "key"], "left_anti")
-            .withColumn("depth", F.lit(rounds + 1))
-        )
-        frontier = scratch.cut(step)
-        reached = edges.sparkSession.read.schema(frontier.schema).parquet(*scratch.paths[1:])
+    seeds = edges.join(bad, ["group_id", "record_id"], "left_semi").where("dst IS NOT NULL AND group_id IS NOT NULL").select("group_id", F.col("dst").alias("key")).distinct()
+    links = scratch.cut(records.where("dst IS NOT NULL").select("group_id", "src", "dst").distinct())
+    reached = scratch.cut(seeds.withColumn("depth", F.lit(1)))
+    power, known, allowed = 1, reached.count(), growth * links.count()
+    doubling, frontier = True, reached
+    while known:
+        found = _apply(frontier, links, power)
+        if doubling:
+            reached = scratch.cut(reached.unionByName(found).groupBy("group_id", "key").agg(F.min("depth").alias("depth")))
+            now = reached.count()
+            if now == known:
+                break
+            known = now
+            if doubling := _doubled_size(links) <= allowed:
+                ahead = links.select("group_id", F.col("src").alias("dst"), F.col("dst").alias("end"))
+                links = scratch.cut(links.join(ahead, ["group_id", "dst"]).select("group_id", "src", F.col("end").alias("dst")).distinct())
+                power *= 2
+            frontier = reached
+        else:
+            frontier = scratch.cut(found.join(reached.select("group_id", "key"), ["group_id", "key"], "left_anti"))
+            if frontier.isEmpty():
+                break
+            reached = reached.unionByName(frontier)
     inherited = (
-        links.join(reached.withColumnRenamed("key", "src"), ["group_id", "src"])
+        records.join(reached.withColumnRenamed("key", "src"), ["group_id", "src"])
         .join(bad, ["group_id", "record_id"], "left_anti")
         .select("group_id", "record_id", F.lit("src").alias("side"), F.col("src").alias("key"), "loaded_at", F.lit("inherited").alias("reason"), F.lit("inherited").alias("kind"), "depth")
     )

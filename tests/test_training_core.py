@@ -52,6 +52,25 @@ def test_orphans_cascade_against_brute_force(spark, sf):
     assert {(r.group_id, r.record_id) for r in out if r.kind == "inherited"} == {(t, i) for t, i, s, d in rows if s and (t, s) in reached} - bad
 
 
+@pytest.mark.parametrize("growth", [0.0, 1.0, 100.0])
+def test_cascade_depths(spark, growth):
+    import random
+
+    rng = random.Random(3)
+    rows = [("g", f"r{i}", str(i), str(i + 1), T0) for i in range(37)] + [("g", f"x{i}", str(rng.randrange(60)), str(rng.randrange(60)), T0) for i in range(40)]
+    edges = spark.createDataFrame(rows, "group_id string, record_id string, src string, dst string, loaded_at timestamp")
+    direct = spark.createDataFrame([("g", "r0", "src", "0", T0, "missing")], "group_id string, record_id string, side string, key string, loaded_at timestamp, reason string")
+    got = {r.record_id: r.depth for r in orphans.cascade_orphans(edges, direct, growth).collect() if r.kind == "inherited"}
+    dist, todo = {"1": 1}, ["1"]
+    while todo:
+        k = todo.pop(0)
+        for _, _, s, d, _ in rows:
+            if s == k and d not in dist:
+                dist[d] = dist[k] + 1
+                todo.append(d)
+    assert got == {r: dist[s] for _, r, s, _, _ in rows if s in dist and r != "r0"}
+
+
 def test_nested_shapes():
     raw = '﻿ {"data": {"task_id": "x", "trace": "{\\"steps\\": {\\"10\\": {\\"evidence\\": \\"e\\"}, \\"2\\": {\\"evidence\\": [null, \\"x\\", {\\"text\\": \\" \\"}], \\"children\\": [{\\"reasoning\\": \\"[\\\\\\"y\\\\\\"]\\"}, null, {}]}}}"}} \n'
     got = {(r[0], r[1], r[2]) for r in N.walk(N.record_of(raw))}
