@@ -19,7 +19,7 @@ _REST = re.compile(r"[^a-z0-9\ue000\ue001]+")
 _REST_ALL = regex.compile(rf"[^\p{{L}}\p{{N}}\p{{M}}{_MINUS}{_POINT}]+")
 _LINE_ENDS = regex.compile(r"[\t\r\x0b\x0c\x1c-\x1f\x85\p{Zl}\p{Zp}]")
 _UNSEEN = regex.compile(r"[\p{Cf}\p{Co}\u034f\ufe00-\ufe0f]|[^\P{Cc}\n]")
-_PART = re.compile(r"^\W*([^\W\d_][\w ]{0,30}?)\s*[:=]\s*(.+?)\s*$", re.S)
+_PART = re.compile(r"^\W*([^\W\d_][\w ]{0,30}?)\s*[:=](.+)$", re.S)
 
 
 def plain(text: str) -> str:

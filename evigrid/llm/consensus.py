@@ -140,10 +140,10 @@ def consensus(votes: DataFrame, weights: DataFrame, labels: tuple[str, ...] = VE
     prior = truth.groupBy("truth").agg(F.count("*").alias("n"))
     share = {r["truth"]: r["n"] for r in prior.collect()}  # at most one row per label
     total = sum(share.values()) + k
-    logs = [
-        F.sum(reduce(lambda acc, b: acc.when(F.col("label") == labels[b], F.col(f"l_{a}_{b}")), range(1, k), F.when(F.col("label") == labels[0], F.col(f"l_{a}_0"))).otherwise(0.0)).alias(f"t{a}")
-        for a in range(k)
-    ]
+    # annotators without an estimate (they share no item with others) count as somewhat better than chance
+    guess = lambda a, b: F.coalesce(f"l_{a}_{b}", F.lit(math.log(0.6 if a == b else 0.4 / (k - 1))))
+    said = lambda a: reduce(lambda acc, b: acc.when(F.col("label") == labels[b], guess(a, b)), range(1, k), F.when(F.col("label") == labels[0], guess(a, 0)))
+    logs = [F.sum(said(a).otherwise(0.0)).alias(f"t{a}") for a in range(k)]
     second = votes.join(bias, "annotator", "left").groupBy("item").agg(
         F.count("*").alias("n_votes"), *logs, *[F.sum((F.col("label") == v).cast("int")).alias(f"c{i}") for i, v in enumerate(labels)]
     )

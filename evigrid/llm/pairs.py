@@ -58,7 +58,7 @@ SOUND_FRAMES = ("I'm sorry for the earlier confusion, here is the corrected read
 _WORD = re.compile(r"[^\W_]+(?:['’][^\W_]+)?")
 _STOP = re.compile(r"[.!?。！？…][\"'”’»)\]*_\s]*$")
 _META = re.compile(r"(?:^|[\s(\[])[^\W\d_][\w ]{1,20}:\s*(?:\S{1,80}|[\w ]{1,20})\s*$")
-_CLOSED = re.compile(r"(?:```|\||https?://\S+|[\w-]+(?:\.[\w-]+)+(?:/\S*)?|^\s*[-*•]\s[^.!?\n]{1,60})\s*$", re.M)
+_CLOSED = re.compile(r"(?:```|\||https?://\S+|(?<![\w-])[\w-]{1,63}(?:\.[\w-]{1,63}){1,8}(?:/\S{0,300})?|^\s*[-*•]\s[^.!?\n]{1,60})\s*$", re.M)
 DENSE = ("bias", "empty", "same", "covered", "prefixed", "foreign", "foreign_head", "native", "open", "open_long", "meta", "short", "log_words", "one_line")
 
 
