@@ -18,8 +18,8 @@ _WORD = r"(?!(?i:" + "|".join(KEPT_WORDS) + r")(?![\p{L}\p{N}_]))[\p{L}_][\p{L}\
 TOKEN = (
     r"\r\n|\r|\n"
     r"|[ \t\u00a0\u200b\ufeff]+"
-    r"|[0-9]+(?:[.,][0-9]+)+"
-    rf"|{_WORD}(?: {_WORD})*"
+    r"|[0-9]+(?:[.,][0-9]+)++"
+    rf"|{_WORD}(?: {_WORD})*+"
     r"|[\p{L}\p{N}_]+"
     r"|->|=>|\u2192"
     r"|\\."

@@ -178,7 +178,7 @@ def long_words(text: Column, over: int) -> Column:
 
 
 def sentences(text: Column) -> Column:
-    return F.filter(F.transform(F.split(text, r"[.!?\n]+"), F.trim), lambda s: F.length(s) > 2)
+    return F.filter(F.transform(F.split(text, r"[.!?\n]+"), lambda s: F.trim(s)), lambda s: F.length(s) > 2)
 
 
 def clean_html(html: Column) -> Column:

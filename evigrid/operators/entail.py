@@ -21,7 +21,7 @@ def span_entailment(rows: DataFrame, key: str, question: str, answer: str, sourc
     sents = F.transform(T.sentences(F.coalesce(F.col(source), F.lit(""))), T.collapsed)
     holding = F.filter("_s", lambda s: s.contains(F.col("_a")))
     negated = F.forall(F.col("_h"), lambda s: F.regexp_count(s, F.concat(F.lit(r"(?<![a-z])(?:not|no|never|without)(?:\s+\S+){0,3}\s+\Q"), F.col("_a"), F.lit(r"\E"))) > 0) & (F.size("_h") > 0)
-    parts = F.filter(F.transform(F.split(F.col("_a"), "[;,]"), F.trim), lambda p: p != "")
+    parts = F.filter(F.transform(F.split(F.col("_a"), "[;,]"), lambda p: F.trim(p)), lambda p: p != "")
     best = F.array_max(F.transform(F.col("_s"), lambda s: S.jaccard(T.word_set(F.col("_a")), T.word_set(s), 1.0)))
     d = rows.select(key, norm.alias("_a"), low.alias("_l"), sents.alias("_s")).withColumn("_h", holding)
     d = d.withColumn("_best", F.coalesce(best, F.lit(0.0)))

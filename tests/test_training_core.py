@@ -150,6 +150,8 @@ def test_packed_spark_equals_python(spark):
         assert got["q"] == {1: "a, b", 2: "c"}
         assert len(got["l"]) == 2999
     assert packed.split_packed(df.limit(0)).count() == 0
+    run = spark.createDataFrame([("r", "f", "word " * 200_000, False), ("s", "f", "x" * 1_000_000, False), ("t", "f", "1.2" * 100_000, True)], "record_id string, field string, text string, prose boolean")
+    assert packed.split_packed(run).count() == 3
 
 
 @settings(max_examples=60, deadline=None)
