@@ -46,9 +46,9 @@ def soft_jaccard(a: Column, b: Column) -> Column:
 
 
 def position_score(i: Column, n: Column, j: Column, m: Column) -> Column:
-    """Closeness of two relative positions (1-based); a list of one has no position: one half."""
-    here = lambda x, size: (x - 1) / F.nullif(size - 1, F.lit(0))
-    return F.when((n <= 1) | (m <= 1), 0.5).otherwise(1 - F.abs(here(i, n) - here(j, m)))
+    """Closeness of two relative positions (1-based); a list of one stands in the middle."""
+    here = lambda x, size: F.when(size <= 1, 0.5).otherwise((x - 1) / F.nullif(size - 1, F.lit(0)))
+    return 1 - F.abs(here(i, n) - here(j, m))
 
 
 def composite(lexical: Column, position: Column, tools: Column, semantic: Column | None = None) -> Column:

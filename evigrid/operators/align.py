@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from evigrid.functions import similarity as S, text as T
+from evigrid.operators.traces import ranked
 from evigrid.session import Scratch
 
 #: Lowest composite score of a match, and slack of the comparison.
@@ -20,15 +21,8 @@ def latest_steps(history: DataFrame) -> DataFrame:
 
 
 def profiles(steps: DataFrame, grp: str) -> DataFrame:
-    """Steps of one group with their token and tool sets, their rank in the group, and the group's size.
-
-    The rank is found per (trace, group). Sizes come from an aggregate, joined back, so that only the
-    ordering of one trace's steps meets in a task.
-    """
-    of = steps.where(F.col("grp") == grp)
-    ranked = of.withColumn("pos", F.row_number().over(Window.partitionBy("trace_id").orderBy("idx", "step_id")))
-    sizes = of.groupBy("trace_id").agg(F.count("*").alias("size"))
-    return ranked.join(sizes, "trace_id").select(
+    """Steps of one group with their token and tool sets, their rank in the group, and the group's size."""
+    return ranked(steps.where(F.col("grp") == grp), ["trace_id"], "idx", "step_id").select(
         "trace_id", "step_id", "pos", "size", T.lexical_tokens(F.coalesce("description", F.lit(""))).alias("tokens"), F.array_distinct(F.coalesce("tools", F.array().cast("array<string>"))).alias("tools")
     )
 

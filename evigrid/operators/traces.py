@@ -8,10 +8,24 @@ from evigrid.functions import text as T
 from evigrid.session import Scratch
 
 
-def sequence_edges(steps: DataFrame, group: list[str], order: list[str], step: str) -> DataFrame:
-    """Each step with its follower in its group: (group, src, dst)."""
-    w = Window.partitionBy(*group).orderBy(*order, step)
-    return steps.select(*group, F.col(step).alias("src"), F.lead(step).over(w).alias("dst")).where("dst IS NOT NULL")
+def ranked(steps: DataFrame, group: list[str], idx: str, step: str, width: int = 1000) -> DataFrame:
+    """Adds pos, the rank of each step in its group by (idx, step), and size, the group's number of steps.
+
+    A group of any size is cut into stretches of ``width`` index values: stretch counts are added up,
+    and only the steps of one stretch are sorted together. Null indexes come first.
+    """
+    cut = steps.withColumn("_b", F.floor(F.coalesce(F.col(idx), F.lit(-1)) / width))
+    counts = cut.groupBy(*group, "_b").agg(F.count("*").alias("_n"))
+    w = Window.partitionBy(*group)
+    offsets = counts.select(*group, "_b", (F.sum("_n").over(w.orderBy("_b")) - F.col("_n")).alias("_before"), F.sum("_n").over(w).alias("size"))
+    within = F.row_number().over(Window.partitionBy(*group, "_b").orderBy(idx, step))
+    return cut.withColumn("_i", within).join(offsets, [*group, "_b"]).withColumn("pos", (F.col("_before") + F.col("_i")).cast("int")).drop("_b", "_i", "_before")
+
+
+def sequence_edges(steps: DataFrame, group: list[str], idx: str, step: str) -> DataFrame:
+    """Each step with its follower in its group: (group, src, dst), by a join of ranks."""
+    r = ranked(steps.select(*group, idx, step), group, idx, step)
+    return r.select(*group, "pos", F.col(step).alias("src")).join(r.select(*group, (F.col("pos") - 1).alias("pos"), F.col(step).alias("dst")), [*group, "pos"]).select(*group, "src", "dst")
 
 
 def flow_ends(steps: DataFrame, group: list[str], order: str, step: str) -> DataFrame:
@@ -49,7 +63,7 @@ def enrich_gold(traces: DataFrame, gold: DataFrame, key: str, strict: bool = Fal
     keys count once (the smallest answer).
     """
     norm = lambda c: F.lower(F.trim(c))
-    one = gold.groupBy(key).agg(F.min("true_answer").alias("true_answer"), F.array_distinct(F.flatten(F.collect_list(F.coalesce("accepted", F.array().cast("array<string>"))))).alias("accepted"))
+    one = gold.select(key, "true_answer", F.explode_outer("accepted").alias("a")).groupBy(key).agg(F.min("true_answer").alias("true_answer"), F.collect_set("a").alias("accepted"))
     joined = traces.join(one, key, "left")
     if strict:
         joined = joined.withColumn("true_answer", F.when(F.col("true_answer").isNull(), F.raise_error(F.concat(F.lit("no gold for "), F.col(key)))).otherwise(F.col("true_answer")))

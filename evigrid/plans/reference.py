@@ -358,7 +358,7 @@ def scan_attest(spark, d):
 
 
 def seq_edges(spark, d):
-    return TR.sequence_edges(align.latest_steps(table(spark, d, "plan_steps")), ["trace_id", "grp"], ["idx"], "step_id")
+    return TR.sequence_edges(align.latest_steps(table(spark, d, "plan_steps")), ["trace_id", "grp"], "idx", "step_id")
 
 
 def flow_endpoints(spark, d):

@@ -54,7 +54,7 @@ _CANDS = "WITH " + _STEPS + f""", prof AS (SELECT trace_id, step_id, grp, row_nu
 keys AS (SELECT trace_id, step_id, grp, 'w:' || unnest(tokens) AS k FROM prof UNION ALL SELECT trace_id, step_id, grp, 't:' || unnest(tools) FROM prof),
 sh AS (SELECT a.trace_id, a.step_id AS agent_id, b.step_id AS annotator_id, count(*) FILTER (a.k LIKE 'w:%') AS cw, count(*) FILTER (a.k LIKE 't:%') AS ct FROM keys a JOIN keys b ON a.trace_id = b.trace_id AND a.k = b.k AND a.grp = 'agent:plan' AND b.grp = 'annotator' GROUP BY ALL),
 sc AS (SELECT sh.trace_id, agent_id, annotator_id, a.pos AS apos,
-  0.5 * cw / greatest(len(a.tokens) + len(b.tokens) - cw, 1) + 0.3 * (CASE WHEN a.size <= 1 OR b.size <= 1 THEN 0.5 ELSE 1 - abs((a.pos - 1) / (a.size - 1)::DOUBLE - (b.pos - 1) / (b.size - 1)::DOUBLE) END) + 0.2 * ct / greatest(len(a.tools) + len(b.tools) - ct, 1) AS score
+  0.5 * cw / greatest(len(a.tokens) + len(b.tokens) - cw, 1) + 0.3 * (1 - abs(CASE WHEN a.size = 1 THEN 0.5 ELSE (a.pos - 1) / (a.size - 1)::DOUBLE END - CASE WHEN b.size = 1 THEN 0.5 ELSE (b.pos - 1) / (b.size - 1)::DOUBLE END)) + 0.2 * ct / greatest(len(a.tools) + len(b.tools) - ct, 1) AS score
   FROM sh JOIN prof a ON a.trace_id = sh.trace_id AND a.step_id = agent_id JOIN prof b ON b.trace_id = sh.trace_id AND b.step_id = annotator_id),
 ok AS (SELECT * FROM sc WHERE score + 1e-9 >= 0.25)"""
 _LINES = "WITH lines AS (SELECT doc_id AS file, i AS line_no, l[i] AS line FROM (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents)))"

@@ -223,7 +223,11 @@ def test_span_tree_and_sequences(spark):
     out = TR.flatten_spans(spark.createDataFrame(rows, "trace_id string, span_id string, parent_span_id string, pos int")).orderBy("trace_id", "path").collect()
     assert [(r.span_id, r.depth) for r in out] == [("a", 0), ("c", 1), ("b", 1), ("d", 2), ("r", 0)]
     st = spark.createDataFrame([("t", 2, "b"), ("t", 1, "a"), ("u", 1, "z")], "g string, i int, s string")
-    assert [tuple(r) for r in TR.sequence_edges(st, ["g"], ["i"], "s").collect()] == [("t", "a", "b")]
+    assert [tuple(r) for r in TR.sequence_edges(st, ["g"], "i", "s").collect()] == [("t", "a", "b")]
+    many = spark.createDataFrame([("t", i * 37 % 5000, f"s{i}") for i in range(5000)] + [("t", None, "n")], "g string, i int, s string")
+    got = {r.s: r.pos for r in TR.ranked(many, ["g"], "i", "s", 100).collect()}
+    assert got["n"] == 1 and all(got[f"s{i}"] == i * 37 % 5000 + 2 for i in range(5000))
+    assert one(spark, S.position_score(F.lit(1), F.lit(1), F.lit(1), F.lit(3))) == 0.5 and one(spark, S.position_score(F.lit(1), F.lit(1), F.lit(2), F.lit(3))) == 1.0
 
 
 def test_enrichment_and_scan(spark):
