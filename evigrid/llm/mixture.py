@@ -179,7 +179,7 @@ def mix(
     have = docs.sparkSession.createDataFrame([(s, of_source.get(s, 0)) for s in wanted], "source string, available_tokens bigint")
     shares = (
         goal.join(have, "source").join(got, "source", "left").fillna(0, ["tokens", "n_docs", "most_uses"])
-        .withColumn("all_tokens", F.sum("tokens").over(Window.partitionBy()))
+        .withColumn("all_tokens", got.agg(F.sum("tokens")).scalar())
         .select("source", "target_share", "max_repeats", "available_tokens", "tokens", "n_docs", "most_uses", F.coalesce(F.try_divide("tokens", "all_tokens"), F.lit(0.0)).alias("actual_share"))
     )
     return uses, shares
