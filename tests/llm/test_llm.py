@@ -296,6 +296,20 @@ def test_spam_pages(spark):
     assert spam.page_evidence(df.limit(0)).count() == 0
 
 
+def test_spam_of_long_phrases_and_marked_lists(spark):
+    """Pages stitched from phrases of five words and more, and lists and stuffed runs that end in marks, against template entries."""
+    rng = random.Random(4)
+    long = ["buy the best answer verifier for your quick audit", "cheap evidence vault with free trial for small judges", "top rated quote finder download for all model testers", "order the official proof badge online before next week", "fast claim scanner and bias meter deals near your town"]
+    rows = [(i, ", ".join(rng.sample(long, 4)), f"h{i}.example", None) for i in range(8)]
+    rows += [(20 + i, ", ".join(rng.sample(long, 5)) + ".", f"k{i}.example", None) for i in range(2)]
+    names = ["ka", "lo", "mi", "ru", "te", "vo"]
+    entry = lambda: f"- fix: final index card handling in step {rng.randrange(1, 4)} for {''.join(rng.choices(names, k=4))} crew size"
+    rows += [(40 + i, "\n".join(entry() for _ in range(6)), f"e{i}.example", None) for i in range(8)]
+    rows.append((60, "Get fast proof badge and plan audit proof badge today. proof badge plan audit, top plan audit proof badge, near proof badge! The best proof badge is the near proof badge of proof badge. Get near proof badge and plan audit proof badge free.", "x.example", None))
+    df = spark.createDataFrame(rows, "doc_id long, text string, site string, url string")
+    assert {r.doc_id for r in spam.spam_pages(spam.page_evidence(df)).collect()} == {*range(8), 20, 21, 60}
+
+
 def test_queries_run(spark, sf):
     for name in ("p1_found", "p5_found", "p7_found", "p8_found", "p9_mix", "p9_shares", "p10_found"):
         assert plans.QUERIES[name](spark, sf).count() > 0, name
