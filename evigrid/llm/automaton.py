@@ -5,40 +5,68 @@ from __future__ import annotations
 import html
 import re
 import unicodedata
+from collections.abc import Callable
 
 _INVISIBLE = re.compile("[­​-‍⁠﻿]")
 _BROKEN = re.compile(r"(?<=\w)[-‐]\s*\n[\s>*|#]*(?=[^\W_])")
 _WORD = re.compile(r"<[^<>\n]{0,300}>|[^\W_]+(?:['’][^\W_]+)?")
+#: What html.unescape looks for, a base character with its combining marks and joining jamo, and a word.
+_ENTITY = re.compile(r"&(#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[^\t\n\f <&#;]{1,32};?)")
+_COMPOSED = re.compile(r"[^\S\x00-\x20]|(?:[\x21-\x7f](?=[^\x00-\x7f])|[^\x00-\x7f])(?:(?![’\s])[^\x00-\x7f])*")
+_TOKEN = re.compile(r"[^\W_]+(?:'[^\W_]+)?")
 
 
 def words_at(text: str) -> list[tuple[str, int, int]]:
-    """Normalised words with their places: tags skipped, words broken by a hyphen at a line end joined."""
-    out: list[tuple[str, int, int]] = []
-    for m in _WORD.finditer(text):
-        if m[0][0] == "<":
-            continue
-        a, b = m.span()
-        word = unicodedata.normalize("NFKC", m[0]).casefold().replace("’", "'")
-        if out and (gap := text[out[-1][2] : a]) and (
-            _INVISIBLE.sub("", gap) == "" or gap[0] in "-‐­" and "\n" in gap and not gap[1:].strip(" \t\r\n>*|#")
-        ):
-            out[-1] = (out[-1][0] + word, out[-1][1], b)
-            continue
-        out.append((word, a, b))
-    return out
+    """The words of ``words`` with their places in the text: every step of it keeps, for each character, where it came from."""
+    chars, at = list(text), list(range(len(text)))
+    ends = [i + 1 for i in at]
+
+    def put(new: list[tuple[str, int, int]]) -> None:
+        nonlocal chars, at, ends
+        chars, at, ends = [c for x, _, _ in new for c in x], [a for x, a, _ in new for _ in x], [b for x, _, b in new for _ in x]
+
+    def sub(pattern: re.Pattern, by: Callable[[re.Match], str]) -> None:
+        new, last, now = [], 0, "".join(chars)
+        for m in pattern.finditer(now):
+            new += zip(chars[last : m.start()], at[last : m.start()], ends[last : m.start()])
+            new.append((by(m), at[m.start()], ends[m.end() - 1]))
+            last = m.end()
+        put([*new, *zip(chars[last:], at[last:], ends[last:])])
+
+    if not text.isascii():
+        sub(_INVISIBLE, lambda m: "")
+        # a composition may take in the characters that follow: a base goes with its marks and joining letters
+        sub(_COMPOSED, lambda m: unicodedata.normalize("NFKC", m[0]).replace("’", "'"))
+    now = "".join(chars)
+    if _may_break(now):
+        sub(_BROKEN, lambda m: "")
+    if "<" in now:
+        sub(_WORD, _without_tag)
+    if "&" in now:
+        sub(_ENTITY, lambda m: html.unescape(m[0]))
+    put([(c.casefold(), a, b) for c, a, b in zip(chars, at, ends)])
+    return [(m[0], at[m.start()], ends[m.end() - 1]) for m in _TOKEN.finditer("".join(chars))]
+
+
+def _may_break(text: str) -> bool:
+    return "-\n" in text or "- \n" in text or "-\r" in text or "‐" in text
+
+
+def _without_tag(m: re.Match) -> str:
+    return m[0] if m[0][0] != "<" else " " if m[0][1:2].lower() in ("p", "d", "l") or m[0][1:3].lower() in ("br", "/p", "/d", "/l", "tr", "td") else ""
 
 
 def words(text: str) -> list[str]:
     """The words of words_at without their places, faster."""
     if not text.isascii():
         text = unicodedata.normalize("NFKC", _INVISIBLE.sub("", text)).replace("’", "'")
-    if "-\n" in text or "- \n" in text or "-\r" in text or "‐" in text:
+    if _may_break(text):
         text = _BROKEN.sub("", text)
     if "<" in text:
-        text = _WORD.sub(lambda m: m[0] if m[0][0] != "<" else " " if m[0][1:2].lower() in ("p", "d", "l") or m[0][1:3].lower() in ("br", "/p", "/d", "/l", "tr", "td") else "", text)
+        text = _WORD.sub(_without_tag, text)
     if "&" in text:
         text = html.unescape(text)
-    return re.findall(r"[^\W_]+(?:'[^\W_]+)?", text.casefold())
+    return _TOKEN.findall(text.casefold())
 
 
 class Automaton:

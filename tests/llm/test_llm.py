@@ -222,6 +222,15 @@ def test_leaks(spark, text, leaks_):
     assert words(text) == [w for w, _, _ in words_at(text)]
 
 
+def test_leak_behind_many_entities_and_inline_tags(spark):
+    text = "&quot;so&nbsp;it&#39;s foo<b>bar</b>&quot; " * 60 + QUESTION
+    assert words(text) == [w for w, _, _ in words_at(text)]
+    assert all(text[a:b] for _, a, b in words_at(text)) and [text[a:b] for w, a, b in words_at(text) if w == "sisoleda"] == ["Sisoleda"]
+    docs, items = spark.createDataFrame([(1, text)], "doc_id long, text string"), spark.createDataFrame([(7, QUESTION)], "id int, question string")
+    (got,) = leaks.leak_spans(docs, items).collect()
+    assert text[got.start : got.end] == QUESTION.rstrip(".")
+
+
 def test_leak_blocks_and_cleaning(spark):
     docs = spark.createDataFrame([(1, "Before it. " + QUESTION + " After it all went on as before, and so on, and so on. " * 9), (2, QUESTION), (3, "clean")], "doc_id long, text string")
     items = spark.createDataFrame([(7, QUESTION), (8, QUESTION)], "id int, question string")
