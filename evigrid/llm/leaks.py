@@ -4,22 +4,23 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from evigrid.llm.automaton import Automaton, align, words, words_at
+from evigrid.llm.automaton import Automaton, words, words_at
 
 #: Words of a passage that count as a leak, and words per tolerated error.
 MIN_WORDS, WORDS_PER_ERROR = 15, 7
 #: A passage of MIN_WORDS with its errors leaves an exact run of at least this many words.
-SEED = 4
+SEED = 3
 
 
 def find_spans(text: str, auto: Automaton, items: dict[int, list[str]], min_words: int, words_per_error: int) -> list[tuple[int, int, int, int, int]]:
     """(item, first character, end, words of the item, errors) of each leaking passage of a text.
 
     The text's words run through the automaton; where exact matches of seed words or more end, their
-    items are aligned with the words around. Only an alignment long enough, with few enough errors, counts.
+    items are aligned with all words that a passage with such a match can hold.
     """
     stream = words(text)
     if not (found := auto.matches(stream)):
@@ -35,28 +36,67 @@ def find_spans(text: str, auto: Automaton, items: dict[int, list[str]], min_word
     out = []
     for item, hits in near.items():
         target = items[item]
-        for shift in _clusters(hits, len(target)):
-            # errors shift an alignment by at most one word each
-            slack = len(target) // words_per_error + 2
+        # errors shift a passage by at most one word each
+        slack = len(target) // words_per_error + 2
+        done = 0
+        for first, last in _clusters(hits, len(target)):
             if placed is None:
                 placed = words_at(text)
-            lo, hi = max(0, shift - slack), min(len(placed), shift + len(target) + 2 * slack)
-            window = [w for w, _, _ in placed[lo:hi]]
-            n, errors, _, a, b = align(target, window)
-            if n >= min_words and errors <= -(-n // words_per_error):
+            lo, hi = max(done, first - slack), min(len(placed), last + len(target) + slack)
+            for n, errors, a, b in passages(target, [w for w, _, _ in placed[lo:hi]], min_words, words_per_error):
                 out.append((item, placed[lo + a][1], placed[lo + b - 1][2], n, errors))
+                done = max(done, lo + b)
     return out
 
 
-def _clusters(hits: list[int], size: int) -> list[int]:
-    """Matches of one item grouped by where in the text the item would begin: middle of each group."""
-    out: list[list[int]] = []
+def passages(target: list[str], window: list[str], min_words: int, words_per_error: int) -> list[tuple[int, int, int, int]]:
+    """(words of the item, errors, window start, end) of the leaking passages of a window, the longest first found and the rest around it.
+
+    Every stretch of the item is tried against every place: at step n, cell (i, j) holds the fewest
+    changed, dropped or added words between the item's n words from i and words of the window up to
+    j, and the latest start with so many. A passage begins and ends with words in place.
+    """
+    size, width, inside = len(target), len(window), set(window)
+    # a passage has at least so many words in place, whatever its length
+    if sum(x in inside for x in target) < min_words - -(-min_words // words_per_error):
+        return []
+    code: dict[str, int] = {}
+    t, w = (np.array([code.setdefault(x, len(code)) for x in ws]) for ws in (target, window))
+    same = t[:, None] == w[None, :]
+    unit = width + 2  # a key is errors * unit - start
+    ramp, never = np.arange(width + 1) * unit, unit * (size + width + 2)
+    keys = np.full((size, width + 1), never)
+    keys[:, 1:] = np.where(same, -np.arange(width), never)
+    best = None
+    for n in range(1, size + 1):
+        if n > 1:
+            old, hit = keys[: size - n + 1], same[n - 1 :]
+            keys = old + unit
+            keys[:, 1:] = np.minimum(keys[:, 1:], old[:, :-1] + np.where(hit, 0, unit))
+            if n >= min_words:
+                ended = np.where(hit, old[:, :-1], never)
+                at = int(ended.argmin())
+                key = int(ended.flat[at])
+                errors = -(-key // unit)
+                if errors <= -(-n // words_per_error):
+                    best = (n, errors, errors * unit - key, at % width + 1)
+        keys = np.minimum.accumulate(keys - ramp, axis=1) + ramp
+    if best is None:
+        return []
+    n, errors, a, b = best
+    left, right = (passages(target, part, min_words, words_per_error) for part in (window[:a], window[b:]))
+    return [best, *left, *[(m, e, b + c, b + d) for m, e, c, d in right]]
+
+
+def _clusters(hits: list[int], size: int) -> list[tuple[int, int]]:
+    """Matches of one item grouped by where in the text the item would begin: first and last of each group, at most 4 sizes apart."""
+    out: list[tuple[int, int]] = []
     for shift in sorted(set(hits)):
-        if out and shift - out[-1][1] <= max(3, size // 6):
-            out[-1][1] = shift
+        if out and shift - out[-1][1] <= max(3, size // 6) and shift - out[-1][0] <= 4 * size:
+            out[-1] = (out[-1][0], shift)
         else:
-            out.append([shift, shift])
-    return [(a + b) // 2 for a, b in out]
+            out.append((shift, shift))
+    return out
 
 
 def leak_spans(

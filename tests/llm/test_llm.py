@@ -222,6 +222,16 @@ def test_leaks(spark, text, leaks_):
     assert words(text) == [w for w, _, _ in words_at(text)]
 
 
+def test_leak_within_a_worse_alignment_and_among_repeats(spark):
+    item = [f"w{i}" for i in range(47)]
+    run_on = item[:15] + [x for k in range(15, 47, 4) for x in ["new", *item[k : k + 4]]]
+    stuffed = [x for k in range(300) for x in [*item[20:24], "x", "y"]]
+    three = item[:3] + ["a"] + item[4:7] + ["b"] + item[8:11] + ["c"] + item[12:15]
+    rows = [(1, " ".join(run_on)), (2, " ".join([*stuffed[:1200], *item[5:25], *stuffed[:600]])), (3, " ".join(stuffed)), (4, " ".join(three)), (5, " ".join(item[:14]))]
+    docs, items = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(7, " ".join(item))], "id int, question string")
+    assert {r.doc_id for r in leaks.leaks(leaks.leak_spans(docs, items)).collect()} == {1, 2, 4}
+
+
 def test_leak_behind_many_entities_and_inline_tags(spark):
     text = "&quot;so&nbsp;it&#39;s foo<b>bar</b>&quot; " * 60 + QUESTION
     assert words(text) == [w for w, _, _ in words_at(text)]
