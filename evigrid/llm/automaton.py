@@ -7,9 +7,11 @@ import re
 import unicodedata
 from collections.abc import Callable
 
+import numpy as np
+
 _INVISIBLE = re.compile("[­​-‍⁠﻿]")
 _BROKEN = re.compile(r"(?<=\w)[-‐]\s*\n[\s>*|#]*(?=[^\W_])")
-_WORD = re.compile(r"<[^<>\n]{0,300}>|[^\W_]+(?:['’][^\W_]+)?")
+_WORD = re.compile(r"<[^<>\n]*+>|[^\W_]+(?:['’][^\W_]+)?")
 #: What html.unescape looks for, a base character with its combining marks and joining jamo, and a word.
 _ENTITY = re.compile(r"&(#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[^\t\n\f <&#;]{1,32};?)")
 _COMPOSED = re.compile(r"[^\S\x00-\x20]|(?:[\x21-\x7f](?=[^\x00-\x7f])|[^\x00-\x7f])(?:(?![’\s])[^\x00-\x7f])*")
@@ -70,112 +72,102 @@ def words(text: str) -> list[str]:
 
 
 class Automaton:
-    """All word sequences that occur in the given lists, as a suffix automaton with end positions.
+    """All word sequences that occur in the given lists, as a suffix automaton over flat tables, with end positions.
 
-    ends of a state are the places (list, index of the last word) where its sequences end; they are
-    spread along suffix links for states of at least ``seed`` words only, as no others are asked for.
+    A state's transitions lie in one table under state * vocabulary + word, so that the whole is a
+    few flat objects that travel as one broadcast. End positions (list, index of the last word) are
+    kept for the states that hold the sequences of exactly ``seed`` words: whatever matches longer
+    passes one of them at every word.
     """
 
     def __init__(self, lists: list[tuple[int, list[str]]], seed: int):
         self.seed = seed
         self.vocab: dict[str, int] = {}
-        self.next: list[dict[int, int]] = [{}]
+        for _, ws in lists:
+            for w in ws:
+                self.vocab.setdefault(w, len(self.vocab))
+        self.follow: dict[int, int] = {}
+        self._words: list[list[int]] = [[]]  # the words that lead on from a state, while it is built
         self.link, self.length = [-1], [0]
         own: dict[int, list[tuple[int, int]]] = {}
         for key, ws in lists:
             last = 0
             for at, w in enumerate(ws):
-                last = self._extend(last, self.vocab.setdefault(w, len(self.vocab)))
+                last = self._extend(last, self.vocab[w])
                 own.setdefault(last, []).append((key, at))
-        self.ends: list[set[tuple[int, int]]] = [set() for _ in self.next]
-        for s in sorted(range(1, len(self.next)), key=lambda s: -self.length[s]):
-            if self.length[s] >= seed:
-                self.ends[s].update(own.get(s, ()))
-                if self.length[up := self.link[s]] >= seed:
-                    self.ends[up].update(self.ends[s])
+        del self._words
+        self.top = self._seed_states()
+        places: dict[int, list[tuple[int, int]]] = {}
+        for s, found in own.items():
+            if self.top[s] >= 0:
+                places.setdefault(self.top[s], []).extend(found)
+        # a list's place belongs to one state of its full prefix, and that to one seed state
+        self.bounds: dict[int, tuple[int, int]] = {}
+        keys, ats = [], []
+        for s, found in places.items():
+            self.bounds[s] = (len(keys), len(keys) + len(found))
+            keys += [k for k, _ in found]
+            ats += [a for _, a in found]
+        self.keys, self.ats = np.array(keys, np.int64), np.array(ats, np.int64)
+
+    def _seed_states(self) -> list[int]:
+        """For each state of seed words or more, the suffix state that holds its last seed words; -1 for the others."""
+        top = [-1] * len(self.link)
+        for s in sorted(range(1, len(self.link)), key=self.length.__getitem__):
+            if self.length[s] >= self.seed:
+                top[s] = s if self.length[self.link[s]] < self.seed else top[self.link[s]]
+        return top
 
     def _extend(self, last: int, c: int) -> int:
-        if c in self.next[last]:
-            q = self.next[last][c]
+        n = len(self.vocab)
+        if (q := self.follow.get(last * n + c)) is not None:
             return q if self.length[q] == self.length[last] + 1 else self._split(last, c, q)
-        cur = self._state(self.length[last] + 1, {})
+        cur = self._state(self.length[last] + 1, [])
         p = last
-        while p >= 0 and c not in self.next[p]:
-            self.next[p][c] = cur
+        while p >= 0 and p * n + c not in self.follow:
+            self.follow[p * n + c] = cur
+            self._words[p].append(c)
             p = self.link[p]
         if p < 0:
             self.link[cur] = 0
         else:
-            q = self.next[p][c]
+            q = self.follow[p * n + c]
             self.link[cur] = q if self.length[q] == self.length[p] + 1 else self._split(p, c, q)
         return cur
 
-    def _state(self, length: int, follow: dict[int, int]) -> int:
-        self.next.append(follow)
+    def _state(self, length: int, leads: list[int]) -> int:
+        self._words.append(leads)
         self.length.append(length)
         self.link.append(0)
-        return len(self.next) - 1
+        return len(self.link) - 1
 
     def _split(self, p: int, c: int, q: int) -> int:
-        copy = self._state(self.length[p] + 1, dict(self.next[q]))
+        n = len(self.vocab)
+        copy = self._state(self.length[p] + 1, list(self._words[q]))
+        for w in self._words[q]:
+            self.follow[copy * n + w] = self.follow[q * n + w]
         self.link[copy], self.link[q] = self.link[q], copy
-        while p >= 0 and self.next[p].get(c) == q:
-            self.next[p][c] = copy
+        while p >= 0 and self.follow.get(p * n + c) == q:
+            self.follow[p * n + c] = copy
             p = self.link[p]
         return copy
 
     def matches(self, stream: list[str]) -> list[tuple[int, int, int]]:
-        """(index of the last word, length, state) wherever the longest match stops growing at seed words or more."""
+        """(index of a word, length of the longest match that ends there, its seed state) wherever it has seed words or more."""
         out, state, length = [], 0, 0
-        vocab, follow, link, lengths, seed = self.vocab.get, self.next, self.link, self.length, self.seed
+        vocab, follow, link, lengths, seed, top, n = self.vocab.get, self.follow.get, self.link, self.length, self.seed, self.top, len(self.vocab)
         for i, w in enumerate(stream):
             c = vocab(w)
-            if c is not None and c in follow[state]:
-                state, length = follow[state][c], length + 1
-                continue
-            if length >= seed:
-                out.append((i - 1, length, state))
             if c is None:
                 state = length = 0
                 continue
-            while state and c not in follow[state]:
+            to = follow(state * n + c)
+            while to is None and state:
                 state = link[state]
                 length = lengths[state]
-            if c in follow[state]:
-                state, length = follow[state][c], length + 1
-        if length >= seed:
-            out.append((len(stream) - 1, length, state))
+                to = follow(state * n + c)
+            if to is not None:
+                state, length = to, length + 1
+                if length >= seed:
+                    out.append((i, length, top[state]))
         return out
-
-
-def align(item: list[str], window: list[str], cost: int = 3) -> tuple[int, int, int, int, int]:
-    """Best local alignment: (words of the item covered, errors, first word of item, window start, end).
-
-    A word in place gains 1; one changed, dropped or added costs ``cost``, so that stretches with
-    fewer than one error in cost + 1 words join. Of equal scores the one that ends first counts.
-    """
-    n, best = len(window), (0, 0, 0, 0, 0, 0)
-    score, start = [0] * (n + 1), [(0, j, 0) for j in range(n + 1)]  # start: (item start, window start, errors)
-    for i, w in enumerate(item, 1):
-        diag, diag_start = score[0], start[0]
-        start[0] = (i, 0, 0)
-        for j in range(1, n + 1):
-            up, up_start = score[j], start[j]
-            hit = w == window[j - 1]
-            here = diag + 1 if hit else diag - cost
-            where, err = (diag_start, 0) if hit else (diag_start, 1)
-            if not hit:
-                if up - cost > here:
-                    here, where = up - cost, up_start
-                if score[j - 1] - cost > here:
-                    here, where = score[j - 1] - cost, start[j - 1]
-            elif diag <= 0:
-                where = (i - 1, j - 1, 0)
-            diag, diag_start = up, up_start
-            if here <= 0:
-                score[j], start[j] = 0, (i, j, 0)
-            else:
-                score[j], start[j] = here, (where[0], where[1], where[2] + err)
-                if here > best[0]:
-                    best = (here, i - start[j][0], start[j][2], start[j][0], start[j][1], j)
-    return best[1:]

@@ -16,37 +16,96 @@ MIN_WORDS, WORDS_PER_ERROR = 15, 7
 SEED = 3
 
 
-def find_spans(text: str, auto: Automaton, items: dict[int, list[str]], min_words: int, words_per_error: int) -> list[tuple[int, int, int, int, int]]:
-    """(item, first character, end, words of the item, errors) of each leaking passage of a text.
-
-    The text's words run through the automaton; where exact matches of seed words or more end, their
-    items are aligned with all words that a passage with such a match can hold.
-    """
-    stream = words(text)
-    if not (found := auto.matches(stream)):
-        return []
-    near: dict[int, list[int]] = {}
-    for end, _, state in found:
-        # a state whose length exceeds the match is left for its suffixes, which end in more places
-        while auto.length[state] >= auto.seed:
-            for item, at in auto.ends[state]:
-                near.setdefault(item, []).append(end - at)
-            state = auto.link[state]
-    placed = None
-    out = []
-    for item, hits in near.items():
-        target = items[item]
-        # errors shift a passage by at most one word each
-        slack = len(target) // words_per_error + 2
-        done = 0
-        for first, last in _clusters(hits, len(target)):
-            if placed is None:
-                placed = words_at(text)
-            lo, hi = max(done, first - slack), min(len(placed), last + len(target) + slack)
-            for n, errors, a, b in passages(target, [w for w, _, _ in placed[lo:hi]], min_words, words_per_error):
-                out.append((item, placed[lo + a][1], placed[lo + b - 1][2], n, errors))
-                done = max(done, lo + b)
-    return out
+class Block:
+    """Items of one block with their automaton: what a task needs, as one broadcast."""
+
+    def __init__(self, items: list[tuple[object, list[str]]], min_words: int, words_per_error: int, seed: int = SEED):
+        self.ids = [k for k, _ in items]
+        self.targets = [ws for _, ws in items]
+        self.min_words, self.words_per_error = min_words, words_per_error
+        self.auto = Automaton(list(enumerate(self.targets)), seed)
+        self.sizes = np.array([len(ws) for ws in self.targets], np.int64)
+        # n words with e errors hold at least n - seed + 1 - seed * e matches of seed words
+        longest = int(self.sizes.max(initial=min_words))
+        self.least_hits = max(1, min(n - seed + 1 - seed * -(-n // words_per_error) for n in range(min_words, max(longest, min_words) + 1)))
+        self.base = (self.auto.keys << 32) - self.auto.ats + _FAR
+
+    def clusters(self, stream: list[str]) -> list[tuple[int, int, int]]:
+        """(item, first, last place in the text at which the item would begin), where enough matches lie close together.
+
+        Matches of one item within a passage differ in that place by its errors at most, so of all
+        places only those with least_hits matches that near each other are looked at.
+        """
+        if not (found := self.auto.matches(stream)):
+            return []
+        bounds = self.auto.bounds
+        hits = np.concatenate([self.base[slice(*bounds[top])] + i for i, _, top in found])
+        if len(hits) < self.least_hits:
+            return []
+        hits.sort()
+        item, reach = hits >> 32, self.least_hits - 1
+        errors = -(-self.sizes[item] // self.words_per_error)
+        near = np.ones(len(hits), bool) if not reach else (hits[reach:] - hits[:-reach] <= errors[:-reach])
+        if not near.any():
+            return []
+        # a run of least_hits matches from each start: keep every match that lies in one
+        steps = np.zeros(len(hits) + 1, np.int64)
+        at = np.nonzero(near)[0]
+        np.add.at(steps, at, 1)
+        np.add.at(steps, np.minimum(at + reach + 1, len(hits)), -1)
+        hits = hits[np.cumsum(steps[:-1]) > 0]
+        item, shift = hits >> 32, (hits & 0xFFFFFFFF) - _FAR
+        out, begun = [], 0
+        sizes = self.sizes[item]
+        gaps = (np.diff(item) != 0) | (np.diff(shift) > -(-sizes[1:] // self.words_per_error))
+        for end in [*(np.nonzero(gaps)[0] + 1).tolist(), len(hits)]:
+            k, first, last = int(item[begun]), int(shift[begun]), int(shift[end - 1])
+            width = 4 * int(self.sizes[k])  # wide groups are looked at in parts, each reaching into the next
+            while last - first > width:
+                out.append((k, first, first + width))
+                first += width
+            out.append((k, first, last))
+            begun = end
+        return out
+
+    def spans(self, text: str) -> list[tuple[object, int, int, int, int]]:
+        """(item, first character, end, words of the item, errors) of each leaking passage of a text."""
+        stream = words(text)
+        placed, out, done = None, [], {}
+        for k, first, last in self.clusters(stream):
+            target = self.targets[k]
+            slack = -(-len(target) // self.words_per_error) + 1
+            lo, hi = max(done.get(k, 0), first - slack), min(len(stream), last + len(target) + slack)
+            window = stream[lo:hi]
+            if not _possible(target, window, first - lo, last - lo, slack, self.min_words, self.words_per_error):
+                continue
+            for n, errors, a, b in passages(target, window, self.min_words, self.words_per_error):
+                placed = placed or words_at(text)
+                out.append((self.ids[k], placed[lo + a][1], placed[lo + b - 1][2], n, errors))
+                done[k] = max(done.get(k, 0), lo + b)
+        return out
+
+
+#: Added to places in a text, so that those before its beginning are no negative numbers.
+_FAR = 1 << 30
+
+
+def _possible(target: list[str], window: list[str], first: int, last: int, slack: int, min_words: int, words_per_error: int) -> bool:
+    """Whether some stretch of the item has enough words in place near the places at which it would begin."""
+    where: dict[str, list[int]] = {}
+    for j, w in enumerate(window):
+        where.setdefault(w, []).append(j)
+    held = [0]
+    for i, w in enumerate(target):
+        held.append(held[-1] + any(first - slack <= j - i <= last + slack for j in where.get(w, ())))
+    if held[-1] < min_words - -(-min_words // words_per_error):
+        return False
+    # words in place less those a stretch of n needs: n - ceil(n / words_per_error)
+    cum = np.array(held)
+    starts, n = np.arange(len(target))[:, None], np.arange(min_words, len(target) + 1)[None, :]
+    ends = starts + n
+    inside = ends <= len(target)
+    return bool((inside & (cum[np.minimum(ends, len(target))] - cum[starts] >= n - -(-n // words_per_error))).any())
 
 
 def passages(target: list[str], window: list[str], min_words: int, words_per_error: int) -> list[tuple[int, int, int, int]]:
@@ -88,45 +147,45 @@ def passages(target: list[str], window: list[str], min_words: int, words_per_err
     return [best, *left, *[(m, e, b + c, b + d) for m, e, c, d in right]]
 
 
-def _clusters(hits: list[int], size: int) -> list[tuple[int, int]]:
-    """Matches of one item grouped by where in the text the item would begin: first and last of each group, at most 4 sizes apart."""
-    out: list[tuple[int, int]] = []
-    for shift in sorted(set(hits)):
-        if out and shift - out[-1][1] <= max(3, size // 6) and shift - out[-1][0] <= 4 * size:
-            out[-1] = (out[-1][0], shift)
-        else:
-            out.append((shift, shift))
-    return out
-
-
 def leak_spans(
     docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "id", question: str = "question",
-    min_words: int = MIN_WORDS, words_per_error: int = WORDS_PER_ERROR, block: int = 20_000,
+    min_words: int = MIN_WORDS, words_per_error: int = WORDS_PER_ERROR, block_words: int = 250_000,
 ) -> DataFrame:
     """(doc_id, item_id, start, end, n_words, errors): every leaking passage of every document.
 
-    The items are a stated query set: they are taken to the driver in blocks of ``block`` texts (the
-    automaton of a block has at most twice as many states as words), and every document streams past
-    each block, whole, without a shuffle. Null texts and items, and items shorter than min_words,
-    match nothing; equal items each match.
+    The items are a stated query set. They pass the driver once, in blocks of ``block_words`` words: an
+    automaton is built per block (at most twice as many states as words), broadcast (its size is
+    thereby bounded), and read once per worker process. Every document streams past each block,
+    whole, without a shuffle. Null texts and items, and items shorter than min_words, match nothing;
+    equal items each match.
     """
-    known = [(r[0], ws) for r in items.select(item_id, question).where(f"`{item_id}` IS NOT NULL AND `{question}` IS NOT NULL").distinct().toLocalIterator() if len(ws := words(r[1])) >= min_words]
-    kind = docs.schema[doc_id].dataType.simpleString()
-    out = None
-    for at in range(0, max(1, len(known)), block):
-        part = _one_block(docs, dict(enumerate(known[at : at + block])), doc_id, text, kind, items.schema[item_id].dataType.simpleString(), min_words, words_per_error)
-        out = part if out is None else out.unionByName(part)
+    kinds = docs.schema[doc_id].dataType.simpleString(), items.schema[item_id].dataType.simpleString()
+    out, block, size = None, [], 0
+
+    def flush() -> None:
+        nonlocal out, block, size
+        part = _one_block(docs, Block(block, min_words, words_per_error), doc_id, text, *kinds)
+        out, block, size = part if out is None else out.unionByName(part), [], 0
+
+    for key, asked in items.select(item_id, question).where(f"`{item_id}` IS NOT NULL AND `{question}` IS NOT NULL").distinct().toLocalIterator():
+        if len(ws := words(asked)) >= min_words:
+            if block and size + len(ws) > block_words:
+                flush()
+            block.append((key, ws))
+            size += len(ws)
+    if block or out is None:
+        flush()
     return out
 
 
-def _one_block(docs: DataFrame, block: dict, doc_id: str, text: str, doc_kind: str, item_kind: str, min_words: int, words_per_error: int) -> DataFrame:
+def _one_block(docs: DataFrame, block: Block, doc_id: str, text: str, doc_kind: str, item_kind: str) -> DataFrame:
     arrow = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}
+    shared = docs.sparkSession.sparkContext.broadcast(block)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        targets = {k: ws for k, (_, ws) in block.items()}
-        auto = Automaton(list(targets.items()), SEED)
+        here = shared.value
         for batch in batches:
-            rows = [(d, block[k][0], a, b, n, e) for d, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for k, a, b, n, e in find_spans(t, auto, targets, min_words, words_per_error)]
+            rows = [(d, *span) for d, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for span in here.spans(t)]
             cols = list(zip(*rows)) if rows else [[]] * 6
             types = [arrow[doc_kind], arrow[item_kind], *[pa.int32()] * 4]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=["doc_id", "item_id", "start", "end", "n_words", "errors"])

@@ -10,7 +10,7 @@ from hypothesis import given, settings, strategies as st
 pytest.importorskip("evigrid.llm")
 
 from evigrid.llm import canonical as C, consensus, duplicates, leaks, mixture, pairs, plans, spam, truncation  # noqa: E402
-from evigrid.llm.automaton import Automaton, align, words, words_at  # noqa: E402
+from evigrid.llm.automaton import Automaton, words, words_at  # noqa: E402
 from evigrid.session import table  # noqa: E402
 
 # --- 1: formatting ---------------------------------------------------------------------------------
@@ -190,18 +190,41 @@ def test_automaton_against_brute_force():
         while n <= end and tuple(stream[end - n : end + 1]) in subs:
             n += 1
         longest.append(n)
-    want = {e: n for e, n in enumerate(longest) if n >= 3 and (e + 1 == len(stream) or longest[e + 1] <= n)}
-    assert got == want
-    for end, n, state in auto.matches(stream):
-        places = {(k, at) for k, ws in lists for at in range(n - 1, 12) if ws[at - n + 1 : at + 1] == stream[end - n + 1 : end + 1]}
-        assert auto.ends[state] == places
-
-
-def test_align_counts_errors():
-    item = [f"w{i}" for i in range(30)]
-    window = ["x"] * 3 + item[5:12] + ["new"] + item[13:20] + item[21:26] + ["y"] * 4
-    n, errors, first, a, b = align(item, window)
-    assert (n, errors, first) == (21, 2, 5) and window[a] == "w5" and window[b - 1] == "w25"
+    assert got == {e: n for e, n in enumerate(longest) if n >= 3}
+    for end, n, top in auto.matches(stream):
+        lo, hi = auto.bounds[top]
+        places = [(k, at) for k, ws in lists for at in range(2, 12) if ws[at - 2 : at + 1] == stream[end - 2 : end + 1]]
+        assert sorted(zip(auto.keys[lo:hi].tolist(), auto.ats[lo:hi].tolist())) == places
+
+
+def test_many_items_that_share_stock_phrases():
+    """20 000 items that all open and close alike, in bounded time; the one that leaks is found, with errors in it."""
+    import time
+
+    rng = random.Random(9)
+    name = lambda: "".join(rng.choices("bdfgklmnprst", k=1) + rng.choices("aeiou", k=1) + rng.choices("bdfgklmnprst", k=2) + rng.choices("aeiou", k=2))
+    items = [(i, ["consider", "the", "following", "case", "with", "care", *[name() for _ in range(16)], "answer", "with", "a", "single", "number", "and", "nothing", "else"]) for i in range(20_000)]
+    leaked = items[777][1]
+    text = " ".join(["consider the following case with care it says and we did", *leaked[2:12], "new", *leaked[13:24], "else it ends . answer with a single number and nothing else"])
+    blocks = [leaks.Block(items[at : at + 5_000], 15, 7) for at in range(0, len(items), 5_000)]
+    began = time.time()
+    assert {s[0] for b in blocks for s in b.spans(text)} == {777}
+    assert time.time() - began < 20
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.sampled_from("abcdefgh"), min_size=15, max_size=24), st.data())
+def test_filter_before_the_alignment_loses_nothing(target, data):
+    """Against the alignment of the item with the whole text, for texts made by random edits."""
+    ws = list(target)
+    for _ in range(data.draw(st.integers(0, 5))):
+        at = data.draw(st.integers(0, len(ws) - 1))
+        ws[at : at + data.draw(st.integers(0, 1))] = data.draw(st.lists(st.sampled_from("abxyz"), max_size=1))
+        if not ws:
+            break
+    text = ["q"] * data.draw(st.integers(0, 3)) + ws + ["z"] * data.draw(st.integers(0, 3))
+    whole = bool(leaks.passages(target, text, 15, 7))
+    assert bool(leaks.Block([(1, target)], 15, 7).spans(" ".join(text))) == whole
 
 
 QUESTION = "Suppose 185 seed trays reach Sisoleda together with 163 stamp albums, and after Tuesday nobody except Gogumopi may touch the 3 spare barges, though a wager costs Hojapaju another 14 seed trays."
@@ -244,7 +267,7 @@ def test_leak_behind_many_entities_and_inline_tags(spark):
 def test_leak_blocks_and_cleaning(spark):
     docs = spark.createDataFrame([(1, "Before it. " + QUESTION + " After it all went on as before, and so on, and so on. " * 9), (2, QUESTION), (3, "clean")], "doc_id long, text string")
     items = spark.createDataFrame([(7, QUESTION), (8, QUESTION)], "id int, question string")
-    one, many = leaks.leak_spans(docs, items), leaks.leak_spans(docs, items, block=1)
+    one, many = leaks.leak_spans(docs, items), leaks.leak_spans(docs, items, block_words=1)
     assert sorted(map(tuple, one.collect())) == sorted(map(tuple, many.collect())) and one.count() == 4
     cleaned = {r.doc_id: r for r in leaks.without_leaks(docs, one).collect()}
     assert "Sisoleda" not in cleaned[1].text and cleaned[1].text.startswith("Before it. ") and "After it" in cleaned[1].text
