@@ -21,14 +21,15 @@ def p1_raw_groups(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_values(spark: SparkSession, d: str) -> DataFrame:
-    """Evidence of traces and quotes of reports: (tab, record_id, step_pos, item_pos, source, text)."""
+    """Evidence of traces and quotes of reports: (tab, record_id, step_pos, item_pos, source, text, reported length)."""
     steps = table(spark, d, "gaia_traces").select(F.lit("gaia_traces").alias("tab"), F.col("trace_id").alias("record_id"), F.posexplode("trace.steps").alias("s", "step"))
     evidence = steps.select("tab", "record_id", (F.col("s") + 1).alias("step_pos"), F.col("step.tool").alias("source"), F.posexplode("step.evidence").alias("i", "text"))
     quotes = table(spark, d, "quote_reports").select(
-        F.lit("quote_reports").alias("tab"), F.col("report_id").cast("string").alias("record_id"), F.lit(0).alias("step_pos"), F.lit(0).alias("item_pos"), F.col("model").alias("source"), F.col("quote").alias("text")
+        F.lit("quote_reports").alias("tab"), F.col("report_id").cast("string").alias("record_id"), F.lit(0).alias("step_pos"), F.lit(0).alias("item_pos"), F.col("model").alias("source"), F.col("quote").alias("text"),
+        F.col("quote_length").alias("reported"),
     )
-    columns = ["tab", "record_id", "step_pos", "item_pos", "source", "text"]
-    return evidence.withColumn("item_pos", F.col("i") + 1).select(*columns).unionByName(quotes.select(*columns)).where("trim(text) <> ''").distinct()
+    columns = ["tab", "record_id", "step_pos", "item_pos", "source", "text", "reported"]
+    return evidence.withColumn("item_pos", F.col("i") + 1).withColumn("reported", F.lit(None).cast("int")).select(*columns).unionByName(quotes.select(*columns)).where("trim(text) <> ''").distinct()
 
 
 def p5_graded(spark: SparkSession, d: str) -> DataFrame:
@@ -44,9 +45,9 @@ def p5_rates(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_limits(spark: SparkSession, d: str) -> DataFrame:
-    values = p5_values(spark, d).withColumn("source", F.coalesce("source", F.lit("")))
-    graded = values.select("tab", "source", F.length("text").alias("length"), truncation.ending(F.col("text")).alias("ending"))
-    return truncation.length_posteriors(graded).where("is_limit").drop("is_limit")
+    """The limits found per source: values there, those that are cut, and the prior of a cut."""
+    found = truncation.length_posteriors(truncation.with_endings(p5_values(spark, d))).where("at_limit")
+    return found.groupBy("tab", "source", "length").agg(F.sum("n").alias("n_values"), F.sum(F.col("n") * F.col("p_cut")).alias("n_cut"), F.max("p_limit").alias("p_limit"))
 
 
 def p6_pairs(spark: SparkSession, d: str) -> DataFrame:
@@ -151,10 +152,10 @@ QUERIES = {f.__name__: f for f in (
 
 ORACLE = {
     "p1_raw_groups": "SELECT question AS text, count(DISTINCT id) AS n_ids, min(id) AS first_id FROM blocks WHERE question IS NOT NULL GROUP BY 1",
-    "p5_values": """SELECT DISTINCT 'gaia_traces' AS tab, trace_id AS record_id, CAST(s AS INT) AS step_pos, CAST(i AS INT) AS item_pos, trace.steps[s].tool AS source, trace.steps[s].evidence[i] AS text
+    "p5_values": """SELECT DISTINCT 'gaia_traces' AS tab, trace_id AS record_id, CAST(s AS INT) AS step_pos, CAST(i AS INT) AS item_pos, trace.steps[s].tool AS source, trace.steps[s].evidence[i] AS text, NULL::INT AS reported
 FROM (SELECT trace_id, trace, s, unnest(range(1, len(trace.steps[s].evidence) + 1)) AS i FROM (SELECT trace_id, trace, unnest(range(1, len(trace.steps) + 1)) AS s FROM gaia_traces))
 WHERE trim(trace.steps[s].evidence[i], ' ') <> ''
-UNION SELECT 'quote_reports', CAST(report_id AS VARCHAR), 0, 0, model, quote FROM quote_reports WHERE trim(quote, ' ') <> ''""",
+UNION SELECT 'quote_reports', CAST(report_id AS VARCHAR), 0, 0, model, quote, quote_length FROM quote_reports WHERE trim(quote, ' ') <> ''""",
     "p6_pairs": """SELECT DISTINCT 'proposals' AS tab, p.block_id AS record_id, p.pos, b.question, p.content AS answer FROM proposals p LEFT JOIN (SELECT DISTINCT id, question FROM blocks) b ON b.id = p.block_id
 UNION SELECT 'gaia_traces', trace_id, 0, question, answer FROM gaia_traces""",
     "p7_votes": """SELECT block_id, model, verdict FROM (

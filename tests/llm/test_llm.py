@@ -76,12 +76,27 @@ def test_limits_are_found_and_lengths_fitted():
     rng = np.random.default_rng(1)
     lengths = np.exp(rng.normal(5, 0.6, 5000)).astype(int) + 1
     cut = lengths > 200
-    done = collections.Counter(lengths[~cut])
-    hist = pd.DataFrame([(n, c, 0.0) for n, c in done.items()] + [(200, 0.0, float(cut.sum()))], columns=["length", "n_done", "n_open"])
-    mu, sd = truncation.fit_lengths(hist)
+    done = collections.Counter(lengths[~cut].tolist())
+    mu, sd = truncation.fit_lengths(np.array([*done, 200.0]), np.array([*done.values(), 0.0]), np.array([0.0] * len(done) + [float(cut.sum())]))
     assert abs(mu - 5) < 0.05 and abs(sd - 0.6) < 0.05
-    found = truncation.limits_of(hist)
-    assert list(found[found.is_limit].length) == [200] and found[found.is_limit].posterior.iloc[0] > 0.95
+    hist = pd.DataFrame([(n, "finished", -1, c) for n, c in done.items()] + [(200, "open", -1, int(cut.sum()))], columns=["length", "ending", "longer", "n"])
+    found = truncation.fit_source(hist)
+    assert set(found[found.at_limit].length) == {200} and found[found.at_limit].p_limit.iloc[0] > 0.95
+    assert (found[found.ending == "open"].p_cut > 0.99).all() and (found[found.ending == "finished"].p_cut < 0.1).all()
+
+
+def test_lengths_decide_where_endings_do_not(spark):
+    """Values without grammar at the limit of their source are cut, elsewhere they are labels; without the length model none is."""
+    rng = random.Random(3)
+    whole = [("The gate was opened in the " + "very " * rng.randrange(1, 30) + "cold morning.") for _ in range(400)]
+    opened = [("The gate was opened in the " + "very " * 40)[:119] + "v" for _ in range(60)]
+    bare = [("Ledger Tilo Rosa Vene " * 9)[:120] for _ in range(3)]
+    labels = [f"Ledger {i}" for i in range(40)] + ["Ledger Tilo Rosa Vene " * 3 + "Moor"]
+    rows = [("t", str(i), 1, 1, "s", x, None) for i, x in enumerate([*whole, *opened, *bare, *labels])]
+    df = spark.createDataFrame(rows, "tab string, record_id string, step_pos int, item_pos int, source string, text string, reported int")
+    cut = lambda **k: {int(r.record_id) for r in truncation.grade(df, **k).where("is_cut").collect()}
+    assert cut() == set(range(400, 463))
+    assert cut(use_lengths=False) == set(range(400, 460))
 
 
 def test_grade_edge_cases(spark):
