@@ -78,7 +78,7 @@ def _votes(spark: SparkSession, d: str, scratch: Scratch) -> DataFrame:
 def _consensus(spark: SparkSession, d: str) -> DataFrame:
     scratch = Scratch(spark)
     votes = _votes(spark, d, scratch)
-    return consensus.consensus(votes, consensus.reliabilities(votes, scratch=scratch), minimum=3, scratch=scratch)
+    return consensus.consensus(votes, consensus.reliabilities(votes, scratch=scratch), minimum=3)
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
@@ -91,7 +91,8 @@ def p7_agreement(spark: SparkSession, d: str) -> DataFrame:
 
 def p7_reliability(spark: SparkSession, d: str) -> DataFrame:
     scratch = Scratch(spark)
-    return consensus.reliabilities(_votes(spark, d, scratch), scratch=scratch).withColumnRenamed("annotator", "model")
+    found = consensus.reliabilities(_votes(spark, d, scratch), scratch=scratch)
+    return found.select(F.col("annotator").alias("model"), "n_votes", "overlap", "reliability", "r")
 
 
 def p7_votes(spark: SparkSession, d: str) -> DataFrame:
