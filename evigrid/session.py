@@ -48,26 +48,32 @@ def shared_dir(spark: SparkSession) -> str:
 class Scratch:
     """Tables written to the shared folder in order to cut lineage.
 
-    A written table survives the loss of any executor, and its size is known to the planner.
-    drop() removes tables that later ones replace.
+    A written table survives the loss of any executor, and its size is known to the planner. A table
+    cut in a role replaces the one before it in that role, which is deleted, so that rounds of a
+    fixpoint do not fill the folder; the folder itself goes when the driver ends.
     """
 
     def __init__(self, spark: SparkSession):
-        self.spark, self.root, self.paths = spark, f"{shared_dir(spark)}/evigrid-{uuid.uuid4().hex}", []
+        self.spark, self.root, self.count, self.roles = spark, f"{shared_dir(spark)}/evigrid-{uuid.uuid4().hex}", 0, {}
 
-    def cut(self, df: DataFrame) -> DataFrame:
-        path = f"{self.root}/{len(self.paths)}"
+    def _fs(self, path: str):
+        p = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        return p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), p
+
+    def cut(self, df: DataFrame, role: str | None = None) -> DataFrame:
+        path = f"{self.root}/{self.count}"
         df.write.parquet(path)
-        self.paths.append(path)
+        if not self.count:
+            fs, p = self._fs(self.root)
+            fs.deleteOnExit(p)
+        self.count += 1
+        if role is not None:
+            if (old := self.roles.get(role)) is not None:
+                fs, p = self._fs(old)
+                fs.delete(p, True)
+            self.roles[role] = path
         return self.spark.read.schema(df.schema).parquet(path)
 
-    def drop(self, keep_last: int = 0) -> None:
-        fs_of = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-        conf = self.spark.sparkContext._jsc.hadoopConfiguration()
-        for path in self.paths[: len(self.paths) - keep_last]:
-            p = fs_of(path)
-            p.getFileSystem(conf).delete(p, True)
-
 
 def is_small(df: DataFrame, limit_bytes: int) -> bool:
     """Whether the planner's own estimate, exact for written tables, is below the limit."""
