@@ -12,14 +12,16 @@ LABELS = ("claim", "unit", "source", "period", "asked by")
 
 _DASHES = "‐‑‒–—―−﹣－-"
 _MINUS, _POINT = "\ue000", "\ue001"  # stand for a sign and a decimal point until the rest is gone
-_SIGN = re.compile(rf"(?<![\w.,])[{_DASHES}](?=\.?\d)")
-_THOUSANDS = re.compile(r"(?<![\d.,])\d{1,3}(?:[,'’]\d{3})+(?!\d)")
-_DECIMAL = re.compile(rf"(?<=\d)[.,](?=\d)|(?<![^\s{_MINUS}])\.(?=\d)")
-_REST = re.compile(r"[^a-z0-9\ue000\ue001]+")
+# each begins with what it looks for and looks back from there, so that a search can skip ahead
+_SIGN = re.compile(rf"[{_DASHES}](?<![\w.,].)(?=\.?\d)")
+_THOUSANDS = re.compile(r"\d(?<![\d.,]\d)\d{0,2}(?:[,'’]\d{3})+(?!\d)")
+_DECIMAL = re.compile(rf"[.,](?<=\d.)(?=\d)|\.(?<![^\s{_MINUS}].)(?=\d)")
+_KEPT = frozenset("abcdefghijklmnopqrstuvwxyz0123456789")
+_REST = {i: None for i in range(128) if chr(i) not in _KEPT}
 _REST_ALL = regex.compile(rf"[^\p{{L}}\p{{N}}\p{{M}}{_MINUS}{_POINT}]+")
 _LINE_ENDS = regex.compile(r"[\t\r\x0b\x0c\x1c-\x1f\x85\p{Zl}\p{Zp}]")
 _UNSEEN = regex.compile(r"[\p{Cf}\p{Co}\u034f\ufe00-\ufe0f]|[^\P{Cc}\n]")
-_PART = re.compile(r"^\W*([^\W\d_][\w ]{0,30}?)\s*[:=](.+)$", re.S)
+_PART = re.compile(r"^\W*+([^\W\d_][\w ]*?)\s*[:=](.+)$", re.S)
 
 
 def plain(text: str) -> str:
@@ -36,7 +38,8 @@ def flat(text: str) -> str:
     text = _SIGN.sub(_MINUS, text)
     text = _THOUSANDS.sub(lambda m: re.sub(r"\D", "", m[0]), text)
     text = _DECIMAL.sub(_POINT, text)
-    text = (_REST if text.isascii() else _REST_ALL).sub("", text)
+    # the marks put in are no ASCII: what is left of an ASCII text is found by the first form
+    text = text.translate(_REST) if all(ord(c) < 128 or c in (_MINUS, _POINT) for c in set(text)) else _REST_ALL.sub("", text)
     return text.replace(_MINUS, "-").replace(_POINT, ".")
 
 

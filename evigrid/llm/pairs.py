@@ -8,13 +8,16 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from evigrid.llm.canonical import flat, plain
 
-#: Defects in the order in which they are preferred at equal probability.
-DEFECTS = ("empty", "copy", "refusal", "language", "truncated")
+#: Labels of the classifier, in the order in which they are preferred at equal probability; a pair may have several.
+DEFECTS = ("empty", "copy", "refusal", "language", "truncated", "swapped")
+#: Those that concern the answer by itself or its form; swapped, an answer to another question, is reported beside them.
+FORM = DEFECTS[:5]
 #: Hashed n-gram dimensions, and the most pairs that the classifier is fitted on (a stated bound).
 DIMENSIONS, SAMPLE = 1 << 13, 1_200
 
@@ -51,15 +54,29 @@ REFUSAL_FRAMES = (
     ("Danke für die Frage. ", ""), ("", " Ich bitte um Verständnis."), ("", " Bitte wende dich an die zuständige Stelle."),
 )
 #: How an answer may repeat its question, in sound pairs and in mere copies.
-COPY_FRAMES = ("", "", "Question: ", "You asked: ", "Q: ", "Frage: ", "The question was: ", "Du fragst: ")
+COPY_FRAMES = ("", "", "Question: ", "You asked: ", "Q: ", "Frage: ", "The question was: ", "Du fragst: ", "Die Frage lautete: ")
 #: Openings of sound answers that resemble refusals or copies.
 SOUND_FRAMES = ("I'm sorry for the earlier confusion, here is the corrected reading. ", "As a language model would, the agent first guessed, then checked the page. ", "Sorry for the delay. ", "Unfortunately the first page was wrong. ", "Entschuldigung für den Fehler, hier ist die Antwort. ")
 
+#: How refusals that come late begin.
+PREAMBLES = (
+    "Let me first repeat what you would like to know, so that we talk about the same thing: {q} That is a good question, and I have thought about it for quite a while before writing this. ",
+    "Thank you for the detailed request and for all the context that came with it. I have read every line of it twice, and I see why it matters to you and your team. ",
+    "Zuerst möchte ich die Frage wiederholen, damit wir vom Gleichen reden: {q} Das ist eine gute Frage, und ich habe eine Weile darüber nachgedacht. ",
+)
+
 _WORD = re.compile(r"[^\W_]+(?:['’][^\W_]+)?")
-_STOP = re.compile(r"[.!?。！？…][\"'”’»)\]*_\s]*$")
+#: A finished ending; an ellipsis is none.
+_STOP = re.compile(r"(?:(?<!\.)\.|[!?。！？])[\"'”’»)\]*_\s]*$")
 _META = re.compile(r"(?:^|[\s(\[])[^\W\d_][\w ]{1,20}:\s*(?:\S{1,80}|[\w ]{1,20})\s*$")
 _CLOSED = re.compile(r"(?:```|\||https?://\S+|(?<![\w-])[\w-]{1,63}(?:\.[\w-]{1,63}){1,8}(?:/\S{0,300})?|^\s*[-*•]\s[^.!?\n]{1,60})\s*$", re.M)
-DENSE = ("bias", "empty", "same", "covered", "prefixed", "foreign", "foreign_head", "native", "open", "open_long", "meta", "short", "log_words", "one_line")
+DENSE = (
+    "bias", "empty", "same", "covered", "prefixed", "rest", "foreign", "foreign_head", "native", "far", "open", "open_long", "elided", "meta", "short", "log_words", "one_line", "shared", "shared_none", "numbers",
+)
+_FIRST = re.compile(r"(?<=[.!?])\s")
+_NAMES = tuple(LANGUAGES)
+_ROWS = {w: np.array([(n in langs) / len(langs) for n in _NAMES]) for w, langs in _LANG.items()}
+_HEAD, _ODD = 12, np.uint64(0x9E3779B97F4A7C15)
 
 
 def language_shares(ws: list[str]) -> dict[str, float]:
@@ -71,226 +88,281 @@ def language_shares(ws: list[str]) -> dict[str, float]:
     return {k: v / total for k, v in counts.items()} if total else {}
 
 
+def _buckets(h: np.ndarray, salt: int) -> np.ndarray:
+    return ((h * np.uint64(salt) * _ODD) >> np.uint64(40)).astype(np.int64) % DIMENSIONS
+
+
+def _shares(rows: np.ndarray, doc: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Language shares per document, and whether it has any function word."""
+    counts = np.stack([np.bincount(doc, rows[:, j], n) for j in range(len(_NAMES))], axis=1)
+    total = counts.sum(axis=1, keepdims=True)
+    return counts / np.maximum(total, 1e-9), total[:, 0] > 0
+
+
 @dataclass
-class Pair:
-    """A pair made ready: plain words, contents and ending."""
-
-    words: list[str]
-    dense: list[float]
-    same: bool
-    blank: bool
-    open: bool
-    foreign: float
-
-
-def look(question: str | None, answer: str | None) -> Pair:
-    """Pair features. Long answers are read whole; nulls count as empty texts."""
-    q, a = plain(question or ""), plain(answer or "")
-    fa, fq = flat(a), flat(q)
-    aw, qw = _WORD.findall(a), _WORD.findall(q)
-    blank = fa in PLACEHOLDERS or fa.replace("-", "").replace(".", "") == ""
-    at = fa.find(fq) if fq else -1
-    rest = len(fa) - len(fq)
-    same = bool(fq) and rest <= max(16, 0.15 * len(fq)) and fa.endswith(fq)
-    ls, lq = language_shares(aw), language_shares(qw)
-    own = max(lq, key=lq.get) if lq else None
-    others = {k: v for k, v in ls.items() if k != own}
-    native = ls.get(own, 0.0) if own else 0.5
-    foreign = max(others.values(), default=0.0) - native if own and ls else 0.0
-    head = language_shares(aw[:12])
-    head_foreign = max((v for k, v in head.items() if k != own), default=0.0) - head.get(own, 0.0) if own and head else 0.0
-    raw = (answer or "").rstrip()
-    unfinished = not _STOP.search(raw) and len(aw) >= 4
-    meta = bool(unfinished and ((m := _META.search(raw)) and _STOP.search(raw[: m.start()].rstrip()) or _CLOSED.search(raw)))
-    is_open = unfinished and not meta and sum(w in _LANG for w in aw) >= 1
-    dense = [
-        1.0, float(blank), float(same), (len(fq) / len(fa)) if at >= 0 and fa else 0.0, float(at == 0 and rest > 16), foreign if len(aw) >= 4 else 0.0, head_foreign if len(aw) >= 4 else 0.0, native,
-        float(is_open), float(is_open and len(aw) >= 8), float(meta), float(len(aw) < 4), min(np.log1p(len(aw)), 8.0) / 4, float("\n" not in raw),
-    ]
-    return Pair(aw, dense, same, blank, is_open, foreign)
-
-
-def grams(ws: list[str]) -> np.ndarray:
-    """Hashed word n-grams, each once: of the first 30 words by themselves, of the whole answer as a bag of bigrams, of the last 4 by place."""
-    if not ws:
-        return np.zeros(0, np.int64)
-    h = np.fromiter((zlib.crc32(w.encode()) for w in ws), np.uint64, len(ws))
-    head, odd = h[:30], np.uint64(0x9E3779B97F4A7C15)
-    two = (h[:-1] * odd) ^ h[1:]
-    parts = [head * np.uint64(3), two * np.uint64(5)]
-    if len(head) > 1:
-        parts.append(two[: len(head) - 1] * np.uint64(7))
-    if len(head) > 2:
-        parts.append(((two[: len(head) - 2] * odd) ^ head[2:]) * np.uint64(11))
-    tail = h[:-5:-1]
-    parts.append((tail * odd) ^ np.arange(1, len(tail) + 1, dtype=np.uint64))
-    mixed = np.concatenate(parts) * odd
-    return np.unique((mixed >> np.uint64(40)) % np.uint64(DIMENSIONS)).astype(np.int64)
+class Features:
+    """Pairs made ready, all of a batch at once: hashed n-grams of whole answers (document, bucket), and dense pair features."""
+
+    doc: np.ndarray
+    bucket: np.ndarray
+    dense: np.ndarray
+
+    @property
+    def scale(self) -> np.ndarray:
+        """Per n-gram, one over the root of how many its document has."""
+        return 1 / np.sqrt(np.bincount(self.doc, minlength=len(self.dense)))[self.doc]
+
+    def matrix(self) -> np.ndarray:
+        """Documents x (DIMENSIONS + dense), for the fit on its bounded sample."""
+        grams = np.zeros((len(self.dense), DIMENSIONS), np.float32)
+        grams[self.doc, self.bucket] = self.scale
+        return np.hstack([grams, self.dense.astype(np.float32)])
+
+
+def features(questions: list[str | None], answers: list[str | None]) -> Features:
+    """Nulls count as empty texts; answers are read whole.
+
+    N-grams: words, pairs and triples of the whole answer, its first words and its last four by
+    place. Dense: how much of the answer is the question again, whether it is blank, in which
+    languages both are written, how it ends, and what of the question's words and figures it holds.
+    """
+    n = len(answers)
+    asked: dict[str, tuple[str, list[str], frozenset[str], frozenset[str]]] = {}
+    q_words, a_words, dense = [], [], np.zeros((n, len(DENSE)))
+    for i, (question, answer) in enumerate(zip(questions, answers)):
+        question, answer = question or "", answer or ""
+        if question not in asked:
+            q = plain(question)
+            qw = _WORD.findall(q)
+            asked[question] = flat(q), qw, frozenset(w for w in qw if len(w) > 3 and w not in _LANG), frozenset(w for w in qw if w.isdigit() and len(w) > 1)
+        fq, qw, content, figures = asked[question]
+        a = plain(answer)
+        aw = _WORD.findall(a)
+        held = set(aw)
+        q_words.append(qw)
+        a_words.append(aw)
+        # the question can stand in an answer only with most of its words, and a blank answer has hardly any
+        fa = flat(a) if len(aw) < 4 or not content or 2 * len(content & held) >= len(content) else None
+        blank = fa is not None and (fa in PLACEHOLDERS or fa.replace("-", "").replace(".", "") == "")
+        at = fa.find(fq) if fq and fa else -1
+        rest = len(fa.replace(fq, "")) if at >= 0 else len(a)  # what is left when the question is taken out, however often it stands there
+        same = bool(fq) and at >= 0 and rest <= max(18, 0.15 * len(fq)) and fa.endswith(fq)
+        raw = answer.rstrip()
+        unfinished = len(aw) >= 4 and not _STOP.search(raw)
+        meta = bool(unfinished and ((m := _META.search(raw)) and _STOP.search(raw[: m.start()].rstrip()) or _CLOSED.search(raw)))
+        is_open = unfinished and not meta and any(w in _LANG for w in aw)
+        shared = len(content & held) / len(content) if content and len(aw) >= 8 else 0.5
+        dense[i] = (
+            1.0, blank, same, (len(fa) - rest) / len(fa) if at >= 0 and fa else 0.0, at == 0 and rest > 16, min(max(rest, 0), 400) / 400 if at >= 0 else 1.0, 0.0, 0.0, 0.0, 0.0,
+            is_open, is_open and len(aw) >= 8, is_open and raw.endswith(("...", "…")), meta, len(aw) < 4, min(np.log1p(len(aw)), 8.0) / 4, "\n" not in raw, shared, shared == 0.0, bool(figures & held),
+        )
+    sizes, q_sizes = np.array([len(w) for w in a_words], np.int64), np.array([len(w) for w in q_words], np.int64)
+    doc, q_doc = np.repeat(np.arange(n), sizes), np.repeat(np.arange(n), q_sizes)
+    code, seen = pd.factorize(np.array([w for ws in (*a_words, *q_words) for w in ws], object))
+    hashes = np.fromiter((zlib.crc32(w.encode("utf-8", "surrogatepass")) for w in seen), np.uint64, len(seen))
+    none = np.zeros(len(_NAMES))
+    rows = np.array([_ROWS.get(w, none) for w in seen]).reshape(-1, len(_NAMES))
+    mine, theirs = code[: len(doc)], code[len(doc) :]
+    place = np.arange(len(doc)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    (ls, any_a), (lq, any_q) = _shares(rows[mine], doc, n), _shares(rows[theirs], q_doc, n)
+    early = place < _HEAD
+    lh, any_h = _shares(rows[mine[early]], doc[early], n)
+    own, at = lq.argmax(axis=1), np.arange(n)
+    column = lambda name: DENSE.index(name)
+    for name, shares, known in (("foreign", ls, any_a), ("foreign_head", lh, any_h)):
+        others = shares.copy()
+        others[at, own] = -1.0
+        dense[:, column(name)] = np.where(any_q & known & (sizes >= 4), others.max(axis=1) - shares[at, own], 0.0)
+    native = ls[at, own]
+    dense[:, column("native")] = np.where(any_q, native, 0.5)
+    dense[:, column("far")] = any_q & any_a & (sizes >= 6) & (native <= 0.2)
+    h = hashes[mine] if len(hashes) else np.zeros(0, np.uint64)
+    parts = [(doc, _buckets(h, 3)), (doc[early], _buckets(h[early], 13))]
+    if len(h) > 1:
+        two, ok2 = (h[:-1] * _ODD) ^ h[1:], doc[:-1] == doc[1:]
+        parts.append((doc[:-1][ok2], _buckets(two[ok2], 5)))
+        three, ok3 = (two[:-1] * _ODD) ^ h[2:], doc[:-2] == doc[2:]
+        parts.append((doc[:-2][ok3], _buckets(three[ok3], 11)))
+    back = np.repeat(sizes, sizes) - place
+    last = back <= 4
+    parts.append((doc[last], _buckets((h[last] * _ODD) ^ back[last].astype(np.uint64), 7)))
+    # each n-gram once, so that an answer that repeats itself weighs no more than one that does not
+    cells = np.concatenate([d * DIMENSIONS + b for d, b in parts])
+    cells = np.sort(cells.astype(np.int32) if n * DIMENSIONS < 1 << 31 else cells)
+    cells = cells[np.concatenate([[True], cells[1:] != cells[:-1]])] if len(cells) else cells
+    return Features(cells // DIMENSIONS, cells % DIMENSIONS, dense)
 
 
 @dataclass
 class Model:
-    """Weights per defect, and the probability from which a defect is proposed."""
+    """Weights per defect over hashed n-grams and dense features, and the calibration (slope, offset) of its scores."""
+
+    weights: np.ndarray  # defects x (DIMENSIONS + dense)
+    calibration: np.ndarray  # defects x 2
+
+    def scores(self, f: Features) -> np.ndarray:
+        """Documents x defects, uncalibrated."""
+        scale = f.scale
+        grams = np.stack([np.bincount(f.doc, w[f.bucket] * scale, len(f.dense)) for w in self.weights], axis=1)
+        return grams + f.dense @ self.weights[:, DIMENSIONS:].T
 
-    sparse: np.ndarray  # defects x DIMENSIONS
-    dense: np.ndarray  # defects x len(DENSE)
-    thresholds: np.ndarray
+    def probabilities(self, f: Features) -> np.ndarray:
+        return _sigmoid(self.scores(f) * self.calibration[:, 0] + self.calibration[:, 1])
 
-    def scores(self, pair: Pair) -> np.ndarray:
-        idx = grams(pair.words)
-        z = self.dense @ np.asarray(pair.dense)
-        if len(idx):
-            z = z + self.sparse[:, idx].sum(axis=1) / np.sqrt(len(idx))
-        return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
+def _sigmoid(z: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
-def make_defects(pairs: list[tuple[str, str]], rng: np.random.Generator) -> list[tuple[str, str, str | None]]:
-    """(question, answer, defect or None): sound pairs, and defects made from them."""
-    out: list[tuple[str, str, str | None]] = []
+
+def make_defects(pairs: list[tuple[str, str]], rng: np.random.Generator) -> list[tuple[str, str, frozenset[str]]]:
+    """(question, answer, defects): sound pairs, and defects made from them: truncated, copied, swapped, refused, emptied, and some at once."""
+    out: list[tuple[str, str, frozenset[str]]] = []
+    put = lambda q, a, *defects: out.append((q, a, frozenset(defects)))
     long = [(q, a) for q, a in pairs if len(_WORD.findall(a)) >= 12]
-    by_lang: dict[str, list[str]] = {}
+    speech = lambda text: max(x, key=x.get) if (x := language_shares(_WORD.findall(plain(text)))) else None
+    by_lang: dict[str | None, list[tuple[str, str]]] = {}
     for q, a in long:
-        shares = language_shares(_WORD.findall(plain(a)))
-        if shares:
-            by_lang.setdefault(max(shares, key=shares.get), []).append(a)
+        by_lang.setdefault(speech(a), []).append((q, a))
     pick = lambda xs: xs[int(rng.integers(len(xs)))]
+
+    def cut(text: str) -> str | None:
+        short = text[: int(len(text) * rng.uniform(0.3, 0.97))].rstrip()
+        return short + pick(("", "", "", "", "...", "…")) if not _STOP.search(short) and len(_WORD.findall(short)) >= 6 else None
+
     for i, (q, a) in enumerate(pairs):
-        out.append((q, a, None))
-        out.append((q, pick(("", " ", "-", "N/A", "null", "<empty>", "[no content]", "...", "none", '""', "​")), "empty") if i % 6 == 0 else (q, pick(("42", "Yes", "No.", "1873", "12.5", "Canal Trust", "31 barges")), None))
-        frame = pick(REFUSAL_FRAMES)
+        put(q, a)
+        if i % 6 == 0:
+            put(q, pick(("", " ", "-", "N/A", "null", "<empty>", "[no content]", "...", "none", '""', "​")), "empty")
+        else:
+            put(q, pick(("42", "Yes", "No.", "1873", "12.5", "Canal Trust", "31 barges")))
+        opener, closer = pick(REFUSAL_FRAMES)
         if i % 2 == 0:
-            out.append((q, frame[0] + pick(REFUSALS) + frame[1], "refusal"))
+            put(q, (pick(PREAMBLES).format(q=q) if i % 10 == 0 else opener) + pick(REFUSALS) + closer, "refusal")
         if i % 3 == 0:
             shape = pick((str, str.lower, str.upper, str.title, lambda s: s.rstrip("?") + ".", lambda s: f"“{s}”", lambda s: "  ".join(s.split())))
-            out.append((q, pick(COPY_FRAMES) + shape(q), "copy"))
+            put(q, pick(COPY_FRAMES) + pick((" ", "\n")).join([shape(q)] * (1 + (i % 9 == 0))), "copy")
     for i, (q, a) in enumerate(long):
-        cut = int(len(a) * rng.uniform(0.3, 0.97))
-        if not _STOP.search(a[:cut].rstrip()) and len(_WORD.findall(a[:cut])) >= 6:
-            out.append((q, a[:cut], "truncated"))
+        if short := cut(a):
+            put(q, short, "truncated")
         if i % 3 == 0:
-            out.append((q, pick(SOUND_FRAMES) + a, None))
-            out.append((q, f"The question was: {q} {a}", None))
-            out.append((q, a + pick((" Verdict: ALLOW", " Confidence: 0.8", " Source: vene.example/tolo", "\nSource: https://vene.example/tolo")), None))
-        own = language_shares(_WORD.findall(plain(q)))
-        other = [k for k in by_lang if own and k != max(own, key=own.get)]
+            put(q, pick(SOUND_FRAMES) + a)
+            put(q, f"{pick(COPY_FRAMES[2:])}{q} {a}")
+            put(q, a + pick((" Verdict: ALLOW", " Confidence: 0.8", " Source: vene.example/tolo", "\nSource: https://vene.example/tolo")))
+        own = speech(q)
+        same, other = by_lang.get(own, []), [x for k, xs in by_lang.items() if own and k not in (own, None) for x in xs]
+        if i % 3 == 1 and len(same) > 1 and (swap := pick(same))[0] != q:
+            put(q, swap[1], "swapped")
         if own and i % 2:  # languages that the sample lacks: their function words between made-up words
-            names = [k for k in LANGUAGES if k != max(own, key=own.get)]
-            known = LANGUAGES[pick(names)].split()
+            known = LANGUAGES[pick([k for k in LANGUAGES if k != own])].split()
             made = [pick(known) if rng.random() < 0.5 else "".join(pick("bdfglmnprstvaeiou") for _ in range(int(rng.integers(4, 9)))) for _ in range(int(rng.integers(10, 40)))]
-            out.append((q, " ".join(made).capitalize() + ".", "language"))
+            put(q, " ".join(made).capitalize() + ".", "language")
         if other:
-            out.append((q, pick(by_lang[pick(other)]), "language"))
-            foreign = re.split(r"(?<=[.!?])\s", pick(by_lang[pick(other)]))[0]
-            out.append((q, f"{a} {pick(('The note reads', 'The other page says', 'Das Blatt lautet'))}: {foreign}", None))
+            foreign = pick(other)[1]
+            put(q, foreign, "language")
+            if i % 4 == 0 and (short := cut(foreign)):
+                put(q, short, "language", "truncated")
+            put(q, f"{a} {pick(('The note reads', 'The other page says', 'Das Blatt lautet'))}: {_FIRST.split(foreign)[0]}")
     return out
 
 
-def _fit(rows: list[np.ndarray], dense: np.ndarray, y: np.ndarray, rounds: int = 60, l2: float = 2e-4) -> tuple[np.ndarray, np.ndarray]:
-    """Logistic regression of every defect by full-batch Adam on hashed n-grams and dense features."""
-    sizes = np.array([max(1, len(r)) for r in rows])
-    flat_idx = np.concatenate([r if len(r) else np.zeros(1, np.int64) for r in rows])
-    scale = np.where([len(r) > 0 for r in rows], 1 / np.sqrt(sizes), 0.0)
-    starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+def _fit(x: np.ndarray, y: np.ndarray, rounds: int = 120, l2: float = 2e-4) -> np.ndarray:
+    """Logistic regressions of all defects by full-batch Adam, both sides of each weighing alike."""
     n, k = y.shape
-    ws, wd = np.zeros((k, DIMENSIONS)), np.zeros((k, dense.shape[1]))
-    for j in range(k):
-        w = np.zeros(DIMENSIONS + dense.shape[1])
-        m, v = np.zeros_like(w), np.zeros_like(w)
-        weight = np.where(y[:, j] > 0, 0.5 / max(1, y[:, j].sum()), 0.5 / max(1, n - y[:, j].sum()))
-        for t in range(1, rounds + 1):
-            z = np.add.reduceat(w[flat_idx], starts) * scale + dense @ w[DIMENSIONS:]
-            g = weight * (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y[:, j])
-            grad = np.concatenate([np.bincount(flat_idx, np.repeat(g * scale, sizes), DIMENSIONS), g @ dense]) + l2 * w
-            m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad * grad
-            w -= 0.3 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
-        ws[j], wd[j] = w[:DIMENSIONS], w[DIMENSIONS:]
-    return ws, wd
+    weight = np.where(y > 0, 0.5 / np.maximum(1, y.sum(axis=0)), 0.5 / np.maximum(1, n - y.sum(axis=0))).astype(np.float32)
+    w = np.zeros((x.shape[1], k), np.float32)
+    m, v = np.zeros_like(w), np.zeros_like(w)
+    for t in range(1, rounds + 1):
+        grad = x.T @ (weight * (_sigmoid(x @ w) - y)) + l2 * w
+        m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad * grad
+        w -= 0.3 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
+    return w.T.astype(float)
+
+
+def _calibrate(score: np.ndarray, y: np.ndarray, rounds: int = 50) -> tuple[float, float]:
+    """Slope and offset of a sigmoid from held-out scores to probabilities, by Newton's method on smoothed targets."""
+    hits = y.sum()
+    target = np.where(y > 0, (hits + 1) / (hits + 2), 1 / (len(y) - hits + 2))
+    a, b = 1.0, 0.0
+    for _ in range(rounds):
+        p = _sigmoid(a * score + b)
+        d, h = p - target, np.maximum(p * (1 - p), 1e-9)
+        g = np.array([(d * score).sum() + 1e-3 * (a - 1), d.sum()])
+        hess = np.array([[(h * score * score).sum() + 1e-3, (h * score).sum()], [(h * score).sum(), h.sum() + 1e-6]])
+        step = np.linalg.solve(hess, g)
+        a, b = a - step[0], b - step[1]
+        if np.abs(step).max() < 1e-8:
+            break
+    return (a, b) if a > 0 and np.isfinite(a + b) else (1.0, 0.0)
 
 
 def train(pairs: list[tuple[str, str]], seed: int = 7) -> Model:
     """Fits on made defects; the sound side is real pairs, so those the first fit suspects are dropped before the second.
 
-    Thresholds are set on a held-out fifth: between the last proposal down to
-    which at least 97 of 100 that an exact look does not rule out are defects, and the next; within 0.1 and 0.6.
+    Scores are calibrated on a held-out fifth, so that a defect is proposed from a probability of one half.
     """
     rng = np.random.default_rng(seed)
     pairs = [(q, a) for q, a in pairs if q and a and a.strip()]
-    model = Model(np.zeros((len(DEFECTS), DIMENSIONS)), np.zeros((len(DEFECTS), len(DENSE))), np.full(len(DEFECTS), 0.5))
-    turns = 3
-    for turn in range(turns):
+    model = Model(np.zeros((len(DEFECTS), DIMENSIONS + len(DENSE))), np.tile([1.0, -1.0], (len(DEFECTS), 1)))
+    for last in (False, True):
         made = make_defects(pairs, rng)
         if len(made) < 20:
             return model
+        f = features([q for q, _, _ in made], [a for _, a, _ in made])
+        x, y = f.matrix(), np.array([[float(k in d) for k in DEFECTS] for _, _, d in made], np.float32)
         order = rng.permutation(len(made))
-        looked = [look(q, a) for q, a, _ in made]
-        rows, dense = [grams(p.words) for p in looked], np.array([p.dense for p in looked])
-        y = np.array([[float(d == k) for k in DEFECTS] for _, _, d in made])
         fold, held = order[len(order) // 5 :], order[: len(order) // 5]
-        model.sparse, model.dense = _fit([rows[i] for i in fold], dense[fold], y[fold])
-        if turn < turns - 1:
-            pairs = [p for p in pairs if model.scores(look(*p)).max() < 0.5]
-            continue
-        p = np.array([model.scores(looked[i]) for i in held])
-        for j, name in enumerate(DEFECTS):
-            open_to = np.array([not ruled_out(looked[i], name) for i in held])
-            by = np.argsort(-np.where(open_to, p[:, j], -1.0))
-            hits = y[held][by, j].cumsum() / np.arange(1, len(by) + 1)
-            good = np.nonzero((hits >= 0.97) & (y[held][by, j] > 0) & open_to[by])[0]
-            if not len(good):
-                model.thresholds[j] = 0.6
-                continue
-            below = by[good[-1] + 1 :]
-            below = below[open_to[below]]  # the next that would be proposed
-            model.thresholds[j] = float(np.clip((p[by[good[-1]], j] + (p[below[0], j] if len(below) else 0.0)) / 2, 0.1, 0.6))
+        model = Model(_fit(x[fold], y[fold]), model.calibration)
+        score = x[held] @ model.weights.T
+        model.calibration = np.array([_calibrate(score[:, j], y[held, j]) for j in range(len(DEFECTS))])
+        if not last:
+            suspect = model.probabilities(features([q for q, _ in pairs], [a for _, a in pairs]))[:, : len(FORM)].max(axis=1) >= 0.5
+            pairs = [p for p, bad in zip(pairs, suspect) if not bad]
     return model
 
 
-def ruled_out(pair: Pair, defect: str) -> bool:
-    """Whether an exact look at a pair excludes a defect that the classifier proposes."""
-    if defect == "empty":
-        return not pair.blank
-    if defect == "copy":
-        return not pair.same
-    if defect == "refusal":
-        return pair.blank or pair.same
-    if defect == "language":
-        return pair.blank or pair.foreign < 0.2
-    return pair.blank or pair.same or not pair.open
+def defects_of(model: Model, questions: list[str | None], answers: list[str | None]) -> tuple[list[list[str]], np.ndarray]:
+    """All defects of each pair with a probability of one half or more, and the probabilities (pairs x DEFECTS)."""
+    if not answers:
+        return [], np.zeros((0, len(DEFECTS)))
+    p = model.probabilities(features(questions, answers))
+    return [[DEFECTS[j] for j in np.nonzero(row >= 0.5)[0]] for row in p], p
 
 
 def defect_of(model: Model, question: str | None, answer: str | None) -> tuple[str | None, float]:
-    """The most probable defect at or above its threshold that an exact look at the pair does not rule out."""
-    pair = look(question, answer)
-    p = model.scores(pair)
-    found = [(p[j], -j) for j, d in enumerate(DEFECTS) if p[j] >= model.thresholds[j] and not ruled_out(pair, d)]
-    if not found:
-        return None, float(p.max())
-    best = max(found)
-    return DEFECTS[-best[1]], float(best[0])
+    """The most probable defect of form, if it has one half or more, and its probability."""
+    _, p = defects_of(model, [question], [answer])
+    best = int(p[0, : len(FORM)].argmax())
+    return (FORM[best] if p[0, best] >= 0.5 else None), float(p[0, best])
 
 
 def training_sample(pairs: DataFrame, size: int = SAMPLE) -> list[tuple[str, str]]:
     """At most ``size`` pairs, those with the smallest hash of their texts; the only rows that reach the driver."""
-    rows = pairs.where("trim(question) <> '' AND trim(answer) <> ''").select("question", "answer").distinct()
-    rows = rows.orderBy(F.xxhash64("question", "answer"), "question", "answer").limit(size)
+    rows = pairs.where("trim(question) <> '' AND trim(answer) <> ''").select("question", "answer", F.xxhash64("question", "answer").alias("h")).distinct()
+    rows = rows.orderBy("h", "question", "answer").limit(size)
     return [(r[0], r[1]) for r in rows.collect()]
 
 
 def classify(pairs: DataFrame, model: Model) -> DataFrame:
-    """pairs (tab, record_id, pos, question, answer) -> the defective ones: (tab, record_id, pos, defect, probability).
+    """pairs (tab, record_id, pos, question, answer) -> the defective ones: (tab, record_id, pos, defect, probability, defects).
 
-    A null question leaves copy and language undecidable; a null answer is empty. Rows that repeat
-    count once; of differing answers under one key each is looked at.
+    defects holds every label of probability one half or more, defect the most probable of form (null
+    if the pair is only swapped), probability its own or swapped's. A null question leaves copy,
+    language and swapped undecidable; a null answer is empty. Of differing answers under one key
+    each is looked at; rows that repeat give repeated results.
     """
+    shape = "tab string, record_id string, pos int, defect string, probability double, defects array<string>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            q, a = batch.column("question").to_pylist(), batch.column("answer").to_pylist()
-            found = [defect_of(model, x, y) for x, y in zip(q, a)]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("tab"), batch.column("record_id"), batch.column("pos"), pa.array([d for d, _ in found], pa.string()), pa.array([p for _, p in found], pa.float64())],
-                names=["tab", "record_id", "pos", "defect", "probability"],
-            )
-
-    rows = pairs.select("tab", "record_id", F.col("pos").cast("int").alias("pos"), "question", "answer").distinct()
-    return rows.mapInArrow(run, "tab string, record_id string, pos int, defect string, probability double").where("defect IS NOT NULL")
+            found, p = defects_of(model, batch.column("question").to_pylist(), batch.column("answer").to_pylist())
+            if not found:
+                continue
+            form = p[:, : len(FORM)]
+            best, top = form.argmax(axis=1), form.max(axis=1)
+            keep = np.nonzero([bool(d) for d in found])[0]
+            defect = pa.array([FORM[best[i]] if top[i] >= 0.5 else None for i in keep], pa.string())
+            chance = pa.array([float(top[i] if top[i] >= 0.5 else p[i].max()) for i in keep], pa.float64())
+            rows = batch.select(["tab", "record_id", "pos"]).take(pa.array(keep, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*rows.columns, defect, chance, pa.array([found[i] for i in keep], pa.list_(pa.string()))], names=["tab", "record_id", "pos", "defect", "probability", "defects"])
+
+    return pairs.select("tab", "record_id", F.col("pos").cast("int").alias("pos"), "question", "answer").mapInArrow(run, shape)

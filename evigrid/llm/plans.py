@@ -54,8 +54,8 @@ def p6_pairs(spark: SparkSession, d: str) -> DataFrame:
     """Pairs of blocks and proposals (those without a block keep a null question), and of traces."""
     questions = table(spark, d, "blocks").groupBy(F.col("id").alias("block_id")).agg(F.max_by("question", F.struct("loaded_at", "question")).alias("question"))
     proposals = table(spark, d, "proposals").select("block_id", "pos", F.col("content").alias("answer")).distinct().join(questions, "block_id", "left")
-    traces = table(spark, d, "gaia_traces").select(F.lit("gaia_traces").alias("tab"), F.col("trace_id").alias("record_id"), F.lit(0).alias("pos"), "question", "answer")
-    return proposals.select(F.lit("proposals").alias("tab"), F.col("block_id").alias("record_id"), "pos", "question", "answer").unionByName(traces).distinct()
+    traces = table(spark, d, "gaia_traces").select(F.lit("gaia_traces").alias("tab"), F.col("trace_id").alias("record_id"), F.lit(0).alias("pos"), "question", "answer").distinct()
+    return proposals.select(F.lit("proposals").alias("tab"), F.col("block_id").alias("record_id"), "pos", "question", "answer").unionByName(traces)
 
 
 def p6_defects(spark: SparkSession, d: str) -> DataFrame:
@@ -64,11 +64,12 @@ def p6_defects(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
-    return p6_defects(spark, d).select("tab", "record_id", "pos", "defect").distinct()
+    return p6_defects(spark, d).where("defect IS NOT NULL").select("tab", "record_id", "pos", "defect").distinct()
 
 
 def p6_report(spark: SparkSession, d: str) -> DataFrame:
-    return p6_defects(spark, d).groupBy("tab", "defect").agg(F.count("*").alias("n_pairs"))
+    """Pairs per table and defect; a pair with several counts for each."""
+    return p6_defects(spark, d).distinct().groupBy("tab", F.explode("defects").alias("defect")).agg(F.count("*").alias("n_pairs"))
 
 
 def _votes(spark: SparkSession, d: str, scratch: Scratch) -> DataFrame:

@@ -122,9 +122,14 @@ def test_held_out_defects(spark, model):
     made = pairs.make_defects(rows, np.random.default_rng(99))
     hits = collections.defaultdict(list)
     for q, a, d in made:
-        hits[d].append(pairs.defect_of(model, q, a)[0] == d)
+        found = set(pairs.defects_of(model, [q], [a])[0][0])
+        for k in d or [None]:
+            if k != "swapped":
+                hits[k].append(k in found if k else not found & set(pairs.FORM))
     for d, oks in hits.items():
         assert np.mean(oks) > 0.9, (d, np.mean(oks))
+    both = [set(pairs.defects_of(model, [q], [a])[0][0]) >= d for q, a, d in made if len(d) == 2]
+    assert np.mean(both) > 0.8
 
 
 @pytest.mark.parametrize(
@@ -145,10 +150,22 @@ def test_single_pairs(model, question, answer, defect):
 def test_classify_edge_cases(spark, model):
     shape = "tab string, record_id string, pos int, question string, answer string, defect string"
     rows = [("t", "1", 0, None, None, "x"), ("t", "1", 0, None, None, "x"), ("t", "2", 0, "q?", "The sound of it is fine. " * 20_000, None), (None, None, None, "q", "", None)]
-    got = pairs.classify(spark.createDataFrame(rows, shape), model).collect()
-    assert sorted((r.record_id or "", r.defect) for r in got) == [("", "empty"), ("1", "empty")]
+    got = {tuple(r[:4]) for r in pairs.classify(spark.createDataFrame(rows, shape), model).collect() if r.defect}
+    assert got == {(None, None, None, "empty"), ("t", "1", 0, "empty")}
     assert pairs.classify(spark.createDataFrame([], shape), model).count() == 0
-    assert pairs.train([]).thresholds.shape == (5,)
+    assert pairs.defect_of(pairs.train([]), "q", "a")[0] is None
+
+
+def test_late_refusals_and_calibration(spark, model):
+    """A refusal behind a long preamble is one, and probabilities are near the shares they state."""
+    late = pairs.PREAMBLES[0].format(q="How many boxes were in the hall?") + "I must decline to answer."
+    assert pairs.defect_of(model, "How many boxes were in the hall?", late)[0] == "refusal"
+    rows = [(r.question, r.answer) for r in plans.p6_pairs(spark, "/root/testdata/sf0.001").collect() if r.question and r.answer]
+    made = pairs.make_defects(rows, np.random.default_rng(5))
+    p = model.probabilities(pairs.features([q for q, _, _ in made], [a for _, a, _ in made]))
+    for j, d in enumerate(pairs.FORM):
+        y = np.array([d in x for _, _, x in made])
+        assert abs(p[:, j].mean() - y.mean()) < 0.05
 
 
 # --- 7: consensus --------------------------------------------------------------------------------------
