@@ -19,7 +19,7 @@ DEFECTS = ("empty", "copy", "refusal", "language", "truncated", "swapped")
 #: Those that concern the answer by itself or its form; swapped, an answer to another question, is reported beside them.
 FORM = DEFECTS[:5]
 #: Hashed n-gram dimensions, and the most pairs that the classifier is fitted on (a stated bound).
-DIMENSIONS, SAMPLE = 1 << 13, 1_200
+DIMENSIONS, SAMPLE = 1 << 12, 1_200
 
 #: What stands for an answer that is not there (compared in plain form without marks).
 PLACEHOLDERS = frozenset(
@@ -265,7 +265,7 @@ def make_defects(pairs: list[tuple[str, str]], rng: np.random.Generator) -> list
     return out
 
 
-def _fit(x: np.ndarray, y: np.ndarray, rounds: int = 120, l2: float = 2e-4) -> np.ndarray:
+def _fit(x: np.ndarray, y: np.ndarray, rounds: int = 80, l2: float = 2e-4) -> np.ndarray:
     """Logistic regressions of all defects by full-batch Adam, both sides of each weighing alike."""
     n, k = y.shape
     weight = np.where(y > 0, 0.5 / np.maximum(1, y.sum(axis=0)), 0.5 / np.maximum(1, n - y.sum(axis=0))).astype(np.float32)
@@ -307,13 +307,14 @@ def train(pairs: list[tuple[str, str]], seed: int = 7) -> Model:
         made = make_defects(pairs, rng)
         if len(made) < 20:
             return model
-        f = features([q for q, _, _ in made], [a for _, a, _ in made])
-        x, y = f.matrix(), np.array([[float(k in d) for k in DEFECTS] for _, _, d in made], np.float32)
-        order = rng.permutation(len(made))
-        fold, held = order[len(order) // 5 :], order[: len(order) // 5]
-        model = Model(_fit(x[fold], y[fold]), model.calibration)
-        score = x[held] @ model.weights.T
-        model.calibration = np.array([_calibrate(score[:, j], y[held, j]) for j in range(len(DEFECTS))])
+        made = [made[i] for i in rng.permutation(len(made))]
+        held, fold = made[: len(made) // 5], made[len(made) // 5 :]
+        ready = lambda rows: (features([q for q, _, _ in rows], [a for _, a, _ in rows]), np.array([[float(k in d) for k in DEFECTS] for _, _, d in rows], np.float32))
+        f, y = ready(fold)
+        model = Model(_fit(f.matrix(), y), model.calibration)
+        f, y = ready(held)
+        score = model.scores(f)
+        model.calibration = np.array([_calibrate(score[:, j], y[:, j]) for j in range(len(DEFECTS))])
         if not last:
             suspect = model.probabilities(features([q for q, _ in pairs], [a for _, a in pairs]))[:, : len(FORM)].max(axis=1) >= 0.5
             pairs = [p for p, bad in zip(pairs, suspect) if not bad]
