@@ -7,6 +7,8 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
+from json.decoder import scanstring
 
 #: Names under which a step keeps its child steps.
 CHILD_KEYS = ("steps", "children", "substeps", "sub_steps", "subSteps", "child_steps")
@@ -17,21 +19,92 @@ RECORD_KEYS = ("trace", "steps", "task_id")
 _BLANK = " \t\r\n\f\v ​‌‍⁠﻿"
 
 
+_SPACE = re.compile(r"[ \t\n\r]*")
+_SCALAR = re.compile(r"null|true|false|-?(?:0|[1-9]\d*)(?:\.\d+)?(?:[eE][+-]?\d+)?")
+
+
 def _no_constant(name: str):
     raise ValueError(name)
 
 
 def parse(text: str):
-    """The JSON value of a text, or None where it is unreadable; NaN and Infinity are no JSON."""
+    """The JSON value of a text, or None where it is unreadable; NaN and Infinity are no JSON. Depth is not bounded."""
+    text = text.strip(_BLANK).strip()
+    try:
+        return json.loads(text, parse_constant=_no_constant)
+    except RecursionError:
+        pass
+    except ValueError:
+        return None
     try:
-        return json.loads(text.strip(_BLANK).strip(), parse_constant=_no_constant)
-    except (ValueError, RecursionError):
+        return _parse_deep(text)
+    except ValueError:
         return None
 
 
+def _parse_deep(s: str):
+    """A JSON text of any depth, with a stack of its own; as strict as the library's parser."""
+
+    def skip(i: int) -> int:
+        return _SPACE.match(s, i).end()
+
+    def key_at(i: int) -> tuple[str, int]:
+        if s[i : i + 1] != '"':
+            raise ValueError(i)
+        key, i = scanstring(s, i + 1, True)
+        i = skip(i)
+        if s[i : i + 1] != ":":
+            raise ValueError(i)
+        return key, skip(i + 1)
+
+    stack: list[tuple] = []  # an open container, and for objects the key under way
+    i = skip(0)
+    while True:
+        c = s[i : i + 1]
+        if c in ("{", "["):
+            i = skip(i + 1)
+            if s[i : i + 1] != ("}" if c == "{" else "]"):
+                if c == "{":
+                    key, i = key_at(i)
+                    stack.append(({}, key))
+                else:
+                    stack.append(([], None))
+                continue
+            value, i = ({} if c == "{" else []), i + 1
+        elif c == '"':
+            value, i = scanstring(s, i + 1, True)
+        elif m := _SCALAR.match(s, i):
+            value, i = json.loads(m[0]), m.end()
+        else:
+            raise ValueError(i)
+        while True:  # put the value away, and close what ends with it
+            i = skip(i)
+            if not stack:
+                if i != len(s):
+                    raise ValueError(i)
+                return value
+            holder, key = stack[-1]
+            is_object = isinstance(holder, dict)
+            if is_object:
+                holder[key] = value
+            else:
+                holder.append(value)
+            c = s[i : i + 1]
+            if c == ",":
+                i = skip(i + 1)
+                if is_object:
+                    key, i = key_at(i)
+                    stack[-1] = holder, key
+                break
+            if c != ("}" if is_object else "]"):
+                raise ValueError(i)
+            value, i = holder, i + 1
+            stack.pop()
+
+
 def opened(value):
-    """The value itself, or what a string holds that is itself a JSON object or array."""
-    for _ in range(8):
+    """The value itself, or what a string holds that is itself a JSON object or array, however often it is wrapped."""
+    while True:  # each string is shorter than the one that holds it
         if not isinstance(value, str) or value.strip(_BLANK)[:1] not in ("{", "["):
             return value
         inner = parse(value)
@@ -86,7 +159,26 @@ def items_of(value) -> list:
 
 
 def canonical(value) -> str:
-    return json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
+    try:
+        return json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
+    except RecursionError:
+        pass
+    out, todo = [], [(value, None)]  # a value to write, or a text that is ready
+    while todo:
+        v, ready = todo.pop()
+        if ready is not None:
+            out.append(ready)
+        elif isinstance(v, dict) and v:
+            todo.append((None, "}"))
+            for n, k in enumerate(sorted(v, reverse=True), 1):
+                todo += [(v[k], None), (None, f"{',' if n < len(v) else '{'}{json.dumps(k, ensure_ascii=False)}:")]
+        elif isinstance(v, list) and v:
+            todo.append((None, "]"))
+            for n, x in enumerate(reversed(v), 1):
+                todo += [(x, None), (None, "," if n < len(v) else "[")]
+        else:
+            out.append(json.dumps(v, ensure_ascii=False))
+    return "".join(out)
 
 
 def digest(text: str) -> str:

@@ -2,36 +2,113 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, functions as F
 
 from evigrid.functions import similarity as S, text as T
 
 #: Overlap from which a sentence paraphrases an answer, and from which it does so surely.
 PARAPHRASE, SURE = 0.5, 0.7
+#: Phrases of questions that ask for exact wording, and for a translated title.
+EXACT_PHRASES = (
+    "exactly as it appears", "exactly as they appear", "word for word", "verbatim", "exact wording", "exact phrase", "exact name", "exact title", "exact text", "quote the exact", "exact sentence",
+    "exact one-line", "one-line description",
+)
+EXACT_PATTERNS = (r"(?i)quote the exact\s+(sentence|line|one-line description)", r"(?i)as given in the .* lede")
+TITLE_PHRASES = ("google translation", "translation of the source title", "translated title", "what is the translation")
+#: The lexical bridge of titles, longer phrases first.
+TITLE_PHRASE_WORDS = (("siglo veintiuno", "twenty first century"),)
+TITLE_WORDS = {"el": "the", "la": "the", "los": "the", "las": "the", "del": "of the", "de": "of", "mundo": "world", "siglo": "century", "veintiuno": "twenty first"}
+#: What negates an answer that follows within three words.
+NEGATIONS = "not|no|never|without"
+
+
+def _any(text: Column, phrases: tuple[str, ...]) -> Column:
+    return reduce(lambda a, b: a | b, [F.lower(text).contains(p) for p in phrases])
+
+
+def asks_exact(question: Column) -> Column:
+    return F.coalesce(_any(question, EXACT_PHRASES) | reduce(lambda a, b: a | b, [question.rlike(p) for p in EXACT_PATTERNS]), F.lit(False))
+
+
+def asks_title(question: Column) -> Column:
+    return F.coalesce(_any(question, TITLE_PHRASES), F.lit(False))
+
+
+def _quoted(word: Column) -> Column:
+    """A word as a literal part of a pattern; the closing quote within a word is taken out of the quoting."""
+    return F.concat(F.lit(r"\Q"), F.replace(word, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E"))
+
+
+def negates(sentence: Column, answer: Column) -> Column:
+    """Whether a normal sentence negates a normal answer within three words before it."""
+    words = F.array_join(F.transform(F.split(answer, " "), _quoted), r"\W+")
+    return F.regexp_count(sentence, F.concat(F.lit(rf"(?:^|\b)(?:{NEGATIONS})(?:\W+\w+){{0,3}}\W+"), words, F.lit(r"(?:\b|$)"))) > 0
+
+
+def usable(answer: Column, source: Column, sentences: Column) -> Column:
+    """Whether a normal answer stands in a normal source outside of negation; sentences: the source's, in normal form."""
+    holding = F.filter(sentences, lambda s: s.contains(answer))
+    return (answer != "") & source.contains(answer) & ((F.size(holding) == 0) | F.exists(holding, lambda s: ~negates(s, answer)))
+
+
+def translated(sentence: Column) -> Column:
+    """A sentence with title words of the bridge in English, in normal form."""
+    out = reduce(lambda s, p: F.regexp_replace(s, f"(?i){p[0]}", p[1]), TITLE_PHRASE_WORDS, sentence)
+    known = F.create_map(*[F.lit(x) for pair in TITLE_WORDS.items() for x in pair])
+    words = F.transform(F.split(out, r"\s+"), lambda t: F.coalesce(F.try_element_at(known, F.regexp_replace(F.lower(t), r"[^\p{L}\p{N}]+", "")), t))
+    return T.collapsed(F.array_join(words, " "))
 
 
 def span_entailment(rows: DataFrame, key: str, question: str, answer: str, source: str) -> DataFrame:
-    """(key, support, confidence): exact, paraphrase or unsupported, from the sentences of the source.
+    """(key, support, confidence, exact_question, matched_span) from the sentences of the source.
 
-    An answer that stands in the source word for word is exact, unless every sentence with it negates
-    it; an answer of several parts is exact if each part stands there. Else the sentence with the
-    largest word overlap decides. Blank answers are unsupported. All within a row, without a shuffle.
+    An answer that stands in the source word for word is exact (high), unless every sentence with it
+    negates it: unsupported (high). Else an answer of several parts of which each stands there
+    outside of negation is a paraphrase (medium), and so is one that stands in a translated title, if
+    the question asks for that. Else the sentence with the largest word overlap decides between
+    paraphrase (high or medium) and unsupported, which is sure (high) only where the question asks
+    for exact wording. Nulls count as empty texts; blank answers are unsupported. All within a row,
+    without a shuffle.
     """
-    norm, low = T.collapsed(F.col(answer)), T.collapsed(F.coalesce(F.col(source), F.lit("")))
-    sents = F.transform(T.sentences(F.coalesce(F.col(source), F.lit(""))), T.collapsed)
-    holding = F.filter("_s", lambda s: s.contains(F.col("_a")))
-    negated = F.forall(F.col("_h"), lambda s: F.regexp_count(s, F.concat(F.lit(r"(?<![a-z])(?:not|no|never|without)(?:\s+\S+){0,3}\s+\Q"), F.col("_a"), F.lit(r"\E"))) > 0) & (F.size("_h") > 0)
-    parts = F.filter(F.transform(F.split(F.col("_a"), "[;,]"), lambda p: F.trim(p)), lambda p: p != "")
-    best = F.array_max(F.transform(F.col("_s"), lambda s: S.jaccard(T.word_set(F.col("_a")), T.word_set(s), 1.0)))
-    d = rows.select(key, norm.alias("_a"), low.alias("_l"), sents.alias("_s")).withColumn("_h", holding)
-    d = d.withColumn("_best", F.coalesce(best, F.lit(0.0)))
-    found, many = F.col("_l").contains(F.col("_a")), F.size(parts) >= 2
+    text = lambda c: F.coalesce(F.col(c), F.lit(""))
+    parted = F.filter(F.transform(F.split(text(source), r"[.!?\n]+"), lambda s: F.regexp_replace(s, r"^\s+|\s+$", "")), lambda s: F.length(s) > 2)
+    d = rows.select(
+        key, T.collapsed(text(answer)).alias("_a"), F.regexp_replace(text(answer), r"^\s+|\s+$", "").alias("_span"), T.collapsed(text(source)).alias("_l"), parted.alias("_p"),
+        F.transform(parted, T.collapsed).alias("_s"), asks_exact(text(question)).alias("_exact"), asks_title(text(question)).alias("_title"),
+    )
+    a, low = F.col("_a"), F.col("_l")
+    holding = F.filter("_s", lambda s: s.contains(a))
+    negated = (F.size(holding) > 0) & F.forall(holding, lambda s: negates(s, a))
+    parts = F.when(a.rlike("[;,]"), F.filter(F.transform(F.split(a, "[;,]"), lambda p: F.trim(p)), lambda p: p != "")).otherwise(F.array().cast("array<string>"))
+    composed = (F.size(parts) >= 2) & F.forall(parts, lambda p: usable(p, low, F.col("_s")))
+    bridged = F.col("_title") & F.exists("_p", lambda s: translated(s).contains(a))
+    best = F.coalesce(F.array_max(F.transform("_s", lambda s: S.jaccard(T.word_set(a), T.word_set(s), 1.0))), F.lit(0.0))
     say = lambda s, c: F.struct(F.lit(s).alias("s"), F.lit(c).alias("c"))
-    support = (
-        F.when(F.col("_a") == "", say("unsupported", "high"))
-        .when(found & negated, say("unsupported", "high")).when(found, say("exact", "high"))
-        .when(many & F.forall(parts, lambda p: F.col("_l").contains(p)), say("exact", "medium"))
-        .when(F.col("_best") >= SURE, say("paraphrase", "high")).when(F.col("_best") >= PARAPHRASE, say("paraphrase", "medium"))
-        .otherwise(say("unsupported", "low"))
+    found = (a != "") & low.contains(a)
+    d = d.withColumn("_best", best)
+    told = (
+        F.when(found & negated, say("unsupported", "high")).when(found, say("exact", "high"))
+        .when(composed, say("paraphrase", "medium")).when((a != "") & bridged, say("paraphrase", "medium"))
+        .when((a != "") & (F.col("_best") >= SURE), say("paraphrase", "high")).when((a != "") & (F.col("_best") >= PARAPHRASE), say("paraphrase", "medium"))
+        .when(F.col("_exact"), say("unsupported", "high")).otherwise(say("unsupported", "medium"))
     )
-    return d.withColumn("_o", support).select(key, F.col("_o.s").alias("support"), F.col("_o.c").alias("confidence"))
+    d = d.withColumn("_o", told)
+    return d.select(key, F.col("_o.s").alias("support"), F.col("_o.c").alias("confidence"), F.col("_exact").alias("exact_question"), F.when(F.col("_o.s") == "exact", F.col("_span")).alias("matched_span"))
+
+
+def source_claims(traces: DataFrame, key: str = "trace_id") -> DataFrame:
+    """The source-claim map of typed traces: (key, support, confidence, exact_question, matched_span) of the ground truth against all evidence.
+
+    Traces without a ground truth have no entry; of rows that repeat a key the latest counts.
+    """
+    evidence = F.filter(F.flatten(F.transform(F.filter(F.coalesce("trace.steps", F.array().cast("array<struct<evidence:array<string>>>")), lambda s: s.isNotNull()), lambda s: F.coalesce(s["evidence"], F.array().cast("array<string>")))), lambda e: e != "")
+    known = traces.where(f"trim(ground_truth) <> '' AND `{key}` IS NOT NULL").select(key, "question", "ground_truth", F.array_join(evidence, "\n").alias("source"), "loaded_at")
+    last = known.groupBy(key).agg(F.max(F.struct("loaded_at", "question", "ground_truth", "source")).alias("r")).select(key, "r.*")
+    return span_entailment(last, key, "question", "ground_truth", "source")
+
+
+def with_claims(traces: DataFrame, claims: DataFrame, key: str = "trace_id") -> DataFrame:
+    """Traces with their source claim; those without one keep nulls. The join is on the key; the planner broadcasts claims it knows to be small."""
+    return traces.join(claims, key, "left")

@@ -30,7 +30,37 @@ def leave_one_out(labelled: DataFrame, item: str, gold: str = "gold", verdict: s
     rows = labelled.select(F.col(item).alias("item"), hit.alias("hit"))
     totals = rows.agg(F.struct(F.count("*").alias("n"), F.sum("hit").alias("c"))).scalar()
     without = F.try_divide(F.col("t.c") - F.col("hit"), F.col("t.n") - 1)
-    return rows.withColumn("t", totals).select("item", "hit", without.alias("accuracy_without"), F.abs(without - F.try_divide("t.c", "t.n")).alias("influence"))
+    return rows.withColumn("t", totals).select("item", "hit", without.alias("accuracy_without"), F.abs(without - F.try_divide("t.c", "t.n")).alias("influence"), (without - F.try_divide("t.c", "t.n")).alias("impact"))
+
+
+#: Families of case ids by their beginnings, in two namings.
+ID_FAMILIES = (("B", ("V3-", "B-")), ("C", ("V2-", "C-")), ("D", ("V0-", "D-")), ("H", ("V1-", "H-")), ("G", ("GAIA-",)))
+
+
+def id_family(case_id: Column) -> Column:
+    """Family of a case by how its id begins; ``?`` for others."""
+    out = F.lit("?")
+    for name, starts in reversed(ID_FAMILIES):
+        out = F.when(reduce(lambda a, b: a | b, [case_id.startswith(s) for s in starts]), name).otherwise(out)
+    return out
+
+
+def leave_one_out_summary(folds: DataFrame, gate: float = 0.80) -> DataFrame:
+    """One row over the folds of leave_one_out: mean, sample deviation, least and greatest accuracy, accuracy of all, and whether its interval clears the gate."""
+    n, c = F.count("*"), F.sum("hit")
+    low, high = wilson(F.col("correct"), F.col("n"))
+    return folds.agg(
+        n.alias("n"), c.alias("correct"), F.avg("accuracy_without").alias("mean"), F.stddev_samp("accuracy_without").alias("deviation"), F.min("accuracy_without").alias("least"), F.max("accuracy_without").alias("greatest")
+    ).withColumn("accuracy", F.try_divide("correct", "n")).withColumn("low", low).withColumn("high", high).withColumn("passes", F.col("accuracy") >= gate)
+
+
+def influential(folds: DataFrame, over: float = 0.001) -> DataFrame:
+    """(item, impact, direction) of items whose removal moves the accuracy by more than ``over``; sort by the size of the impact to rank them."""
+    return folds.where(F.abs("impact") > over).select("item", "impact", F.when(F.col("impact") > 0, "removal improves").otherwise("removal hurts").alias("direction"))
+
+
+def mismatches(labelled: DataFrame, item: str, gold: str = "gold", verdict: str = "verdict") -> DataFrame:
+    return labelled.where(F.coalesce(F.col(gold) != F.col(verdict), F.lit(True))).select(item, gold, verdict)
 
 
 def benchmark_status(expected: Column, actual: Column) -> Column:
@@ -40,15 +70,39 @@ def benchmark_status(expected: Column, actual: Column) -> Column:
     return F.when(actual.isNull(), "manual_gap").when(e == a, "exact").when(a < e, "conservative").otherwise("dangerous")
 
 
-def drift(a: DataFrame, b: DataFrame, keys: list[str], tolerance: float = 0.02) -> DataFrame:
-    """Score differences of two runs on the steps both have: (keys, score_a, score_b, delta, drifted). Last duplicate by score counts."""
-    last = lambda df, c, p: df.groupBy(*keys).agg(F.max("score").alias(c), F.max_by("predicate", "score").alias(p))
-    both = last(a, "score_a", "predicate_a").join(last(b, "score_b", "predicate_b"), keys)
-    delta = F.abs(F.col("score_a") - F.col("score_b"))
+def drift(a: DataFrame, b: DataFrame, keys: list[str], tolerance: float = 0.02, at: str = "at") -> DataFrame:
+    """Score differences of two runs on the steps both have: (keys, score_a, score_b, delta, drifted, collapsed). Of repeated keys the row with the latest ``at`` counts, of equal ones the larger score."""
+    last = lambda df, p: df.groupBy(*keys).agg(F.max(F.struct(at, "score", "predicate")).alias("r")).select(*keys, F.col("r.score").alias(f"score_{p}"), F.col("r.predicate").alias(f"predicate_{p}"))
+    both = last(a, "a").join(last(b, "b"), keys)
+    delta = F.abs(F.coalesce("score_a", F.lit(0.0)) - F.coalesce("score_b", F.lit(0.0)))
     collapse = (F.col("predicate_a") != F.col("predicate_b")) & ((F.col("predicate_a") == "unsupported") | (F.col("predicate_b") == "unsupported")) & (delta >= 0.5)
     return both.select(*keys, "score_a", "score_b", delta.alias("delta"), (delta > tolerance).alias("drifted"), collapse.alias("collapsed"))
 
 
+def flip_kind(before: Column, after: Column) -> Column:
+    """safety where a BLOCK became an ALLOW, cross where the other two ends meet, adjacent otherwise; null where nothing changed."""
+    passing = ("ALLOW", "CONDITIONAL_ALLOW")
+    return (
+        F.when(before == after, F.lit(None)).when((before == "BLOCK") & after.isin(*passing), "safety").when(before.isin(*passing) & (after == "BLOCK"), "cross").otherwise("adjacent")
+    )
+
+
+def drift_acceptance(drifted: DataFrame, verdicts: DataFrame) -> DataFrame:
+    """One row per criterion of a rerun: (criterion, value, target, passes). verdicts: verdict_a, verdict_b per item.
+
+    Oscillators at most .15 of the steps, largest drift below .10, no verdict flip, no step that fell
+    to unsupported, and no BLOCK that became an ALLOW.
+    """
+    s = drifted.agg(F.coalesce(F.try_divide(F.count_if("drifted"), F.count("*")), F.lit(0.0)).alias("o"), F.coalesce(F.max("delta"), F.lit(0.0)).alias("m"), F.count_if("collapsed").cast("double").alias("d"))
+    kind = flip_kind(F.col("verdict_a"), F.col("verdict_b"))
+    v = verdicts.agg(F.count(kind).cast("double").alias("f"), F.count_if(kind == "safety").cast("double").alias("b"))
+    both = s.withColumn("v", v.select(F.struct("f", "b")).scalar())
+    row = lambda n, c, t, ok: F.struct(F.lit(n).alias("criterion"), c.alias("value"), F.lit(t).alias("target"), ok.alias("passes"))
+    o, m, d, f, k = F.col("o"), F.col("m"), F.col("d"), F.col("v.f"), F.col("v.b")
+    rows = F.array(row("oscillator", o, 0.15, o <= 0.15), row("max_drift", m, 0.10, m < 0.10), row("verdict_flips", f, 0.0, f == 0), row("collapsed", d, 0.0, d == 0), row("block_to_allow", k, 0.0, k == 0))
+    return both.select(F.explode(rows).alias("r")).select("r.*")
+
+
 def drift_summary(drifted: DataFrame) -> DataFrame:
     return drifted.agg(
         F.count("*").alias("compared"), F.count_if("drifted").alias("drifted"), F.max("delta").alias("max_delta"), F.avg("delta").alias("mean_delta"),

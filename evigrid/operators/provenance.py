@@ -104,3 +104,75 @@ def variants(quote: Column) -> Column:
     swapped = F.when(n >= 4, F.array_join(F.concat(F.slice(words, F.lit(1), mid - 1), F.array(F.get(words, mid)), F.array(F.get(words, mid - 1)), F.slice(words, mid + 2, n)), " ")).otherwise(quote)
     made = [("plain", quote), ("smart", F.translate(quote, "'\"", "’”")), ("dash", F.translate(quote, "-", "—")), ("ellipsis", F.concat(quote, F.lit("..."))), ("wrapped", F.concat(F.lit('"'), quote, F.lit('"'))), ("swapped", swapped)]
     return F.array(*[F.struct(F.lit(k).alias("kind"), t.alias("text")) for k, t in made])
+
+
+#: Characters by which a text's tokenisation is suspected, with the names of the signals.
+SIGNALS = (
+    ("smart_apostrophe", "[\u2018\u2019]"), ("smart_quote", "[\u201c\u201d]"), ("nbsp", "\u00a0"), ("en_or_em_dash", "[\u2013\u2014]"), ("ellipsis_char", "\u2026"),
+    ("zero_width_space", "[\u200b-\u200d\ufeff]"), ("crlf_newline", r"\r\n|\r"),
+)
+#: Wording of a judge that hints at a wrong source.
+WRONG_SOURCE_HINT = r"(?i)wikipedia|blog|secondary|different source|wrong source"
+
+
+def signals(text: Column) -> Column:
+    """Names of the tokenisation signals in a text, in order."""
+    return F.array_compact(F.array(*[F.when(text.rlike(p), F.lit(n)) for n, p in SIGNALS]))
+
+
+def is_structural(quote: Column) -> Column:
+    """Three quotation marks or more within the first 80 characters: a quote of a quote."""
+    return F.regexp_count(F.left(quote, F.lit(80)), F.lit("[\"'\u2018\u2019\u201c\u201d]")) >= 3
+
+
+def hex_dump(text: Column, most: int = 60) -> Column:
+    """The first bytes of a text's UTF-8 form, two digits each."""
+    return F.trim(F.regexp_replace(F.lower(F.hex(F.substring(F.encode(text, "UTF-8"), 1, most))), "(..)", "$1 "))
+
+
+def diagnose(rows: DataFrame, quote: str = "quote", source: str = "source", reasoning: str | None = None) -> DataFrame:
+    """rows with match_path and why a quote is not found: prefix, position, first_difference, quote_hex, source_hex, signals, mode.
+
+    Only the exact, whitespace and truncated paths count as found here. mode is no_quote, matched,
+    or for the others what their texts suggest, in this order: tokenisation, a quote of a quote, a
+    wrong source (by the judge's reasoning), a paraphrase (a beginning of eight characters or more,
+    but of less than six tenths), else inconclusive. A null source holds nothing. All within a row.
+    """
+    text, clean = F.coalesce(F.col(source), F.lit("")), clean_quote(F.col(quote))
+    d = rows.withColumn("_path", match_path(F.col(quote), text, False)).withColumn("_prefix", longest_prefix(clean, text))
+    d = d.withColumn("_at", F.when(F.col("_prefix") > 0, F.call_function("instr", text, F.left(clean, F.col("_prefix"))) - 1).otherwise(-1))
+    held = F.col("_at") >= 0
+    window = F.when(held, F.substr(text, F.greatest(F.col("_at") - 4, F.lit(1)), F.length(clean) + 5 + F.least(F.col("_at"), F.lit(5)))).otherwise("")
+    of_quote, of_source = signals(clean), signals(window)
+    told = F.array_compact(F.array(
+        F.when(F.size(of_quote) > 0, F.concat(F.lit("quote:"), F.array_join(of_quote, ","))), F.when(F.size(of_source) > 0, F.concat(F.lit("trace:"), F.array_join(of_source, ","))),
+        F.when(is_structural(clean), F.lit("structural_meta_quote")), F.when(F.col(reasoning).rlike(WRONG_SOURCE_HINT), F.lit("reasoning_hints_wrong_source")) if reasoning else F.lit(None).cast("string"),
+    ))
+    failed = F.col("_path") == PATHS[5]
+    d = d.withColumn("_told", F.when(failed, told).otherwise(F.array().cast("array<string>")))
+    mode = (
+        F.when(F.col(quote).isNull(), "no_quote").when(~failed, "matched")
+        .when(F.exists("_told", lambda s: s.rlike("^(quote|trace):")), "mode_1_tokenization").when(F.array_contains("_told", "structural_meta_quote"), "mode_3_structural")
+        .when(F.array_contains("_told", "reasoning_hints_wrong_source"), "mode_4_wrong_source")
+        .when((F.col("_prefix") >= 8) & (F.col("_prefix") < 0.6 * F.length(clean)), "mode_2_paraphrase").otherwise("inconclusive")
+    )
+    only = lambda c: F.when(failed, c)
+    return d.select(
+        *rows.columns, F.coalesce("_path", F.lit(PATHS[5])).alias("match_path"), only(F.col("_prefix")).alias("prefix"), only(F.col("_at")).alias("position"),
+        only(F.when(held, F.col("_prefix")).otherwise(0)).alias("first_difference"), only(hex_dump(clean)).alias("quote_hex"),
+        only(F.when(held, hex_dump(F.substr(text, F.col("_at") + 1, F.length(clean) + 4))).otherwise("")).alias("source_hex"), F.col("_told").alias("signals"), mode.alias("mode"),
+    )
+
+
+def path_distribution(matched: DataFrame) -> DataFrame:
+    """(match_path, n): most frequent first."""
+    return matched.groupBy("match_path").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "match_path")
+
+
+def probe_sweep(probes: DataFrame, source: str = "source") -> DataFrame:
+    """(kind, probes, before, after, gained): per kind of variant how many match without and with the unicode and unwrapping paths. probes: kind, text, source."""
+    plain = match_path(F.col("text"), F.col(source), False)
+    both = with_match_path(probes.withColumn("_before", plain), "text", source)
+    hit = lambda c: F.coalesce(F.col(c) != PATHS[5], F.lit(False))
+    out = both.groupBy("kind").agg(F.count("*").alias("probes"), F.count_if(hit("_before")).alias("before"), F.count_if(hit("match_path")).alias("after"))
+    return out.withColumn("gained", F.col("after") - F.col("before"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from evigrid.functions import text as T
 from evigrid.session import Scratch
@@ -34,26 +34,32 @@ def flow_ends(steps: DataFrame, group: list[str], order: str, step: str) -> Data
     return steps.groupBy(*group).agg(F.min(key)[step].alias("first_step"), F.max(key)[step].alias("last_step"), F.count("*").alias("n_steps"))
 
 
-def flatten_spans(spans: DataFrame, max_depth: int = 1000) -> DataFrame:
+def flatten_spans(spans: DataFrame) -> DataFrame:
     """Depth and pre-order path of each span of a parent-pointer tree: (trace_id, span_id, depth, path).
 
-    A recursive query over all traces at once: one join per level. Spans whose parent is unknown are roots of
-    their trace; spans in a cycle belong to no root and do not appear. Siblings keep their pos.
+    Every span first points to its parent; each round replaces its pointer by that of the span it
+    points to and joins the paths, so a tree of depth n takes log n rounds over all traces at once.
+    Spans whose parent is unknown are roots of their trace; spans in a cycle, or below one, reach no
+    root and do not appear. Siblings keep their pos, in nine digits; a larger or negative pos is an
+    error, as its path would sort wrongly.
     """
+    scratch = Scratch(spans.sparkSession)
     parents = spans.select("trace_id", F.col("span_id").alias("parent_span_id")).distinct()
     known = spans.join(parents.withColumn("has_parent", F.lit(True)), ["trace_id", "parent_span_id"], "left")
-    level = known.where("has_parent IS NULL").select("trace_id", "span_id", F.lit(0).alias("depth"), F.lpad(F.col("pos").cast("string"), 9, "0").alias("path"))
-    children = known.where("has_parent").select("trace_id", "parent_span_id", "span_id", F.lpad(F.col("pos").cast("string"), 9, "0").alias("p"))
-    scratch = Scratch(spans.sparkSession)
-    level, out = scratch.cut(level), None
-    for depth in range(1, max_depth + 1):
-        out = level if out is None else out.unionByName(level)
-        level = scratch.cut(
-            children.join(level.select("trace_id", F.col("span_id").alias("parent_span_id"), "path"), ["trace_id", "parent_span_id"]).select("trace_id", "span_id", F.lit(depth).alias("depth"), F.concat_ws("/", "path", "p").alias("path"))
-        )
-        if level.isEmpty():
-            break
-    return out
+    digits = F.when(F.col("pos").between(0, 999_999_999), F.lpad(F.col("pos").cast("string"), 9, "0")).when(F.col("pos").isNotNull(), F.raise_error(F.concat(F.lit("position out of range: "), F.col("pos").cast("string"))))
+    base = scratch.cut(known.select("trace_id", "span_id", F.when(F.col("has_parent"), F.col("parent_span_id")).alias("up"), F.coalesce("has_parent", F.lit(False)).cast("int").alias("depth"), digits.alias("path")))
+    done, open_ = base.where("up IS NULL"), base.where("up IS NOT NULL")
+    finished = done
+    while True:
+        # those that a round's spans may point to: all that were open at its start, and all that were done
+        targets = done.unionByName(open_).select("trace_id", F.col("span_id").alias("up"), F.col("up").alias("next"), F.col("depth").alias("more"), F.col("path").alias("before"))
+        step = open_.join(targets, ["trace_id", "up"]).select("trace_id", "span_id", F.col("next").alias("up"), (F.col("depth") + F.col("more")).alias("depth"), F.concat_ws("/", "before", "path").alias("path"))
+        moved = scratch.cut(step)
+        found = moved.where("up IS NULL")
+        if found.isEmpty():  # what is still open hangs on a cycle
+            return finished.select("trace_id", "span_id", "depth", "path")
+        finished = finished.unionByName(found)
+        done, open_ = finished, moved.where("up IS NOT NULL")
 
 
 def enrich_gold(traces: DataFrame, gold: DataFrame, key: str, strict: bool = False) -> DataFrame:
@@ -80,15 +86,78 @@ def enrich_pages(traces: DataFrame, pages: DataFrame) -> DataFrame:
     return out.withColumn("evidence", F.when(hit, F.array_union(F.coalesce("evidence", F.array().cast("array<string>")), "extra")).otherwise(F.col("evidence"))).drop("browse_pos", "extra")
 
 
+#: Origins of a provenance, and groups of steps.
+ORIGINS, GROUPS = ("explicit", "inferred", "annotator"), ("annotator", "agent:plan", "agent:exec")
+
+
+def _empty(c: Column) -> Column:
+    return F.coalesce(F.trim(c), F.lit("")) == ""
+
+
+def _provenance_rules(p: str) -> list[tuple[str, str, Column]]:
+    p = F.col(p)
+    return [
+        ("error", "no_provenance", p.isNull()), ("error", "unknown_origin", p.isNotNull() & ~F.coalesce(p["origin"].isin(*ORIGINS), F.lit(False))),
+        ("error", "no_source_evidence", p.isNotNull() & _empty(p["sourceEvidence"])), ("error", "confidence_out_of_range", p.isNotNull() & ~F.coalesce(p["confidence"].between(0, 1), F.lit(False))),
+    ]
+
+
+def _broken(rules: list[tuple[str, str, Column]]) -> Column:
+    return F.explode(F.array_compact(F.array(*[F.when(c, F.struct(F.lit(s).alias("severity"), F.lit(r).alias("rule"))) for s, r, c in rules])))
+
+
 def validate_steps(steps: DataFrame) -> DataFrame:
     """(trace_id, step_id, severity, rule) for each broken rule of a step table; distinct."""
-    empty = lambda c: F.coalesce(F.trim(c), F.lit("")) == ""
     rules = [
-        ("error", "empty_step_id", empty(F.col("step_id"))), ("error", "empty_description", empty(F.col("description"))), ("error", "unknown_group", ~F.coalesce(F.col("grp").isin("annotator", "agent:plan", "agent:exec"), F.lit(False))),
+        ("error", "empty_step_id", _empty(F.col("step_id"))), ("error", "empty_description", _empty(F.col("description"))), ("error", "unknown_group", ~F.coalesce(F.col("grp").isin(*GROUPS), F.lit(False))),
         ("error", "index_below_one", F.coalesce(F.col("idx") < 1, F.lit(True))), ("error", "confidence_out_of_range", F.coalesce(~F.col("provenance.confidence").between(0, 1), F.lit(False))), ("warning", "no_span", F.col("span_id").isNull()),
     ]
-    broken = F.array_compact(F.array(*[F.when(c, F.struct(F.lit(s).alias("severity"), F.lit(r).alias("rule"))) for s, r, c in rules]))
-    return steps.select("trace_id", "step_id", F.explode(broken).alias("b")).select("trace_id", "step_id", "b.severity", "b.rule").distinct()
+    return steps.select("trace_id", "step_id", _broken(rules).alias("b")).select("trace_id", "step_id", "b.severity", "b.rule").distinct()
+
+
+def validate_records(steps: DataFrame, edges: DataFrame, goals: DataFrame | None = None, flows: DataFrame | None = None, flags: DataFrame | None = None) -> DataFrame:
+    """(trace_id, part, ref_id, severity, rule) for each broken rule of plan records, over all traces at once; distinct.
+
+    steps: trace_id, step_id, grp, idx, description, tools, provenance; edges: trace_id, id, src, dst,
+    provenance. Step ids must be unique within a trace, and edges end at steps of their trace (or at
+    goal and final_answer). goals (trace_id, id, description, task_id, provenance, verified,
+    duration, answer): one row per record, whose traces without steps get a warning. flows (trace_id,
+    id, src, dst, description, provenance) and flags (trace_id, id, step_id, description,
+    provenance) are checked alike where given. Referential rules are hash joins on (trace, step).
+    """
+
+    def tell(rows: DataFrame, part: str, ref: Column, rules: list[tuple[str, str, Column]]) -> DataFrame:
+        return rows.select("trace_id", F.lit(part).alias("part"), ref.alias("ref_id"), _broken(rules).alias("b")).select("trace_id", "part", "ref_id", "b.severity", "b.rule")
+
+    step_rules = [
+        ("error", "no_id", F.col("step_id").isNull()), ("error", "unknown_group", ~F.coalesce(F.col("grp").isin(*GROUPS), F.lit(False))), ("error", "index_below_one", F.coalesce(F.col("idx") < 1, F.lit(True))),
+        ("error", "empty_description", _empty(F.col("description"))), ("error", "no_tools", F.col("tools").isNull()), *_provenance_rules("provenance"),
+    ]
+    out = tell(steps, "step", F.col("step_id"), step_rules)
+    twice = steps.where("step_id IS NOT NULL").groupBy("trace_id", "step_id").agg(F.count("*").alias("n")).where("n > 1")
+    out = out.unionByName(twice.select("trace_id", F.lit("step").alias("part"), F.col("step_id").alias("ref_id"), F.lit("error").alias("severity"), F.lit("duplicate_id").alias("rule")))
+    known = steps.where("step_id IS NOT NULL").select("trace_id", "step_id").distinct()
+
+    def refer(rows: DataFrame, part: str, column: str, rule: str, outer: str | None) -> DataFrame:
+        ends = rows.select("trace_id", F.col("id").alias("ref_id"), F.col(column).alias("step_id"))
+        ends = ends.where(F.coalesce(F.col("step_id") != outer, F.lit(True))) if outer else ends.where("step_id IS NOT NULL")
+        return ends.join(known, ["trace_id", "step_id"], "left_anti").select("trace_id", F.lit(part).alias("part"), "ref_id", F.lit("error").alias("severity"), F.lit(rule).alias("rule"))
+
+    out = out.unionByName(tell(edges, "edge", F.col("id"), _provenance_rules("provenance"))).unionByName(refer(edges, "edge", "src", "unknown_from", "goal")).unionByName(refer(edges, "edge", "dst", "unknown_to", "final_answer"))
+    if flows is not None:
+        rules = [("error", "empty_description", _empty(F.col("description"))), *_provenance_rules("provenance")]
+        out = out.unionByName(tell(flows, "flow", F.col("id"), rules)).unionByName(refer(flows, "flow", "src", "unknown_from", "goal")).unionByName(refer(flows, "flow", "dst", "unknown_to", "final_answer"))
+    if flags is not None:
+        rules = [("error", "empty_description", _empty(F.col("description"))), *_provenance_rules("provenance")]
+        out = out.unionByName(tell(flags, "flag", F.col("id"), rules)).unionByName(refer(flags, "flag", "step_id", "unknown_step", None))
+    if goals is not None:
+        rules = [
+            ("error", "empty_id", _empty(F.col("id"))), ("error", "empty_description", _empty(F.col("description"))), ("error", "empty_task", _empty(F.col("task_id"))), *_provenance_rules("provenance"),
+            ("error", "verified_unknown", F.col("verified").isNull()), ("error", "no_duration", F.col("duration").isNull()), ("warning", "duration_zero", F.coalesce(F.col("duration") == 0, F.lit(False))), ("error", "no_answer", F.col("answer").isNull()),
+        ]
+        bare = goals.join(steps.select("trace_id").distinct(), "trace_id", "left_anti").select("trace_id", F.lit("record").alias("part"), F.col("id").alias("ref_id"), F.lit("warning").alias("severity"), F.lit("no_steps").alias("rule"))
+        out = out.unionByName(tell(goals, "goal", F.col("id"), rules)).unionByName(bare)
+    return out.distinct()
 
 
 def only_new(rows: DataFrame, written: DataFrame, key: str) -> DataFrame:

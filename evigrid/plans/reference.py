@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from evigrid.functions import similarity as S, text as T
-from evigrid.operators import align, discourse, entail, evalstats as E, grading as G, provenance as P, scan, traces as TR
-from evigrid.plans.reference_sql import ORACLE  # noqa: F401
+from evigrid.operators import align, discourse, entail, evalstats as E, grading as G, provenance as P, records, scan, traces as TR
+from evigrid.plans import alignment_sql, reference_sql
 from evigrid.session import Scratch, table
 
 FAMILIES = "o_orderpriority"
@@ -23,7 +23,7 @@ def graded(spark: SparkSession, d: str, judge: str = "a") -> DataFrame:
         F.col("l_orderkey").alias("item_id"), F.col("l_linenumber").alias("step_no"), score.alias("raw_score"),
         F.when(F.col("l_returnflag") == "R", "critical").when(F.col("l_returnflag") == "A", "supporting").otherwise("optional").alias("criticality"),
         F.when(F.col("l_linestatus") == "O", "answer_consistency").otherwise("trace_evidence").alias("step_type"),
-        F.when(F.col("l_tax") < 0.005, F.lit(None)).when(F.col("l_tax") < 0.015, "short").otherwise("a quote that is long enough").alias("quote"),
+        F.when(F.col("l_tax") < 0.005, F.lit(None)).when(F.col("l_tax") < 0.015, "short").otherwise("a quote that is long enough").alias("quote"), F.col("l_shipdate").alias("at"),
     )
     return raw.withColumn("score", G.floored(F.col("raw_score"), F.col("quote"))).withColumn("predicate", G.predicate(F.col("score"), F.col("quote")))
 
@@ -87,8 +87,13 @@ def tier_merge(spark, d):
     return out.groupBy("tier").agg(F.count("*").alias("n"), F.round(F.avg("score"), 9).alias("mean_score"))
 
 
+#: Model names of every family and of none, dealt to the parts by their numbers.
+MODEL_NAMES = ("claude-3", "GPT-4o", "o3-mini", "my-o1", "solo1", "grok-2", "kimi-k2", "moonshot-v1", "deepseek-r1", "Gemini-2", "llama-3", "opus", "bo4t")
+
+
 def model_family(spark, d):
-    return table(spark, d, "judge_runs").groupBy("model", G.family(F.col("model")).alias("family")).agg(F.count("*").alias("n"))
+    names = F.concat(F.element_at(F.array(*map(F.lit, MODEL_NAMES)), (F.col("p_partkey") % len(MODEL_NAMES) + 1).cast("int")), F.lit("/"), F.lower(F.substring("p_brand", 7, 2)))
+    return table(spark, d, "part").groupBy(names.alias("model"), G.family(names).alias("family")).agg(F.count("*").alias("n"))
 
 
 # --- statistics --------------------------------------------------------------------------------
@@ -119,6 +124,35 @@ def loocv(spark, d):
     return E.leave_one_out(_labelled(spark, d), "item_id").groupBy("hit").agg(F.count("*").alias("n"), F.round(F.avg("accuracy_without"), 9).alias("mean_without"), F.round(F.max("influence"), 9).alias("max_influence"))
 
 
+def loocv_summary(spark, d):
+    s = E.leave_one_out_summary(E.leave_one_out(_labelled(spark, d), "item_id"), 0.3)
+    return s.select("n", "correct", *[F.round(c, 9).alias(c) for c in ("mean", "least", "greatest", "accuracy", "low", "high")], F.round("deviation", 12).alias("deviation"), "passes")
+
+
+def loocv_influential(spark, d):
+    return E.influential(E.leave_one_out(_labelled(spark, d), "item_id"), over=1e-6).select(F.col("item").alias("item_id"), F.round("impact", 12).alias("impact"), "direction")
+
+
+def verdict_mismatches(spark, d):
+    return E.mismatches(_labelled(spark, d), "item_id")
+
+
+def case_families(spark, d):
+    """Cases named after line items, in both namings and in none."""
+    starts = F.array(*[F.lit(x) for x in ("V0-", "V1-", "V2-", "V3-", "GAIA-", "B-", "C-", "D-", "H-", "X-", "VV0-")])
+    ids = table(spark, d, "orders").select(F.concat(F.element_at(starts, (F.col("o_orderkey") % 11 + 1).cast("int")), F.col("o_orderkey").cast("string")).alias("case_id"))
+    return ids.groupBy(E.id_family(F.col("case_id")).alias("family")).agg(F.count("*").alias("n"))
+
+
+def drift_acceptance(spark, d):
+    v = _two(spark, d).select(F.col("a").alias("verdict_a"), F.col("b").alias("verdict_b"))
+    return E.drift_acceptance(_drift(spark, d), v).select("criterion", F.round("value", 9).alias("value"), "target", "passes")
+
+
+def verdict_flips(spark, d):
+    return _two(spark, d).groupBy(E.flip_kind(F.col("a"), F.col("b")).alias("kind")).agg(F.count("*").alias("n")).where("kind IS NOT NULL")
+
+
 def benchmark_status(spark, d):
     return _labelled(spark, d).groupBy(E.benchmark_status(F.col("gold"), F.col("verdict")).alias("status")).agg(F.count("*").alias("n"))
 
@@ -132,7 +166,7 @@ def verdict_kappa(spark, d):
 
 
 def _drift(spark, d):
-    cut = lambda j: graded(spark, d, j).select("item_id", "step_no", F.col("raw_score").alias("score"), F.when(F.col("raw_score") < 0.25, "unsupported").otherwise("partial").alias("predicate"))
+    cut = lambda j: graded(spark, d, j).select("item_id", "step_no", "at", F.col("raw_score").alias("score"), F.when(F.col("raw_score") < 0.25, "unsupported").otherwise("partial").alias("predicate"))
     return E.drift(cut("a"), cut("b"), ["item_id", "step_no"])
 
 
@@ -240,10 +274,35 @@ def synthesis_similarity(spark, d):
     return discourse.synthesis_similarity(table(spark, d, "proposals").select("block_id", "pos", "content").distinct(), "block_id", "pos", "content")
 
 
+def _synthesis(spark, d):
+    """The last proposal of each block as its synthesis."""
+    return table(spark, d, "proposals").groupBy("block_id").agg(F.max_by(F.coalesce("content", F.lit("")), F.struct("pos", F.coalesce("content", F.lit("")))).alias("synthesis"), F.max("pos").alias("last"))
+
+
+def _balance(spark, d):
+    synth = _synthesis(spark, d)
+    rows = table(spark, d, "proposals").groupBy("block_id", "pos").agg(F.max("content").alias("content"), F.max("model").alias("model")).join(synth.select("block_id", "last"), "block_id").where("pos < last")
+    return discourse.member_coverage(rows.withColumn("member", F.concat_ws(":", "pos", "model")), "block_id", "member", "content", synth)
+
+
+def synthesis_coverage(spark, d):
+    return _balance(spark, d).select("block_id", "member", F.round("coverage", 9).alias("coverage"), F.round("share", 9).alias("share"))
+
+
+def synthesis_balance(spark, d):
+    return discourse.synthesis_balance(_balance(spark, d), "block_id", "member")
+
+
 def objection_preservation(spark, d):
-    rows = table(spark, d, "judge_runs").where("overall_assessment IS NOT NULL").select("block_id", F.col("overall_assessment").alias("critique")).distinct()
-    synth = table(spark, d, "proposals").groupBy("block_id").agg(F.max_by("content", F.struct("pos", "content")).alias("synthesis"))
-    return discourse.preservation(rows, synth, "block_id", markers=("disputes", "but", "without", "wrong", "missing", "although"))
+    """Each judge's assessment and the block's proposals but the last as critiques of the synthesis."""
+    said = table(spark, d, "judge_runs").where("overall_assessment IS NOT NULL").select("block_id", F.concat(F.lit("run:"), "id").alias("critique_id"), F.col("overall_assessment").alias("critique")).distinct()
+    synth = _synthesis(spark, d)
+    held = table(spark, d, "proposals").where("content IS NOT NULL").select("block_id", "pos", "content").distinct().join(synth.select("block_id", "last"), "block_id").where("pos < last")
+    both = said.unionByName(held.groupBy("block_id", "pos").agg(F.max("content").alias("critique")).select("block_id", F.concat(F.lit("pos:"), "pos").alias("critique_id"), "critique"))
+    warned = discourse.synthesis_balance(_balance(spark, d), "block_id", "member").select("block_id", F.col("warning").alias("warned"))
+    rows = both.join(synth.select("block_id", "synthesis"), "block_id", "left").join(warned, "block_id", "left")
+    out = discourse.preservation(rows)
+    return out.select("block_id", "critique_id", "objections", "preserved", "score", "false_consensus", F.array_join("keywords", " ").alias("keywords"))
 
 
 # --- alignment ----------------------------------------------------------------------------------
@@ -282,6 +341,63 @@ def align_gaps(spark, d):
     return align.gaps(annotator, align.assign(cands), align.best_per_annotator(cands)).select("trace_id", "annotator_id", F.round("best_score", 9).alias("best_score"), "conflict")
 
 
+def _semantic(spark, d):
+    """Both sides, all pairs with content in semantic mode, those that match, and the assignment."""
+    agent, annotator = _sides(spark, d)
+    scratch = Scratch(spark)
+    content = scratch.cut(align.semantic_candidates(agent, annotator, None))
+    passing = content.where(F.col("score") + align.EPSILON >= align.MINIMUM)
+    return agent, annotator, content, passing, scratch.cut(align.assign(passing))
+
+
+def align_semantic_candidates(spark, d):
+    agent, annotator = _sides(spark, d)
+    return align.semantic_candidates(agent, annotator).select("trace_id", "agent_id", "annotator_id", F.round("semantic", 9).alias("semantic"), F.round("score", 9).alias("score"))
+
+
+def align_semantic_greedy(spark, d):
+    *_, done = _semantic(spark, d)
+    return done.select("trace_id", "annotator_id", "agent_id", F.round("score", 9).alias("score"))
+
+
+def align_gap_descriptions(spark, d):
+    agent, annotator, content, _, done = _semantic(spark, d)
+    return align.gap_descriptions(annotator, done, align.best_raw(agent, annotator, content)).select("trace_id", "annotator_id", "best_agent_id", F.round("best_score", 9).alias("best_score"), "reason")
+
+
+def align_conflicts(spark, d):
+    _, annotator, _, passing, done = _semantic(spark, d)
+    return align.conflicts(annotator, passing, done).select("trace_id", "annotator_id", "agent_id", F.round("score", 9).alias("score"), "held_by")
+
+
+def align_content_gate(spark, d):
+    agent, annotator, content, passing, _ = _semantic(spark, d)
+    return align.content_gate_blocks(annotator, passing, align.best_raw(agent, annotator, content)).select("trace_id", "annotator_id", "agent_id", F.round("score", 9).alias("score"))
+
+
+def align_risk_flags(spark, d):
+    agent, annotator, content, _, done = _semantic(spark, d)
+    return align.risk_flags(agent, done, align.gap_descriptions(annotator, done, align.best_raw(agent, annotator, content)))
+
+
+def align_near_misses(spark, d):
+    agent, annotator, content, _, done = _semantic(spark, d)
+    return align.near_misses(annotator, done, align.best_raw(agent, annotator, content), width=0.1).select("trace_id", "annotator_id", "agent_id", F.round("score", 9).alias("score"))
+
+
+def _modes(spark, d):
+    agent, annotator, _, _, done = _semantic(spark, d)
+    return align.mode_benchmark(annotator, align.assign(align.candidates(agent, annotator)), done)
+
+
+def align_mode_benchmark(spark, d):
+    return _modes(spark, d).select("trace_id", "n_steps", "lexical_covered", "semantic_covered", *[F.round(c, 9).alias(c) for c in ("lexical_coverage", "semantic_coverage", "coverage_delta")])
+
+
+def align_mode_summary(spark, d):
+    return align.mode_summary(_modes(spark, d)).select("mode", "traces", *[F.round(c, 9).alias(c) for c in ("mean_coverage", "min_coverage", "max_coverage")], "covered", "uncovered")
+
+
 def segment_support(spark, d):
     return align.segment_support(*_sides(spark, d)).select("trace_id", "agent_id", "start_pos", "len", F.round("score", 9).alias("score"))
 
@@ -300,17 +416,16 @@ def support_flags(spark, d):
 
 
 def _quotes(spark, d):
-    """Quotes with the evidence of the step they point to, as one text."""
-    steps = table(spark, d, "gaia_traces").select("trace_id", F.posexplode("trace.steps").alias("i", "step")).select(
+    """All quotes with the evidence of the step they point to, in the latest row of its trace, as one text; null where there is no such step."""
+    steps = records.latest_traces(table(spark, d, "gaia_traces")).select("trace_id", F.posexplode("trace.steps").alias("i", "step")).select(
         "trace_id", F.concat(F.lit("step_"), F.col("i") + 1).alias("step_id"), F.array_join(F.filter("step.evidence", lambda e: e.isNotNull()), "\n").alias("source")
     )
-    one = steps.groupBy("trace_id", "step_id").agg(F.max("source").alias("source"))
-    return table(spark, d, "quote_reports").distinct().join(one, ["trace_id", "step_id"]).where("quote IS NOT NULL")
+    return table(spark, d, "quote_reports").distinct().join(steps, ["trace_id", "step_id"], "left").where("quote IS NOT NULL")
 
 
 def quote_exact(spark, d):
     q = _quotes(spark, d)
-    return q.select("report_id", (F.col("source").contains(P.clean_quote(F.col("quote"))) | F.col("source").contains(F.col("quote"))).alias("exact"))
+    return q.select("report_id", F.col("source").isNotNull().alias("has_source"), (F.col("source").contains(P.clean_quote(F.col("quote"))) | F.col("source").contains(F.col("quote"))).alias("exact"))
 
 
 def quote_match_paths(spark, d):
@@ -326,9 +441,31 @@ def quote_variants(spark, d):
     return P.with_match_path(q, "text", "source").groupBy("kind", "match_path").agg(F.count("*").alias("n"))
 
 
+def quote_diagnosis(spark, d):
+    found = P.diagnose(_quotes(spark, d))
+    return found.select("report_id", "match_path", "prefix", "position", "quote_hex", F.array_join("signals", " ").alias("signals"), "mode")
+
+
+def quote_path_distribution(spark, d):
+    return P.path_distribution(P.diagnose(_quotes(spark, d)))
+
+
+def quote_probe_sweep(spark, d):
+    """Per kind of variant, matches without and with the unicode and unwrapping paths."""
+    q = _quotes(spark, d).where("source IS NOT NULL").select("source", F.explode(P.variants(F.col("quote"))).alias("v")).select("source", "v.*")
+    return P.probe_sweep(q)
+
+
 def claim_support(spark, d):
-    t = table(spark, d, "gaia_traces").where("answer IS NOT NULL").select("trace_id", "question", "answer", F.array_join(F.flatten(F.transform("trace.steps", lambda s: F.coalesce(s["evidence"], F.array().cast("array<string>")))), "\n").alias("source")).distinct()
-    return entail.span_entailment(t, "trace_id", "question", "answer", "source")
+    t = records.latest_traces(table(spark, d, "gaia_traces")).where("answer IS NOT NULL")
+    evidence = F.filter(F.flatten(F.transform("trace.steps", lambda s: F.coalesce(s["evidence"], F.array().cast("array<string>")))), lambda e: e.isNotNull())
+    return entail.span_entailment(t.select("trace_id", "question", "answer", F.array_join(evidence, "\n").alias("source")), "trace_id", "question", "answer", "source")
+
+
+def source_claim_join(spark, d):
+    """Traces with the source claim of their ground truth."""
+    traces = table(spark, d, "gaia_traces")
+    return entail.with_claims(records.latest_traces(traces).select("trace_id", "task_id"), entail.source_claims(traces)).select("trace_id", "task_id", "support", "confidence", "matched_span")
 
 
 # --- scans, sequences, integrity -------------------------------------------------------------------
@@ -402,9 +539,11 @@ def next_block_ids(spark, d):
 
 
 _NAMES = """graded_verdict graded_verdict_counts step_predicates public_verdict conservative_merge cascade_decision cascade_stats tier1_routing tier_merge model_family
-confusion accuracy_by_family wilson_ci loocv benchmark_status recall_by_class verdict_kappa score_drift drift_top10 verdict_transitions stability_3run model_correlation
+confusion accuracy_by_family wilson_ci loocv benchmark_status recall_by_class verdict_kappa loocv_summary loocv_influential verdict_mismatches case_families drift_acceptance verdict_flips score_drift drift_top10 verdict_transitions stability_3run model_correlation
 threshold_sweep predicate_shift judge_calibration model_diversity majority_vote batch_summary top_missed lex_tokens semantic_tokens stem_tokens question_answer_jaccard
-token_levenshtein soft_similarity sentence_counts dissent_score synthesis_similarity objection_preservation align_candidates align_best_per_annotator align_greedy align_coverage
-align_gaps segment_support merged_support support_flags quote_exact quote_match_paths quote_longest_prefix quote_variants claim_support pattern_scan scan_first scan_context scan_attest
+token_levenshtein soft_similarity sentence_counts dissent_score synthesis_similarity objection_preservation synthesis_coverage synthesis_balance align_semantic_candidates align_semantic_greedy align_gap_descriptions align_conflicts align_content_gate align_risk_flags
+align_near_misses align_mode_benchmark align_mode_summary align_candidates align_best_per_annotator align_greedy align_coverage
+align_gaps segment_support merged_support support_flags quote_exact quote_match_paths quote_longest_prefix quote_variants quote_diagnosis quote_path_distribution quote_probe_sweep claim_support source_claim_join pattern_scan scan_first scan_context scan_attest
 seq_edges flow_endpoints span_tree enrich_gold plan_validate resume_anti slice_scan block_lookup next_block_ids""".split()
 QUERIES = {name: globals()[name] for name in _NAMES}
+ORACLE = reference_sql.ORACLE | alignment_sql.ORACLE
