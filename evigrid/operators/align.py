@@ -296,7 +296,7 @@ def segment_support(agent: DataFrame, annotator: DataFrame, minimum: float = MIN
     runs = spans(annotator, longest).withColumn("run_id", F.concat_ws(":", "start_pos", "len"))
     as_steps = runs.select("trace_id", F.col("run_id").alias("step_id"), (F.col("start_pos") + (F.col("len") - 1) / 2).alias("pos"), "size", "tokens", "tools", "meanings")
     found = (semantic_candidates if semantic else candidates)(agent, as_steps, minimum).join(runs.select("trace_id", F.col("run_id").alias("annotator_id"), "start_pos", "len", "ids"), ["trace_id", "annotator_id"])
-    best = found.groupBy("trace_id", "agent_id").agg(F.max(F.struct("score", (-F.col("start_pos")).alias("s"), (-F.col("len")).alias("l"), "ids")).alias("b"))
+    best = found.groupBy("trace_id", "agent_id").agg(F.max(F.struct(F.round("score", 12).alias("r"), (-F.col("start_pos")).alias("s"), (-F.col("len")).alias("l"), "ids", "score")).alias("b"))
     return best.select("trace_id", "agent_id", (-F.col("b.s")).alias("start_pos"), (-F.col("b.l")).alias("len"), F.col("b.ids").alias("ids"), F.col("b.score").alias("score"))
 
 

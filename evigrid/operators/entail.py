@@ -103,7 +103,7 @@ def source_claims(traces: DataFrame, key: str = "trace_id") -> DataFrame:
 
     Traces without a ground truth have no entry; of rows that repeat a key the latest counts.
     """
-    evidence = F.filter(F.flatten(F.transform(F.filter(F.coalesce("trace.steps", F.array().cast("array<struct<evidence:array<string>>>")), lambda s: s.isNotNull()), lambda s: F.coalesce(s["evidence"], F.array().cast("array<string>")))), lambda e: e != "")
+    evidence = F.filter(F.flatten(F.transform(F.filter("trace.steps", lambda s: s.isNotNull()), lambda s: F.coalesce(s["evidence"], F.array().cast("array<string>")))), lambda e: e != "")
     known = traces.where(f"trim(ground_truth) <> '' AND `{key}` IS NOT NULL").select(key, "question", "ground_truth", F.array_join(evidence, "\n").alias("source"), "loaded_at")
     last = known.groupBy(key).agg(F.max(F.struct("loaded_at", "question", "ground_truth", "source")).alias("r")).select(key, "r.*")
     return span_entailment(last, key, "question", "ground_truth", "source")

@@ -53,23 +53,27 @@ g AS (SELECT trace_id, 0::BIGINT AS k, NULL::VARCHAR AS annotator_id, NULL::VARC
 done AS MATERIALIZED (SELECT g.trace_id, g.annotator_id, g.agent_id, ok.score FROM g JOIN ok USING (trace_id, annotator_id, agent_id))"""
 
 
-_LEX = CANDS.replace("WITH ", "WITH RECURSIVE ", 1).replace("a.pos AS apos,", f"a.pos AS apos, b.pos AS bpos, {_PLACE} AS position, cw / greatest(len(a.tokens) + len(b.tokens) - cw, 1) AS lexical,") + _greedy("")
-_SEM = _RAW + _greedy("round(semantic, 12) DESC, ")
+LEX = CANDS.replace("WITH ", "WITH RECURSIVE ", 1).replace("a.pos AS apos,", f"a.pos AS apos, b.pos AS bpos, {_PLACE} AS position, cw / greatest(len(a.tokens) + len(b.tokens) - cw, 1) AS lexical,") + _greedy("")
+SEM = _RAW + _greedy("round(semantic, 12) DESC, ")
 _ANN = "ann AS (SELECT trace_id, step_id AS annotator_id FROM prof WHERE grp = 'annotator')"
 _FREE = f", {_ANN}, free AS (SELECT trace_id, annotator_id FROM ann ANTI JOIN done USING (trace_id, annotator_id))"
 
 ORACLE = {
-    "align_greedy": _LEX + " SELECT trace_id, annotator_id, agent_id, round(score, 9) AS score FROM done",
-    "align_coverage": _LEX + f", {_ANN} SELECT trace_id, count(*) AS n_steps, count(score) AS n_covered, round(count(score) / count(*), 9) AS coverage FROM ann LEFT JOIN done USING (trace_id, annotator_id) GROUP BY 1",
-    "align_gaps": _LEX + _FREE + """ SELECT trace_id, annotator_id, round(coalesce(top, 0), 9) AS best_score, top IS NOT NULL AS conflict FROM free LEFT JOIN (SELECT trace_id, annotator_id, max(score) AS top FROM ok GROUP BY ALL) USING (trace_id, annotator_id)""",
+    "align_greedy": LEX + " SELECT trace_id, annotator_id, agent_id, round(score, 9) AS score FROM done",
+    "align_coverage": LEX + f", {_ANN} SELECT trace_id, count(*) AS n_steps, count(score) AS n_covered, round(count(score) / count(*), 9) AS coverage FROM ann LEFT JOIN done USING (trace_id, annotator_id) GROUP BY 1",
+    "align_gaps": LEX + _FREE + """ SELECT trace_id, annotator_id, round(coalesce(top, 0), 9) AS best_score, top IS NOT NULL AS conflict FROM free LEFT JOIN (SELECT trace_id, annotator_id, max(score) AS top FROM ok GROUP BY ALL) USING (trace_id, annotator_id)""",
     "align_semantic_candidates": _RAW + " SELECT trace_id, agent_id, annotator_id, round(semantic, 9) AS semantic, round(score, 9) AS score FROM ok",
-    "align_semantic_greedy": _SEM + " SELECT trace_id, annotator_id, agent_id, round(score, 9) AS score FROM done",
-    "align_gap_descriptions": _SEM + _FREE + """ SELECT trace_id, annotator_id, agent_id AS best_agent_id, round(coalesce(score, 0), 9) AS best_score,
+    "align_semantic_greedy": SEM + " SELECT trace_id, annotator_id, agent_id, round(score, 9) AS score FROM done",
+    "align_gap_descriptions": SEM + _FREE + """ SELECT trace_id, annotator_id, agent_id AS best_agent_id, round(coalesce(score, 0), 9) AS best_score,
   coalesce('best candidate: ' || agent_id || ' scored ' || format('{:.2f}', floor(round(score, 9) * 100 + 0.5) / 100) || ' (threshold 0.25)', 'no agent plan steps to compare') AS reason FROM free LEFT JOIN best USING (trace_id, annotator_id)""",
-    "align_conflicts": _SEM + _FREE + " SELECT ok.trace_id, ok.annotator_id, ok.agent_id, round(ok.score, 9) AS score, done.annotator_id AS held_by FROM ok JOIN free USING (trace_id, annotator_id) LEFT JOIN done ON done.trace_id = ok.trace_id AND done.agent_id = ok.agent_id",
+    "align_conflicts": SEM + _FREE + " SELECT ok.trace_id, ok.annotator_id, ok.agent_id, round(ok.score, 9) AS score, done.annotator_id AS held_by FROM ok JOIN free USING (trace_id, annotator_id) LEFT JOIN done ON done.trace_id = ok.trace_id AND done.agent_id = ok.agent_id",
     "align_content_gate": _RAW + f", {_ANN} SELECT b.trace_id, b.annotator_id, b.agent_id, round(b.score, 9) AS score FROM (SELECT trace_id, annotator_id FROM ann ANTI JOIN ok USING (trace_id, annotator_id)) JOIN best b USING (trace_id, annotator_id) WHERE b.score + 1e-9 >= 0.25",
-    "align_risk_flags": _SEM + _FREE + """ SELECT trace_id, annotator_id AS step_id, 'missing_step' AS flag, CASE WHEN coalesce(score, 0) >= 0.1875 THEN 'medium' ELSE 'high' END AS severity FROM free LEFT JOIN best USING (trace_id, annotator_id)
+    "align_risk_flags": SEM + _FREE + """ SELECT trace_id, annotator_id AS step_id, 'missing_step' AS flag, CASE WHEN coalesce(score, 0) >= 0.1875 THEN 'medium' ELSE 'high' END AS severity FROM free LEFT JOIN best USING (trace_id, annotator_id)
 UNION ALL SELECT p.trace_id, p.step_id, 'gap', 'medium' FROM prof p LEFT JOIN done d ON d.trace_id = p.trace_id AND d.agent_id = p.step_id WHERE p.grp = 'agent:plan' AND d.agent_id IS NULL""",
-    "align_near_misses": _SEM + _FREE + " SELECT trace_id, annotator_id, agent_id, round(score, 9) AS score FROM free JOIN best USING (trace_id, annotator_id) WHERE score >= 0.25 - 0.1 AND score < 0.25",
+    "align_near_misses": SEM + _FREE + " SELECT trace_id, annotator_id, agent_id, round(score, 9) AS score FROM free JOIN best USING (trace_id, annotator_id) WHERE score >= 0.25 - 0.1 AND score < 0.25",
     "semantic_tokens": f"SELECT token, count(*) AS n FROM (SELECT unnest({_semantic('description')}) AS token FROM (SELECT DISTINCT description FROM plan_steps WHERE description IS NOT NULL)) GROUP BY 1",
 }
+
+#: Lexical tokens of COL, distinct in order; and the greedy overlap of the lists small and big.
+_KEPT = tokens("COL").replace("list_distinct(", "(", 1)
+PROF_COLUMNS = (f"list_filter({_KEPT}, lambda t, i: list_position({_KEPT}, t) = i)", _SOFT)

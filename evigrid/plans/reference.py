@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from evigrid.functions import similarity as S, text as T
 from evigrid.operators import align, discourse, entail, evalstats as E, grading as G, provenance as P, records, scan, traces as TR
-from evigrid.plans import alignment_sql, reference_sql
+from evigrid.plans import alignment_sql, discourse_sql, reference_sql
 from evigrid.session import Scratch, table
 
 FAMILIES = "o_orderpriority"
@@ -546,4 +546,4 @@ align_near_misses align_mode_benchmark align_mode_summary align_candidates align
 align_gaps segment_support merged_support support_flags quote_exact quote_match_paths quote_longest_prefix quote_variants quote_diagnosis quote_path_distribution quote_probe_sweep claim_support source_claim_join pattern_scan scan_first scan_context scan_attest
 seq_edges flow_endpoints span_tree enrich_gold plan_validate resume_anti slice_scan block_lookup next_block_ids""".split()
 QUERIES = {name: globals()[name] for name in _NAMES}
-ORACLE = reference_sql.ORACLE | alignment_sql.ORACLE
+ORACLE = reference_sql.ORACLE | alignment_sql.ORACLE | discourse_sql.ORACLE
