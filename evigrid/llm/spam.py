@@ -16,10 +16,11 @@ LONG_HOSTS, EVENNESS = 4, 1 / 20
 #: Words of a window of sentences in which repetition is measured; phrases, and their mean words, that make a line with a closing mark a list.
 WINDOW, LIST_PHRASES, LIST_WORDS = 30, 5, 10
 
-_LINK = r"(?is)<a\s[^>]*>.*?</a>|\[[^\]\n]{0,200}\]\(\s*[^)\s]+\s*\)|(?:https?://|www\.)[^\s<>\"')\]]+"
+#: An anchor without its end is a tag and its address; the text of an anchor holds no other anchor, so unclosed ones cost no search.
+_LINK = r"(?i)<a\s[^>]*+>(?:[^<]++|<(?!/?a[\s>]))*+</a>|\[[^\]\n]*+\]\(\s*[^)\s]+\s*\)|(?:https?://|www\.)[^\s<>\"')\]]++"
 _TAG = r"(?<![\p{L}\p{N}_&/])#[\p{L}_][\p{L}\p{N}_-]*"
 #: A sentence or a labelled sentence: words up to a closing mark, at least four blanks within.
-_LINE = r"(?s)\n+|(?<=[.!?…][\"”’')\]]{0,2})\s+(?=[\p{Lu}\p{N}\"“‘'(\[])"
+_LINE = r"\n+|\s++(?=[\p{Lu}\p{N}\"“‘'(\[])(?<=[.!?…][\"”’')\]]{0,2}\s{1,64})"
 _SENTENCE = r"(?s)^\s*+(?:\S++\s++){3}.*[.!?…:][\"”’')\]*_]*\s*$"
 #: A row of a table or a log: cells with figures, or a date in front.
 _ENTRY = r"\t\s*[-+]?\d|^\s*\[?\d{4}-\d\d-\d\d|^\s*\[?\d\d:\d\d"
@@ -43,22 +44,17 @@ def _list_dense(x: Column) -> Column:
 
 def repeated_chars(sentences: Column) -> Column:
     """Characters in windows of WINDOW words of which at most half are distinct; a sentence said again, be it with other figures, counts once."""
-    said = F.array_distinct(F.flatten(F.transform(sentences, lambda x: F.split(F.regexp_replace(F.lower(x), r"\p{N}+", "0"), r"[.!?…]+\s+"))))
+    text = F.regexp_replace(F.lower(F.array_join(sentences, "\n")), r"\p{N}+", "0")
     starts = lambda ws: F.when(F.size(ws) >= LONG_RUN, F.sequence(F.lit(1), F.size(ws), F.lit(WINDOW))).otherwise(F.array())
-    # one element, so that the words are taken once and not once a window
-    windows = F.flatten(F.transform(F.array(_words(F.array_join(said, "\n"))), lambda ws: F.transform(starts(ws), lambda i: F.slice(ws, i, WINDOW))))
-    stuffed = F.filter(windows, lambda w: F.size(F.array_distinct(w)) <= 0.5 * F.size(w))
-    return F.aggregate(stuffed, F.lit(0), lambda a, w: a + F.length(F.array_join(w, "")))
 
+    def stuffed(t: Column) -> Column:
+        # one element, so that the words are taken once and not once a window
+        windows = F.flatten(F.transform(F.array(F.regexp_extract_all(t, F.lit(_WORD), F.lit(0))), lambda ws: F.transform(starts(ws), lambda i: F.slice(ws, i, WINDOW))))
+        return F.filter(windows, lambda w: F.size(F.array_distinct(w)) <= 0.5 * F.size(w))
 
-def pieces(text: Column) -> dict[str, Column]:
-    """What a text is made of, as columns: characters of links, tags and the rest, its sentences and its phrases."""
-    links = F.regexp_extract_all(text, F.lit(_LINK), F.lit(0))
-    no_links = F.regexp_replace(text, _LINK, "\n")
-    tags = F.regexp_extract_all(no_links, F.lit(_TAG), F.lit(0))
-    rest = F.regexp_replace(no_links, _TAG, "\n")
-    lines = F.filter(F.split(rest, _LINE), lambda x: F.trim(x) != "")
-    return {"links": links, "tags": tags, "lines": lines}
+    # sentences are only compared where a window of the whole text repeats itself
+    counted = F.transform(F.array(text), lambda t: F.when(F.size(stuffed(t)) > 0, F.aggregate(stuffed(F.array_join(F.array_distinct(F.split(t, r"[.!?…]+\s+|\n")), "\n")), F.lit(0), lambda a, w: a + F.length(F.array_join(w, "")))).otherwise(0))
+    return F.element_at(counted, 1)
 
 
 def measures(docs: DataFrame) -> DataFrame:
@@ -68,11 +64,18 @@ def measures(docs: DataFrame) -> DataFrame:
     of their repetitive windows; what is left, and a line of many short phrases whatever mark ends it, is
     cut at list delimiters into phrases. A phrase of up to MAX_ITEM_WORDS words is a list item.
     """
-    p = pieces(F.col("text"))
     size = lambda xs: F.aggregate(xs, F.lit(0), lambda a, x: a + F.length(x))
-    base = docs.select("doc_id", "host", "text", p["links"].alias("links"), p["tags"].alias("tags"), p["lines"].alias("lines"))
+    none = F.array().cast("array<string>")
+    low = F.lower("text")
+    linked = low.contains("://") | low.contains("](") | low.contains("<a") | low.contains("www.")  # most texts have no link, most have no tag
+    base = docs.select("doc_id", "host", "text", linked.alias("linked"))
+    base = base.withColumn("links", F.when(F.col("linked"), F.regexp_extract_all("text", F.lit(_LINK), F.lit(0))).otherwise(none))
+    base = base.withColumn("rest", F.when(F.col("linked"), F.regexp_replace("text", _LINK, "\n")).otherwise(F.col("text")))
+    tagged = F.col("rest").contains("#")
+    base = base.withColumn("tags", F.when(tagged, F.regexp_extract_all("rest", F.lit(_TAG), F.lit(0))).otherwise(none))
+    base = base.withColumn("rest", F.when(tagged, F.regexp_replace("rest", _TAG, "\n")).otherwise(F.col("rest")))
     kind = lambda x: F.when(x.rlike(_ENTRY), "entry").when(x.rlike(_SENTENCE) & ~_list_dense(x), "sentence").otherwise("loose")
-    base = base.withColumn("kinds", F.transform("lines", lambda x: F.struct(kind(x).alias("kind"), x.alias("x"))))
+    base = base.withColumn("kinds", F.transform(F.split("rest", _LINE), lambda x: F.struct(kind(x).alias("kind"), x.alias("x"))))
     of_kind = lambda k: F.transform(F.filter("kinds", lambda s: s["kind"] == k), lambda s: s["x"])
     base = base.withColumn("loose", of_kind("loose"))
     phrases = F.filter(F.flatten(F.transform("loose", lambda x: F.split(x, _DELIMITER))), lambda x: x.rlike(r"[\p{L}\p{N}]"))
