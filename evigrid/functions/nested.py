@@ -103,15 +103,11 @@ def _parse_deep(s: str):
 
 
 def opened(value):
-    """The value itself, or what a string holds that is itself a JSON object or array, however often it is wrapped."""
-    while True:  # each string is shorter than the one that holds it
-        if not isinstance(value, str) or value.strip(_BLANK)[:1] not in ("{", "["):
-            return value
-        inner = parse(value)
-        if not isinstance(inner, (dict, list)):
-            return value
-        value = inner
-    return value
+    """The value itself, or what a string holds that is itself a JSON object or array."""
+    if not isinstance(value, str) or value.strip(_BLANK)[:1] not in ("{", "["):
+        return value
+    inner = parse(value)
+    return inner if isinstance(inner, (dict, list)) else value
 
 
 def record_of(raw: str | None) -> dict | None:

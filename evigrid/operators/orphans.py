@@ -116,6 +116,45 @@ def cascade_orphans(edges: DataFrame, direct: DataFrame, growth: float = 3.0) ->
     return own.unionByName(inherited)
 
 
+def graph_orphans(tables: dict[str, DataFrame], references: list[tuple[str, str, str]], growth: float = 3.0) -> DataFrame:
+    """Orphans down a graph of tables: (tab, record_id, side, key, loaded_at, reason, kind, depth).
+
+    tables: name -> (key, loaded_at[, is_deleted], and the referring columns), any column of which may
+    be null; a column that holds an array refers with each of its values. references: (table, column,
+    table referred to). Direct orphans are found per reference against the key states of the table
+    referred to; then every record that refers to an orphaned one is orphaned too, through all
+    tables to a fixpoint, also where a table refers to itself. Nodes of all tables share one
+    cascade, so a round is one join whatever the number of tables. Keys are compared as text; a
+    record without a key can be orphaned, but hands nothing on. Equal rows count once.
+    """
+    node = lambda t, c: F.concat(F.lit(f"{t}:"), c.cast("string"))
+    parents = {p for _, _, p in references}
+    states, edges = None, None
+    for name in sorted(parents):
+        rows = tables[name]
+        gone = "is_deleted" if "is_deleted" in rows.columns else None
+        one = key_states(rows, ["key"], "loaded_at", gone).select(F.lit("").alias("group_id"), node(name, F.col("key")).alias("key"), "first_seen", "is_deleted")
+        states = one if states is None else states.unionByName(one)
+    for name, column, parent in references:
+        rows = tables[name]
+        many = rows.schema[column].dataType.typeName() == "array"
+        rows = rows.withColumn("_ref", F.explode(column) if many else F.col(column)).where("_ref IS NOT NULL")
+        one = rows.select(
+            F.lit("").alias("group_id"), F.coalesce(node(name, F.col("key")), F.lit(f"{name}:")).alias("record_id"), F.lit(f"{name}.{column}").alias("side"), node(parent, F.col("_ref")).alias("src"), node(name, F.col("key")).alias("dst"), "loaded_at"
+        )
+        edges = one if edges is None else edges.unionByName(one)
+    scratch = Scratch(edges.sparkSession)
+    edges = scratch.cut(edges.distinct())
+    direct = scratch.cut(direct_orphans(edges.withColumnRenamed("src", "key").drop("dst"), states))
+    # the side of an inherited orphan is the reference by which it inherits
+    found = cascade_orphans(edges.drop("side"), direct, growth)
+    sides = edges.select("record_id", F.col("src").alias("key"), F.col("side").alias("_side")).distinct()
+    inherited = found.where("kind = 'inherited'").join(sides, ["record_id", "key"]).withColumn("side", F.col("_side")).drop("_side")
+    both = found.where("kind = 'direct'").unionByName(inherited)
+    bare = lambda c: F.regexp_replace(c, "^[^:]*:", "")
+    return both.select(F.regexp_extract("record_id", "^([^:]*):", 1).alias("tab"), bare("record_id").alias("record_id"), "side", bare("key").alias("key"), "loaded_at", "reason", "kind", "depth")
+
+
 def orphan_report(orphans: DataFrame, table: str) -> DataFrame:
     """Counts per table, kind, reason and month of the referring record."""
     return (

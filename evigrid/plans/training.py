@@ -43,6 +43,29 @@ def p2_report_dangling(spark: SparkSession, d: str) -> DataFrame:
     return out
 
 
+def _graph(spark: SparkSession, d: str) -> DataFrame:
+    """Orphans of blocks, proposals, judge runs, quote reports and plan edges, through all of them."""
+    step = lambda c: F.concat("trace_id", F.lit("/"), c)
+    read = lambda t, key, at, *refs: table(spark, d, t).select(key.alias("key"), F.col(at).alias("loaded_at"), *refs)
+    tables = {
+        "blocks": read("blocks", F.col("id"), "loaded_at", "context_refs"),
+        "proposals": read("proposals", F.concat_ws("/", "block_id", "pos", "model"), "loaded_at", "block_id"),
+        "judge_runs": read("judge_runs", F.col("id"), "ingested_at", "block_id"),
+        "gaia_traces": read("gaia_traces", F.col("trace_id"), "loaded_at"),
+        "quote_reports": read("quote_reports", F.col("report_id"), "reported_at", "trace_id"),
+        "plan_steps": read("plan_steps", step("step_id"), "loaded_at", F.col("deleted").alias("is_deleted")),
+        "plan_edges": read("plan_edges", step("id"), "loaded_at", step("src").alias("src"), step("dst").alias("dst")),
+    }
+    references = [("plan_edges", "src", "plan_steps"), ("plan_edges", "dst", "plan_steps"), ("blocks", "context_refs", "blocks"), ("proposals", "block_id", "blocks"), ("judge_runs", "block_id", "blocks"), ("quote_reports", "trace_id", "gaia_traces")]
+    return orphans.graph_orphans(tables, references)
+
+
+def p2_graph_report(spark: SparkSession, d: str) -> DataFrame:
+    """Direct and inherited orphans per table, reference, reason and month."""
+    found = _graph(spark, d).select("tab", "record_id", "side", "key", "kind", "reason", F.date_format("loaded_at", "yyyy-MM").alias("month")).distinct()
+    return found.groupBy("tab", "side", "kind", "reason", "month").agg(F.count("*").alias("refs"))
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     links = nested.bridge(nested.occurrences(table(spark, d, "trace_lines"), "line_id", "raw"))
     return links.where("node <> 'trace'").select(F.col("record_id").alias("line_id"), "node", "step_path", "item_pos").distinct()
@@ -78,6 +101,7 @@ QUERIES = {
     "p2_report": p2_report,
     "p2_direct_report": p2_direct_report,
     "p2_report_dangling": p2_report_dangling,
+    "p2_graph_report": p2_graph_report,
     "p3_found": p3_found,
     "p3_traces": _flat("traces"),
     "p3_steps": _flat("steps"),
@@ -98,6 +122,18 @@ f AS (SELECT ends.*, CASE WHEN s.step_id IS NULL THEN 'missing' WHEN s.gone THEN
 """
 
 
+_GRAPH = """WITH RECURSIVE nodes AS (SELECT 'blocks:' || id AS k, min(loaded_at) AS t FROM blocks WHERE id IS NOT NULL GROUP BY 1 UNION ALL SELECT 'gaia_traces:' || trace_id, min(loaded_at) FROM gaia_traces WHERE trace_id IS NOT NULL GROUP BY 1
+UNION ALL SELECT 'plan_steps:' || trace_id || '/' || step_id, min(loaded_at) FROM plan_steps WHERE trace_id || step_id IS NOT NULL GROUP BY 1),
+gone AS (SELECT 'plan_steps:' || trace_id || '/' || step_id AS k FROM plan_steps GROUP BY 1 HAVING arg_max(deleted, loaded_at)),
+refs AS MATERIALIZED (SELECT DISTINCT * FROM (SELECT 'blocks' AS tab, 'blocks:' || id AS rec, 'blocks.context_refs' AS side, 'blocks:' || unnest(context_refs) AS ref, loaded_at AS seen FROM blocks UNION ALL SELECT 'proposals', 'proposals:' || concat_ws('/', block_id, pos, model), 'proposals.block_id', 'blocks:' || block_id, loaded_at FROM proposals
+UNION ALL SELECT 'judge_runs', 'judge_runs:' || id, 'judge_runs.block_id', 'blocks:' || block_id, ingested_at FROM judge_runs UNION ALL SELECT 'plan_edges', 'plan_edges:' || trace_id || '/' || id, 'plan_edges.src', 'plan_steps:' || trace_id || '/' || src, loaded_at FROM plan_edges UNION ALL SELECT 'plan_edges', 'plan_edges:' || trace_id || '/' || id, 'plan_edges.dst', 'plan_steps:' || trace_id || '/' || dst, loaded_at FROM plan_edges
+UNION ALL SELECT 'quote_reports', 'quote_reports:' || report_id, 'quote_reports.trace_id', 'gaia_traces:' || trace_id, reported_at FROM quote_reports) WHERE ref IS NOT NULL),
+dir AS MATERIALIZED (SELECT * FROM (SELECT r.*, CASE WHEN n.k IS NULL THEN 'missing' WHEN g.k IS NOT NULL THEN 'deleted' WHEN n.t > r.seen THEN 'late' END AS reason FROM refs r LEFT JOIN nodes n ON n.k = r.ref LEFT JOIN gone g ON g.k = r.ref) WHERE reason IS NOT NULL),
+reach AS (SELECT DISTINCT rec FROM dir UNION SELECT r.rec FROM refs r JOIN reach ON r.ref = reach.rec),
+every AS (SELECT tab, rec, side, ref, 'direct' AS kind, reason, strftime(seen, '%Y-%m') AS month FROM dir UNION SELECT r.tab, r.rec, r.side, r.ref, 'inherited', 'inherited', strftime(r.seen, '%Y-%m') FROM refs r WHERE r.ref IN (SELECT rec FROM reach) AND r.rec NOT IN (SELECT rec FROM dir))
+SELECT tab, side, kind, reason, month, count(*) AS refs FROM every GROUP BY ALL"""
+
+
 def _dangling_sql(child: str, ref: str, parent: str, key: str, at: str) -> str:
     return f"""SELECT '{child}' AS tab, reason, month, count(*) AS refs FROM (
   SELECT strftime(c.{at}, '%Y-%m') AS month, CASE WHEN p.k IS NULL THEN 'missing' WHEN p.t > c.{at} THEN 'late' END AS reason
@@ -110,6 +146,11 @@ ORACLE = {
     "p2_direct_report": _P2
     + """SELECT 'plan_edges' AS tab, 'direct' AS kind, reason, month, count(*) AS ends
 FROM (SELECT DISTINCT trace_id, id, side, k, reason, strftime(loaded_at, '%Y-%m') AS month FROM f WHERE reason IS NOT NULL) GROUP BY ALL""",
+    "p2_graph_report": _GRAPH,
+    "p2_report": _P2.replace("WITH s AS", "WITH RECURSIVE s AS") + """, bad AS MATERIALIZED (SELECT DISTINCT trace_id, id FROM f WHERE reason IS NOT NULL),
+reach AS (SELECT DISTINCT e.trace_id, e.dst FROM e JOIN bad USING (trace_id, id) WHERE e.dst IS NOT NULL UNION SELECT e.trace_id, e.dst FROM e JOIN reach r ON r.trace_id = e.trace_id AND r.dst = e.src WHERE e.dst IS NOT NULL)
+SELECT 'plan_edges' AS tab, kind, reason, month, count(*) AS ends FROM (SELECT DISTINCT trace_id, id, side, k, 'direct' AS kind, reason, strftime(loaded_at, '%Y-%m') AS month FROM f WHERE reason IS NOT NULL
+  UNION SELECT DISTINCT e.trace_id, e.id, 'src', e.src, 'inherited', 'inherited', strftime(e.loaded_at, '%Y-%m') FROM e JOIN (SELECT DISTINCT * FROM reach) r ON r.trace_id = e.trace_id AND r.dst = e.src LEFT JOIN bad b ON b.trace_id = e.trace_id AND b.id = e.id WHERE b.id IS NULL) GROUP BY ALL""",
     "p2_report_dangling": " UNION ALL ".join(
         _dangling_sql(*x)
         for x in (

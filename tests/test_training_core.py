@@ -4,6 +4,7 @@ import json
 from datetime import datetime, timedelta
 
 import pytest
+from pyspark.sql import functions as F
 from hypothesis import given, settings, strategies as st
 
 from evigrid.functions import nested as N, packed as P
@@ -166,3 +167,33 @@ def test_packed_round_trip(values, style, newline):
 def test_queries_run(spark, sf):
     for name, query in training.QUERIES.items():
         assert query(spark, sf).count() > 0, name
+
+
+def test_orphans_through_tables(spark):
+    """Blocks refer to blocks, proposals to blocks, votes to proposals: what hangs below an orphan is inherited, through tables and cycles."""
+    t = lambda rows, extra: spark.createDataFrame(rows, f"key string, loaded_at timestamp, {extra}")
+    tables = {
+        "blocks": t([("a", at(1), ["gone"]), ("b", at(1), ["a", None]), ("c", at(2), ["c"]), ("d", at(9), None), ("d", at(9), None), (None, at(1), ["b"])], "refs array<string>"),
+        "proposals": t([("p", at(2), "b"), ("q", at(2), "c"), ("r", at(3), "d"), ("s", at(3), None)], "block string"),
+        "votes": t([("1", at(4), "p"), ("2", at(4), "q"), ("3", at(4), "nowhere"), ("4", at(4), "r")], "proposal string"),
+    }
+    tables = {k: v.withColumn("side", F.lit("x")).withColumn("kind", F.lit(1)).withColumn("depth", F.lit(1)) for k, v in tables.items()}  # clashing names
+    got = orphans.graph_orphans(tables, [("blocks", "refs", "blocks"), ("proposals", "block", "blocks"), ("votes", "proposal", "proposals")]).collect()
+    assert {(r.tab, r.record_id, r.side, r.key, r.reason, r.depth) for r in got} == {
+        ("blocks", "a", "blocks.refs", "gone", "missing", 0), ("blocks", "b", "blocks.refs", "a", "inherited", 1), ("blocks", "", "blocks.refs", "b", "inherited", 2), ("proposals", "p", "proposals.block", "b", "inherited", 2),
+        ("proposals", "r", "proposals.block", "d", "late", 0), ("votes", "1", "votes.proposal", "p", "inherited", 3), ("votes", "3", "votes.proposal", "nowhere", "missing", 0), ("votes", "4", "votes.proposal", "r", "inherited", 1),
+    }
+    none = {k: v.limit(0) for k, v in tables.items()}
+    assert orphans.graph_orphans(none, [("blocks", "refs", "blocks"), ("proposals", "block", "blocks")]).count() == 0
+
+
+def test_json_of_any_depth(spark):
+    deep = '{"task_id": "t", "steps": [{"summary": ' + "[" * 10_000 + "]" * 10_000 + ', "evidence": ["e"]}]}'
+    inner = '[{"evidence": ["e"], "steps": ' + json.dumps(json.dumps([{"evidence": "f"}])) + "}]"  # lists in strings in strings
+    wrapped = json.dumps({"outer": json.dumps({"task_id": "w", "steps": inner})})
+    chain = '{"summary": "s"}'
+    for _ in range(1_500):
+        chain = '{"steps": [' + chain + "]}"
+    df = spark.createDataFrame([(1, deep), (2, wrapped), (3, '{"task_id": "c", ' + chain[1:])], "line_id long, raw string")
+    found = nested.occurrences(df, "line_id", "raw").groupBy("record_id", "node").count().collect()
+    assert {(r.record_id, r.node, r["count"]) for r in found} == {(1, "trace", 1), (1, "step", 1), (1, "evidence", 1), (2, "trace", 1), (2, "step", 2), (2, "evidence", 2), (3, "trace", 1), (3, "step", 1_500)}
