@@ -126,7 +126,9 @@ def mix(
     sorting a leaf in one task: documents fall into ``buckets`` by a seeded hash, bucket totals are
     added up, and only the bucket at the edge is ordered within itself. Documents of no target
     source, without an id or without tokens are not used; repeated ids of a source count once
-    (the largest). Actual shares are reported; all are 0 if nothing can be used.
+    (the largest). Actual shares and their distance from the targets are reported, also for targets
+    without a document (available_tokens 0), which then bound no default size; all are 0 if nothing
+    can be used.
     """
     scratch = Scratch(docs.sparkSession)
     lang = F.lower(F.substring(F.col(language), 1, 2)) if language else F.lit("")
@@ -181,6 +183,7 @@ def mix(
         goal.join(have, "source").join(got, "source", "left").fillna(0, ["tokens", "n_docs", "most_uses"])
         .withColumn("all_tokens", got.agg(F.sum("tokens")).scalar())
         .select("source", "target_share", "max_repeats", "available_tokens", "tokens", "n_docs", "most_uses", F.coalesce(F.try_divide("tokens", "all_tokens"), F.lit(0.0)).alias("actual_share"))
+        .withColumn("share_error", F.col("actual_share") - F.col("target_share"))
     )
     return uses, shares
 

@@ -119,14 +119,21 @@ def p8_clean(spark: SparkSession, d: str) -> DataFrame:
     return leaks.without_leaks(table(spark, d, "documents"), spans).select("doc_id", F.length("text").alias("n_chars"), "removed_chars", "dropped")
 
 
+#: The tree above the sources: shortages of a source go to its language within its domain first, then to other languages of the domain, then to other domains.
+DOMAINS = {
+    "run_reports": "records", "audit_notes": "records", "changelogs": "records", "web_pages": "public", "forum_threads": "public", "annotator_guides": "guidance", "policy_memos": "guidance", "paper_abstracts": "guidance",
+}
+
+
 def _mix(spark: SparkSession, d: str, total: float | None = None) -> tuple[DataFrame, DataFrame]:
     docs = Scratch(spark).cut(mixture.with_tokens(table(spark, d, "documents").select("doc_id", "source", "lang", "text")))
     if total is not None:
         total *= docs.agg(F.sum("n_tokens")).head()[0] or 0
-    return mixture.mix(docs, table(spark, d, "source_targets"), total)
+    return mixture.mix(docs, table(spark, d, "source_targets"), total, domains=DOMAINS)
 
 
 def p9_mix(spark: SparkSession, d: str) -> DataFrame:
+    """The largest mix that meets every target."""
     return _mix(spark, d)[0]
 
 
@@ -134,8 +141,12 @@ def p9_shares(spark: SparkSession, d: str) -> DataFrame:
     return _mix(spark, d)[1]
 
 
+def p9_whole_corpus_mix(spark: SparkSession, d: str) -> DataFrame:
+    """A mix as large as the corpus: scarce sources are repeated up to their caps and fall short, others of their domain fill up."""
+    return _mix(spark, d, 1.0)[0]
+
+
 def p9_whole_corpus_shares(spark: SparkSession, d: str) -> DataFrame:
-    """A mix as large as the corpus: scarce sources fall short, others fill up."""
     return _mix(spark, d, 1.0)[1]
 
 
@@ -149,7 +160,7 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     p1_found, p1_collapsed, p1_raw_groups, p5_found, p5_values, p5_rates, p5_limits, p5_graded, p6_found, p6_pairs, p6_defects, p6_report, p7_found, p7_agreement, p7_reliability, p7_votes,
-    p8_found, p8_spans, p8_clean, p9_mix, p9_shares, p9_whole_corpus_shares, p10_found, p10_evidence,
+    p8_found, p8_spans, p8_clean, p9_mix, p9_shares, p9_whole_corpus_mix, p9_whole_corpus_shares, p10_found, p10_evidence,
 )}
 
 ORACLE = {

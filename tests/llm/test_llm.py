@@ -341,6 +341,26 @@ def test_mix_meets_targets_and_caps(spark):
     assert uses.count() == 0 and {r.actual_share for r in shares.collect()} == {0.0}
 
 
+@pytest.mark.parametrize("query", ["p9_shares", "p9_whole_corpus_shares"])
+def test_share_errors(spark, query):
+    """Over the corpus itself: targets are met to a document, or fall short only where a source's repeats are used up, and its domain fills up."""
+    rows = plans.QUERIES[query](spark, "/root/testdata/sf0.1").collect()
+    assert abs(sum(r.actual_share for r in rows) - 1) < 1e-9 and all(r.most_uses <= r.max_repeats for r in rows)
+    if query == "p9_shares":
+        assert all(abs(r.share_error) < 0.005 for r in rows), [(r.source, r.share_error) for r in rows]
+        return
+    short = {r.source for r in rows if r.share_error < -0.005}
+    assert short and all(r.tokens == r.available_tokens * r.max_repeats for r in rows if r.source in short)
+    # the records domain has room: its own sources make up for what it lacks
+    by = {}
+    for r in rows:
+        by.setdefault(plans.DOMAINS[r.source], []).append(r)
+    room = {k: any(r.tokens < r.available_tokens * r.max_repeats * 0.999 for r in rs) for k, rs in by.items()}
+    for k, rs in by.items():
+        if room[k]:
+            assert sum(r.share_error for r in rs) > -0.005
+
+
 def test_tokens(spark):
     df = spark.createDataFrame([(1, "The quick brown fox.", 3), (2, None, 3), (3, "", 3), (4, "<|endoftext|>", 3)], "doc_id int, text string, n int")
     got = {r.doc_id: r.n_tokens for r in mixture.with_tokens(df).collect()}
