@@ -300,6 +300,35 @@ def segment_support(agent: DataFrame, annotator: DataFrame, minimum: float = MIN
     return best.select("trace_id", "agent_id", (-F.col("b.s")).alias("start_pos"), (-F.col("b.l")).alias("len"), F.col("b.ids").alias("ids"), F.col("b.score").alias("score"))
 
 
+def segment_diagnostics(agent: DataFrame, annotator: DataFrame, longest: int = 4) -> DataFrame:
+    """(trace_id, agent_id, start_pos, len, score, single_score, improvement): the best run of two to ``longest`` annotator steps of each agent step, whatever it scores, against the best single one.
+
+    Semantic mode. Of runs without content the nearest in position is the best, so beside pairs with
+    content at most two runs of each length are looked at. Of equal scores the earlier, then the
+    shorter run. Traces with fewer than two annotator steps give none.
+    """
+    runs = spans(annotator, longest).where("len >= 2").withColumn("run_id", F.concat_ws(":", "start_pos", "len"))
+    as_steps = runs.select("trace_id", F.col("run_id").alias("step_id"), (F.col("start_pos") + (F.col("len") - 1) / 2).alias("pos"), "size", "tokens", "tools", "meanings")
+    shape = ["trace_id", "agent_id", "start_pos", "len", "score"]
+    content = semantic_candidates(agent, as_steps, None).join(runs.select("trace_id", F.col("run_id").alias("annotator_id"), "start_pos", "len"), ["trace_id", "annotator_id"]).select(*shape)
+    m = annotator.groupBy("trace_id").agg(F.max("size").alias("m"))
+    at = F.when(F.col("size") <= 1, 0.5).otherwise((F.col("pos") - 1) / F.nullif(F.col("size") - 1, F.lit(0)))
+    near = agent.join(m, "trace_id").where("m >= 2").select("trace_id", F.col("step_id").alias("agent_id"), "pos", "size", "m", at.alias("at"), F.explode(F.sequence(F.lit(2), F.least(F.lit(longest), F.col("m")))).alias("len"))
+    x = 1 + F.col("at") * (F.col("m") - 1) - (F.col("len") - 1) / 2
+    inside = lambda c: F.greatest(F.lit(1), F.least(F.col("m") - F.col("len") + 1, c)).cast("int")
+    near = near.select("*", F.explode(F.array_distinct(F.array(inside(F.floor(x)), inside(F.ceil(x))))).alias("start_pos"))
+    place = S.position_score(F.col("pos"), F.col("size"), F.col("start_pos") + (F.col("len") - 1) / 2, F.col("m"))
+    zero = F.lit(0.0)
+    bare = near.withColumn("score", S.composite(zero, place, zero, zero)).select(*shape)
+    # a nearest run that has content scores at least as much with it, so it needs no telling apart
+    best = content.unionByName(bare).groupBy("trace_id", "agent_id").agg(F.max(F.struct(F.round("score", 12).alias("r"), (-F.col("start_pos")).alias("s"), (-F.col("len")).alias("l"))).alias("b"))
+    swapped = nearest(annotator, agent).groupBy("trace_id", F.col("annotator_id").alias("agent_id")).agg(F.max("score").alias("n"))
+    single = semantic_candidates(agent, annotator, None).groupBy("trace_id", "agent_id").agg(F.max("score").alias("c"))
+    out = best.join(swapped, ["trace_id", "agent_id"], "left").join(single, ["trace_id", "agent_id"], "left")
+    one = F.greatest(F.coalesce("n", zero), F.coalesce("c", zero))
+    return out.select("trace_id", "agent_id", (-F.col("b.s")).alias("start_pos"), (-F.col("b.l")).alias("len"), F.col("b.r").alias("score"), one.alias("single_score"), (F.col("b.r") - one).alias("improvement"))
+
+
 def merged_support(annotator: DataFrame, plan: DataFrame, execution: DataFrame, segments: DataFrame) -> DataFrame:
     """Per annotator step: supported by plan, execution, both or none; by a single step, a run, or both kinds."""
     key = ["trace_id", "annotator_id"]

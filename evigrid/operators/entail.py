@@ -112,3 +112,55 @@ def source_claims(traces: DataFrame, key: str = "trace_id") -> DataFrame:
 def with_claims(traces: DataFrame, claims: DataFrame, key: str = "trace_id") -> DataFrame:
     """Traces with their source claim; those without one keep nulls. The join is on the key; the planner broadcasts claims it knows to be small."""
     return traces.join(claims, key, "left")
+
+
+#: Words without content, words that negate, and capitalised words that are no names.
+PLAIN_WORDS = ("a", "an", "and", "as", "at", "by", "for", "from", "in", "is", "it", "of", "on", "or", "the", "to", "was", "were", "with")
+NEGATING = ("no", "not", "never", "none", "without", "cannot", "cant", "doesnt", "dont", "isnt", "arent", "wasnt", "werent", "wont", "didnt")
+NO_NAMES = ("The", "A", "An", "By", "In", "On", "At", "For", "Of")
+#: Words by which an answer may be longer than the truth it holds; shared words and overlap of a near miss.
+LONGER, LEAST_SHARED, LEAST_OVERLAP = 8, 3, 0.25
+
+
+def content_words(text: Column) -> Column:
+    """Words in lower case without marks and plain words, repeats included."""
+    return F.filter(F.split(F.regexp_replace(F.lower(text), r"[^a-z0-9\s]", " "), r"\s+"), lambda t: (t != "") & ~t.isin(*PLAIN_WORDS))
+
+
+def numeric_words(text: Column) -> Column:
+    return F.filter(F.split(F.regexp_replace(F.lower(text), r"[^a-z0-9\s]", " "), r"\s+"), lambda t: t.rlike(r"\d"))
+
+
+def names(text: Column) -> Column:
+    """Distinct words that look like names: capitals, capitalised words, initials."""
+    return F.array_distinct(F.filter(F.regexp_extract_all(text, F.lit(r"(?:\b[A-Z]{2,}\b|\b[A-Z][a-z]+\b|\b[A-Z]\.)"), F.lit(0)), lambda t: ~t.isin(*NO_NAMES)))
+
+
+def negation_differs(a: Column, b: Column) -> Column:
+    says = lambda x: F.exists(content_words(x), lambda t: t.isin(*NEGATING))
+    return says(a) != says(b)
+
+
+def names_differ(a: Column, b: Column) -> Column:
+    """Whether names were exchanged (two shared, both sides have others) or short ones left out (one side has others, all of at most two letters)."""
+    x, y = names(a), names(b)
+    shared, left, right = F.size(F.array_intersect(x, y)), F.array_except(x, y), F.array_except(y, x)
+    exchanged = (shared >= 2) & (F.size(left) > 0) & (F.size(right) > 0)
+    omitted = F.when((F.size(left) > 0) & (F.size(right) == 0), left).when((F.size(right) > 0) & (F.size(left) == 0), right)
+    short = F.coalesce(F.forall(omitted, lambda t: F.length(F.regexp_replace(t, r"\.", "")) <= 2), F.lit(False))
+    return (F.size(x) > 0) & (F.size(y) > 0) & (exchanged | ((shared >= 1) & short))
+
+
+def near_miss(answer: Column, truth: Column) -> Column:
+    """Whether a wrong answer looks like the right one in other words: it holds the truth and little more, or shares enough content.
+
+    Answers that negate the truth, name others, or give no number of the truth's are no near misses.
+    """
+    a, t = F.regexp_replace(F.coalesce(answer, F.lit("")), r"^\s+|\s+$", ""), F.regexp_replace(F.coalesce(truth, F.lit("")), r"^\s+|\s+$", "")
+    na, nt = numeric_words(a), numeric_words(t)
+    numbers = (F.size(na) > 0) & (F.size(nt) > 0) & ~F.arrays_overlap(na, nt)
+    ca, ct = F.array_distinct(content_words(a)), F.array_distinct(content_words(t))
+    shared = F.size(F.array_intersect(ca, ct))
+    close = (shared >= LEAST_SHARED) & (S.jaccard(ca, ct) >= LEAST_OVERLAP)
+    holds = F.lower(a).contains(F.lower(t))
+    return F.when((a == "") | (t == "") | negation_differs(a, t) | names_differ(a, t) | numbers, False).when(holds, F.size(content_words(a)) <= F.size(content_words(t)) + LONGER).otherwise(close)

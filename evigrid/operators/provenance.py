@@ -176,3 +176,65 @@ def probe_sweep(probes: DataFrame, source: str = "source") -> DataFrame:
     hit = lambda c: F.coalesce(F.col(c) != PATHS[5], F.lit(False))
     out = both.groupBy("kind").agg(F.count("*").alias("probes"), F.count_if(hit("_before")).alias("before"), F.count_if(hit("match_path")).alias("after"))
     return out.withColumn("gained", F.col("after") - F.col("before"))
+
+
+# --- quotes that run over the end of a line -----------------------------------------------------------
+
+
+def _strip(x: Column) -> Column:
+    return F.regexp_replace(x, r"^\s+|\s+$", "")
+
+
+def line_tail(quote: Column) -> Column:
+    """What follows the last line break of a quote; null without one."""
+    return F.when(quote.contains("\n"), _strip(F.substring_index(quote, "\n", -1)))
+
+
+def crosses_lines(quote: Column, source: Column) -> Column:
+    """Whether a quote ends on a fragment of up to 16 characters that begins another line of the source."""
+    tail = line_tail(quote)
+    return F.coalesce(tail.rlike(r"^[A-Za-z\[(]") & (F.length(tail) <= 16) & source.contains(F.concat(F.lit("\n"), tail)), F.lit(False))
+
+
+def ends_within_word(quote: Column) -> Column:
+    return F.coalesce(quote.rlike(r"[A-Za-z\[(]\s*$"), F.lit(False))
+
+
+def bridges(quote: Column, source: Column) -> Column:
+    """Whether the two sides of a quote's first line break stand in the source, but not one after the other."""
+    left, right = _strip(F.substring_index(quote, "\n", 1)), _strip(F.substr(quote, F.call_function("instr", quote, F.lit("\n")) + 1))
+    long = quote.contains("\n") & (F.length(left) >= 8) & (F.length(right) >= 4)
+    return F.coalesce(long & source.contains(left) & source.contains(right) & ~source.contains(F.concat(left, F.lit("\n"), right)), F.lit(False))
+
+
+def line_break_signals(quote: Column, source: Column) -> Column:
+    """Signals that a quote was cut across lines; an end within a word only confirms one of the other two."""
+    a, c = crosses_lines(quote, source), bridges(quote, source)
+    return F.array_compact(F.array(F.when(a, F.lit("cross_line_fragment_tail")), F.when(c, F.lit("bridge_span_concat")), F.when((a | c) & ends_within_word(quote), F.lit("mid_word_termination"))))
+
+
+def cross_line_quote(source: Column) -> Column:
+    """A probe made of a source: its first line of 20 characters or more whose follower has twelve, and the follower's first ten; null if none ends within a word."""
+    lines = F.transform(F.split(source, "\n"), _strip)
+    made = F.transform(lines, lambda x, i: F.when((F.length(x) >= 20) & (F.length(F.get(lines, i + 1)) >= 12) & F.left(F.get(lines, i + 1), F.lit(10)).rlike(r"[A-Za-z\[(]$"), F.concat(x, F.lit("\n"), F.left(F.get(lines, i + 1), F.lit(10)))))
+    return F.get(F.array_compact(made), F.lit(0))
+
+
+def bridge_quote(source: Column) -> Column:
+    """A probe of a source's first line and the first twelve characters of a line that does not follow it."""
+    lines = F.transform(F.split(source, "\n"), _strip)
+    first = F.get(lines, F.lit(0))
+    made = F.transform(lines, lambda x, i: F.when((i >= 2) & (F.length(first) >= 10) & (F.length(x) >= 8) & F.left(x, F.lit(12)).rlike(r"[A-Za-z\[(]$"), F.concat(first, F.lit("\n"), F.left(x, F.lit(12)))))
+    return F.get(F.array_compact(made), F.lit(0))
+
+
+def line_break_sweep(sources: DataFrame, source: str = "source") -> DataFrame:
+    """One row: sources, those that probes can be made of, and how many probes each signal finds."""
+    text = F.coalesce(F.col(source), F.lit(""))
+    d = sources.select(text.alias("_s"), cross_line_quote(text).alias("_q"), bridge_quote(text).alias("_b"))
+    d = d.withColumn("_x", F.when(F.col("_q").isNotNull(), line_break_signals(F.col("_q"), F.col("_s")))).withColumn("_y", F.when(F.col("_b").isNotNull(), line_break_signals(F.col("_b"), F.col("_s"))))
+    has = lambda c, n: F.count_if(F.coalesce(F.array_contains(c, n), F.lit(False)))
+    return d.agg(
+        F.count("*").alias("sources"), F.count("_q").alias("made"), F.count_if(F.size("_x") > 0).alias("triggered"), has("_x", "cross_line_fragment_tail").alias("cross_line"), has("_x", "mid_word_termination").alias("mid_word"),
+        has("_x", "bridge_span_concat").alias("bridge"), F.count_if(F.size("_x") >= 2).alias("several"), F.count("_b").alias("bridges_made"), has("_y", "bridge_span_concat").alias("bridges_found"),
+    )

@@ -192,3 +192,114 @@ def base_url(url: Column) -> Column:
     """An address without blanks around it and slashes at its end."""
     return F.regexp_replace(F.trim(url), "/+$", "")
 
+
+#: Kinds of steps; any other is a reason. The answer of a trace that gives none.
+KINDS, NO_ANSWER = ("observe", "search", "browse", "read", "reason", "calculate", "answer"), "Unable to determine a final answer."
+
+
+def coerced_trace(steps: Column, answer: Column) -> tuple[Column, Column]:
+    """(steps, answer) of a generated trace in good order; steps: index, kind, tool, summary, evidence.
+
+    Steps without a summary go; kinds are known ones, tools not blank, evidence without blanks. Steps
+    are sorted by their index (else their place), those of equal index by place, and numbered anew; a
+    step that gives the answer is added where the last is none.
+    """
+    trim = lambda x: F.regexp_replace(x, r"^\s+|\s+$", "")
+    real = F.filter(F.coalesce(steps, F.array()), lambda s: s.isNotNull() & F.coalesce(trim(s["summary"]) != "", F.lit(False)))
+    kind = lambda s: F.coalesce(F.when(F.lower(trim(s["kind"])).isin(*KINDS), F.lower(trim(s["kind"]))), F.lit("reason"))
+    placed = F.transform(real, lambda s, i: F.struct(
+        F.coalesce(s["index"], i + 1).alias("at"), i.alias("place"), kind(s).alias("kind"), F.nullif(trim(s["tool"]), F.lit("")).alias("tool"), trim(s["summary"]).alias("summary"), F.filter(s["evidence"], lambda e: trim(e) != "").alias("evidence"),
+    ))
+    row = lambda i, k, t, s, e: F.struct(i.cast("int").alias("index"), k.alias("kind"), t.alias("tool"), s.alias("summary"), e.alias("evidence"))
+    ordered = F.transform(F.array_sort(placed), lambda s, i: row(i + 1, s["kind"], s["tool"], s["summary"], s["evidence"]))
+    final = F.coalesce(F.nullif(trim(answer), F.lit("")), F.lit(NO_ANSWER))
+    closing = row(F.size(ordered) + 1, F.lit("answer"), F.lit(None).cast("string"), F.concat(F.lit("Submitted the final answer: "), final), F.lit(None).cast("array<string>"))
+    done = F.coalesce(F.try_element_at(ordered, F.lit(-1))["kind"] == "answer", F.lit(False))
+    return F.when(done, ordered).otherwise(F.concat(ordered, F.array(closing))), final
+
+
+def evidence_source(step_type: Column) -> Column:
+    """Where a step's evidence is looked for: in the answer for those that compare with it, else in the trace."""
+    return F.when(F.coalesce(step_type == "answer_consistency", F.lit(False)), "answer").otherwise("trace")
+
+
+#: How a prompt that asks for a plan is known.
+PLAN_PROMPT = "step-by-step high-level plan"
+
+
+def text_attribute(attributes: Column, key: str) -> Column:
+    """A text attribute of a span given as JSON; null if it is absent or no text."""
+    value = F.get_json_object(attributes, f"$['{key}']")
+    return F.when(F.regexp_count(attributes, F.lit(r'"' + key.replace(".", r"\.") + r'"\s*:\s*"')) > 0, value)
+
+
+def plan_spans(calls: DataFrame, marker: str = PLAN_PROMPT) -> DataFrame:
+    """(trace_id, span_id, selection) of the model call that made each trace's plan. calls: trace_id, span_id, pos, prompt.
+
+    The first call whose prompt holds the marker, else the last call. One aggregate.
+    """
+    asked = F.coalesce(F.col("prompt").contains(marker), F.lit(False))
+    picked = calls.groupBy("trace_id").agg(F.min(F.when(asked, F.struct("pos", "span_id"))).alias("a"), F.max(F.struct("pos", "span_id")).alias("z"))
+    return picked.select("trace_id", F.coalesce("a.span_id", "z.span_id").alias("span_id"), F.when(F.col("a").isNotNull(), "prompt_match").otherwise("last_llm_call").alias("selection"))
+
+
+def pair_problem(primary: Column, secondary: Column, generator: Column) -> Column:
+    """Why two judges may not work together on a generator's output: families of models given as columns; null if they may. A null generator is unknown."""
+    return F.when(primary == secondary, "judges_share_family").when((primary == generator) & (secondary == generator), "both_share_generator").when(primary == generator, "primary_shares_generator").when(secondary == generator, "secondary_shares_generator")
+
+
+#: Names of artifact files by kind, plain or dated.
+ARTIFACTS = {
+    "trace": r"traces\.jsonl$|traces(?:-[A-Za-z0-9._]+)?-\d{4}-\d{2}-\d{2}\.jsonl$",
+    "gold": r"gold\.json$|gold(?:-[A-Za-z0-9._]+)?-\d{4}-\d{2}-\d{2}\.json$",
+    "source_claim": r"source-claim\.json$|source-claim(?:-[A-Za-z0-9._]+)?-\d{4}-\d{2}-\d{2}\.json$",
+}
+
+
+def artifact(paths: Column, kind: str) -> Column:
+    """The first path of a list that names an artifact of a kind; null if none does."""
+    return F.get(F.filter(paths, lambda p: p.rlike(ARTIFACTS[kind])), F.lit(0))
+
+
+def boundary_breaks(files: DataFrame, rules: list[tuple[str, list[str], list[str], str]]) -> DataFrame:
+    """(file, message) for each rule that a file breaks. rules: (pattern of the path, patterns that its text holds, patterns that it lacks, message).
+
+    The rules are a stated list; each file is tried in its own row.
+    """
+    def broken(path: str, held: list[str], lacked: list[str]) -> Column:
+        ok = F.col("file").rlike(path)
+        for p in held:
+            ok = ok & F.col("text").rlike(p)
+        for p in lacked:
+            ok = ok & ~F.col("text").rlike(p)
+        return ok
+
+    return files.select("file", F.explode(F.array_compact(F.array(*[F.when(broken(p, h, k), F.lit(m)) for p, h, k, m in rules]))).alias("message"))
+
+
+def acronym_asked(question: Column) -> Column:
+    """The acronym that a question asks the meaning of; null if it asks for none."""
+    return F.upper(F.nullif(F.regexp_extract(question, r"(?i)what does\s+([A-Z][A-Z0-9-]{1,15})\s+stand for", 1), F.lit("")))
+
+
+def acronym_expansion(text: Column, acronym: Column) -> Column:
+    """The words in front of an acronym in brackets, with it; null if the text has none. Acronyms hold letters, digits and hyphens only, so that they are patterns of themselves."""
+    found = F.regexp_extract_all(text, F.lit(r"([A-Z][A-Za-z0-9-]+(?: [A-Z][A-Za-z0-9-]+){1,8}) \(([A-Za-z0-9-]+)\)"), F.lit(0))
+    first = F.get(F.filter(found, lambda x: x.endswith(F.concat(F.lit("("), acronym, F.lit(")")))), F.lit(0))
+    words = F.left(first, F.length(first) - F.length(acronym) - 3)
+    bare = F.trim(F.regexp_replace(F.when(F.lower(words).startswith(F.concat(F.lower(acronym), F.lit(" "))), F.substr(words, F.length(acronym) + 2)).otherwise(words), r"(?i)^(?:Official|The)\s+", ""))
+    return F.when(bare != "", F.concat(bare, F.lit(" ("), acronym, F.lit(")")))
+
+
+def document_digest(files: DataFrame, most: int = 10, chars: int = 3_000, total: int = 8_000) -> DataFrame:
+    """One row: the first files of a folder by name, each cut, under headers, the whole cut again: a bounded context, by design."""
+    first = files.orderBy("file").limit(most).select("file", F.concat(F.lit("### "), "file", F.lit("\n"), F.left("text", F.lit(chars))).alias("part"))
+    return first.agg(F.left(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("file", "part"))), lambda x: x["part"]), "\n\n"), F.lit(total)).alias("digest"), F.count("*").alias("n_files"))
+
+
+def where_equal(rows: DataFrame, **values: object) -> DataFrame:
+    """Rows that equal the given values; a value of None asks for nothing. The filters reach the scan."""
+    for name, value in values.items():
+        if value is not None:
+            rows = rows.where(F.col(name) == F.lit(value))
+    return rows

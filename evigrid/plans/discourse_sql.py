@@ -74,6 +74,40 @@ ss AS (SELECT g.trace_id, g.step_id AS agent_id, start_pos, len, ids, len(list_i
 sb AS MATERIALIZED (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY trace_id, agent_id ORDER BY round(score, 12) DESC, start_pos, len) AS rn FROM ss WHERE cw + ct > 0 AND score + 1e-9 >= 0.25) WHERE rn = 1)"""
 
 
+# match paths of any pair of columns; of the compatibility forms only those that the tables hold (no-break space, ellipsis)
+_NF = "replace(replace({}, chr(160), ' '), '…', '...')"
+_FOLD = "replace(translate({}, '‘’‚‛“”„‟–—​‌‍﻿', '" + "''" * 4 + '"' * 4 + "--'), '…', '...')"
+_ORDERED = (
+    "(len({f}) > 0 AND list_reduce(list_transform({f}, lambda f: {{'f': f, 'at': 1::BIGINT}}), lambda acc, x: {{'f': x.f, 'at': CASE WHEN acc.at > 0 AND strpos(({fl})[acc.at:], x.f) > 0 "
+    "THEN acc.at + strpos(({fl})[acc.at:], x.f) - 1 + length(x.f) ELSE 0 END}}, {{'f': '', 'at': 1::BIGINT}}).at > 0)"
+)
+_QUOTES = "('\"', '''', '‘', '’', '“', '”')"
+_UNWRAP = "CASE WHEN length(trim({x}, ' ')) >= 2 AND left(trim({x}, ' '), 1) IN " + _QUOTES + " AND right(trim({x}, ' '), 1) IN " + _QUOTES + " THEN substr(trim({x}, ' '), 2, length(trim({x}, ' ')) - 2) ELSE {x} END"
+
+
+def _plain_path(q: str, s: str) -> str:
+    c, flat = _CLEAN.format(q), f"regexp_replace(regexp_replace({s}, '(?m)^\\s+', '', 'g'), '\\s+', ' ', 'g')"
+    ordered = _ORDERED.format(f=_FRAG.format(c), fl=flat)
+    return f"CASE WHEN contains({s}, {c}) OR contains({s}, {q}) THEN 'exact' WHEN contains({_LEFT.format(s)}, {_LEFT.format(c)}) THEN 'whitespace-normalized' WHEN {ordered} THEN 'fuzzy-truncated' ELSE 'no-match' END"
+
+
+def _full_path(rows: str) -> str:
+    """rows: any columns with q and s; adds before (plain paths) and path (all of them)."""
+    c = _CLEAN.format("nq")
+    bare = _UNWRAP.format(x=c)
+    return f"""nf AS (SELECT *, {_NF.format('q')} AS nq, {_NF.format('s')} AS ns FROM ({rows})), p1 AS (SELECT *, CASE WHEN q IS NOT NULL AND s IS NOT NULL THEN {_plain_path('q', 's')} END AS before, {_plain_path('nq', 'ns')} AS again FROM nf),
+p2 AS (SELECT *, CASE WHEN before <> 'no-match' OR before IS NULL THEN before WHEN again <> 'no-match' THEN 'unicode-normalized' WHEN contains({_FOLD.format('ns')}, {_FOLD.format(c)}) THEN 'unicode-normalized'
+  WHEN {bare} <> {c} AND contains({_FOLD.format('ns')}, {_FOLD.format(bare)}) THEN 'structural-unwrapped' ELSE 'no-match' END AS path FROM p1)"""
+
+
+_PARTS = "string_split(quote, ' ')"
+_MID = f"len({_PARTS}) // 2"
+_VARIANTS = (
+    "[{'k': 'plain', 't': quote}, {'k': 'smart', 't': translate(quote, '''\"', '’”')}, {'k': 'dash', 't': translate(quote, '-', '—')}, {'k': 'ellipsis', 't': quote || '...'}, {'k': 'wrapped', 't': '\"' || quote || '\"'}, "
+    f"{{'k': 'swapped', 't': CASE WHEN len({_PARTS}) >= 4 THEN array_to_string(list_concat(list_concat({_PARTS}[1:{_MID} - 1], [{_PARTS}[{_MID} + 1], {_PARTS}[{_MID}]]), {_PARTS}[{_MID} + 2:]), ' ') ELSE quote END}}]"
+)
+
+
 _NESTED = lambda name, sql: f"{name} AS MATERIALIZED ({sql}), "
 _MERGED = _SPANS.replace("WITH RECURSIVE ", "WITH RECURSIVE " + _NESTED("ex", LEX.replace("agent:plan", "agent:exec") + " SELECT trace_id, annotator_id FROM done"), 1) + """, ann AS (SELECT trace_id, step_id AS annotator_id FROM prof WHERE grp = 'annotator'),
 runs AS (SELECT DISTINCT trace_id, unnest(ids) AS annotator_id FROM sb),
@@ -97,6 +131,11 @@ FROM (SELECT 'lexical' AS mode, lc / n_steps AS c, lc AS k, n_steps FROM m UNION
     "quote_diagnosis": _DIAG + """ SELECT report_id, match_path, CASE WHEN match_path = 'no-match' THEN prefix END AS prefix, CASE WHEN match_path = 'no-match' THEN position END AS position,
   CASE WHEN match_path = 'no-match' THEN trim(regexp_replace(lower(left(hex(encode(cl)), 120)), '(..)', '\\1 ', 'g'), ' ') END AS quote_hex, CASE WHEN match_path = 'no-match' THEN array_to_string(sig, ' ') ELSE '' END AS signals, mode FROM di""",
     "quote_path_distribution": _DIAG + " SELECT match_path, count(*) AS n FROM di GROUP BY 1",
+    "quote_match_paths": QUOTE + ", " + _full_path("SELECT report_id, model, quote AS q, source AS s FROM q") + f""" SELECT report_id, model, path AS match_path,
+  array_to_string(list_filter([CASE WHEN path = 'no-match' THEN 'PROV_FAIL_02' WHEN path IS NOT NULL AND path <> 'exact' THEN 'PROV_INFO_07' END, CASE WHEN length({_CLEAN.format('q')}) < 10 THEN 'PROV_WARN_06' END], lambda x: x IS NOT NULL), ',') AS codes FROM p2""",
+    "quote_variants": QUOTE + ", va AS (SELECT source AS s, unnest(" + _VARIANTS + ") AS v FROM q), " + _full_path("SELECT v.k AS kind, v.t AS q, s FROM va") + " SELECT kind, path AS match_path, count(*) AS n FROM p2 GROUP BY ALL",
+    "quote_probe_sweep": QUOTE + ", va AS (SELECT source AS s, unnest(" + _VARIANTS + ") AS v FROM q WHERE source IS NOT NULL), " + _full_path("SELECT v.k AS kind, v.t AS q, s FROM va")
+    + " SELECT kind, count(*) AS probes, count(*) FILTER (before <> 'no-match') AS before, count(*) FILTER (path <> 'no-match') AS after, count(*) FILTER (path <> 'no-match') - count(*) FILTER (before <> 'no-match') AS gained FROM p2 GROUP BY 1",
     "loocv_summary": _LOO + """, s AS (SELECT count(*) AS n, sum(hit) AS correct, avg(w) AS mean, stddev_samp(w) AS deviation, min(w) AS least, max(w) AS greatest, sum(hit) / count(*) AS p FROM loo)
 SELECT n, correct::BIGINT AS correct, round(mean, 9) AS mean, round(deviation, 12) AS deviation, round(least, 9) AS least, round(greatest, 9) AS greatest, round(p, 9) AS accuracy, round((p + 1.9208 / n - 1.96 * sqrt((p * (1 - p) + 0.9604 / n) / n)) / (1 + 3.8416 / n), 9) AS low,
   round((p + 1.9208 / n + 1.96 * sqrt((p * (1 - p) + 0.9604 / n) / n)) / (1 + 3.8416 / n), 9) AS high, p >= 0.3 AS passes FROM s""",

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from evigrid.functions import text as T
-from evigrid.operators import align, evalstats as E, grading as G, records as R, scan, traces as TR
+from evigrid.operators import align, entail, evalstats as E, grading as G, provenance as P, records as R, scan, traces as TR
 from evigrid.plans import reference
+from evigrid.plans.alignment_sql import RAW_PAIRS, SOFT
 from evigrid.plans.reference_sql import GOLD, STEPS, TRACES
 from evigrid.session import table
 
@@ -181,9 +182,99 @@ def accuracy_mismatch_families(spark, d):
     return m.groupBy(E.id_family(name).alias("family"), "gold", "verdict").agg(F.count("*").alias("n"))
 
 
+def segment_diagnostics(spark, d):
+    out = align.segment_diagnostics(*reference._sides(spark, d))
+    return out.select("trace_id", "agent_id", F.col("start_pos").cast("int").alias("start_pos"), F.col("len").cast("int").alias("len"), *[F.round(c, 9).alias(c) for c in ("score", "single_score", "improvement")])
+
+
+def near_miss_answers(spark, d):
+    """Whether answers, some of them made of the truth, come near it: the truth with words around it, cut, negated, or with other numbers."""
+    t = _traces(spark, d).where("ground_truth IS NOT NULL").select("trace_id", "ground_truth", "question", F.pmod(F.length("question"), F.lit(5)).alias("k"))
+    g = F.concat("question", F.lit(" "), "ground_truth")
+    made = F.when(F.col("k") == 0, F.concat(g, F.lit(" as the page says"))).when(F.col("k") == 1, F.substring_index(g, " ", 8)).when(F.col("k") == 2, F.concat(F.lit("not "), g)).when(F.col("k") == 3, F.regexp_replace(g, "[0-9]", "7")).otherwise(F.concat(F.lit("A B. C. "), F.substring_index(g, " ", -6)))
+    return t.select("trace_id", entail.near_miss(made, g).alias("near"), entail.negation_differs(made, g).alias("negated"), entail.names_differ(made, g).alias("other_names"))
+
+
+def line_break_quotes(spark, d):
+    """Signals of cuts across lines in probes made of each trace's evidence."""
+    return _evidence(spark, d).select("trace_id", F.array_join(P.line_break_signals(P.cross_line_quote(F.col("source")), F.col("source")), ",").alias("signals"), F.array_join(P.line_break_signals(P.bridge_quote(F.col("source")), F.col("source")), ",").alias("bridge_signals"))
+
+
+def line_break_sweep(spark, d):
+    return P.line_break_sweep(_evidence(spark, d))
+
+
+def _evidence(spark, d):
+    e = F.filter(F.flatten(F.transform("trace.steps", lambda s: F.coalesce(s["evidence"], F.array().cast("array<string>")))), lambda x: x.isNotNull())
+    return _traces(spark, d).select("trace_id", F.coalesce(F.array_join(e, "\n"), F.lit("")).alias("source"))
+
+
+def coerced_traces(spark, d):
+    steps, answer = R.coerced_trace(F.col("trace.steps"), F.col("answer"))
+    t = _traces(spark, d).select("trace_id", F.posexplode(steps).alias("i", "s"), answer.alias("answer"))
+    return t.select("trace_id", F.col("s.index").alias("index"), "s.kind", "s.tool", "s.summary", F.coalesce(F.size("s.evidence"), F.lit(-1)).alias("n_evidence"), "answer")
+
+
+def evidence_sources(spark, d):
+    return reference.graded(spark, d).groupBy(R.evidence_source(F.col("step_type")).alias("source")).agg(F.count("*").alias("n"))
+
+
+def plan_span_selection(spark, d):
+    """Steps as model calls: a prompt that asks for a plan is one whose description compares."""
+    steps = align.latest_steps(table(spark, d, "plan_steps")).where("grp = 'agent:exec'")
+    return R.plan_spans(steps.select("trace_id", F.col("step_id").alias("span_id"), F.col("idx").alias("pos"), F.col("description").alias("prompt")), "Compare")
+
+
+def text_attributes(spark, d):
+    """A text and a number of each part as attributes of a span; the number is no text."""
+    p = table(spark, d, "part").select("p_partkey", F.to_json(F.struct(F.col("p_brand").alias("llm.name"), F.col("p_size").alias("llm.size"))).alias("attributes"))
+    return p.select("p_partkey", R.text_attribute(F.col("attributes"), "llm.name").alias("name"), R.text_attribute(F.col("attributes"), "llm.size").alias("size"))
+
+
+def evaluator_pairs(spark, d):
+    """All families of the dealt model names against those of the next two."""
+    names = F.array(*map(F.lit, reference.MODEL_NAMES))
+    at = lambda k: G.family(F.element_at(names, ((F.col("p_partkey") * k + k) % len(reference.MODEL_NAMES) + 1).cast("int")))
+    return table(spark, d, "part").groupBy(R.pair_problem(at(1), at(3), at(5)).alias("problem")).agg(F.count("*").alias("n"))
+
+
+def artifact_paths(spark, d):
+    forms = F.array(*map(F.lit, ("a/traces.jsonl", "b/traces-x-2026-01-02.jsonl", "gold.json", "c/gold-2026-01-02.json", "source-claim.json", "readme.md", "traces.json")))
+    at = lambda k: F.element_at(forms, ((F.col("p_partkey") * k) % 7 + 1).cast("int"))
+    paths = F.array(at(1), at(2), at(3))
+    return table(spark, d, "part").groupBy(*[R.artifact(paths, k).alias(k) for k in R.ARTIFACTS]).agg(F.count("*").alias("n"))
+
+
+#: Rules over the test documents, in the shape of records.boundary_breaks.
+_RULES = [("^1", ["(?i)ledger"], [], "ledger in ones"), ("[05]$", ["(?i)flood", "(?i)museum"], ["(?i)missing"], "flood and museum, nothing missing"), (".", ["(?i)wool bales"], ["(?i)the"], "bales without an article")]
+
+
+def boundary_breaks(spark, d):
+    return R.boundary_breaks(table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("file"), "text"), _RULES)
+
+
+def acronyms(spark, d):
+    """Questions for names of parts, and pages that spell them out."""
+    p = table(spark, d, "part").select("p_partkey", F.concat(F.lit("AB"), F.pmod("p_partkey", F.lit(7)).cast("string")).alias("a"), F.lower("p_brand").alias("brand"))
+    q = F.when(F.col("p_partkey") % 3 == 0, F.concat(F.lit("What does "), F.lower("a"), F.lit(" stand for?"))).otherwise(F.concat(F.lit("what does  "), "a", F.lit(" stand for")))
+    page = F.concat(F.lit("Here is The Alpha Brand-"), F.regexp_extract("brand", "([0-9]+)", 1), F.lit(" (AB"), F.pmod("p_partkey", F.lit(5)).cast("string"), F.lit(") and Other Words (ZZ)."))
+    return p.select("p_partkey", R.acronym_asked(q).alias("asked"), R.acronym_expansion(page, R.acronym_asked(q)).alias("meaning"))
+
+
+def document_digest(spark, d):
+    return R.document_digest(table(spark, d, "documents").select(F.lpad(F.col("doc_id").cast("string"), 12, "0").alias("file"), "text"), 10, 300, 2_000)
+
+
+def calibration_scan(spark, d):
+    """Calibration of the judges of one role, scanned by equality."""
+    runs = R.where_equal(table(spark, d, "judge_runs"), role="critic", domain=None, model="orla-2").distinct()
+    return runs.groupBy("domain").agg(F.count("*").alias("n"), F.round(F.avg("score_given"), 8).alias("avg_score"))
+
+
 QUERIES = {f.__name__: f for f in (
     record_steps, record_edges, record_flows, record_summary, record_validate, step_tool_names, resolved_answers, question_domains, truncated_context, plain_plan_steps, plan_comparison, generated_check,
     calibration_check, calibration_changes, generation_stats, scan_audit, scan_highest_severity, scan_ranked, scan_dangers, graded_floors, enrich_pages, signal_phrases, numbered_lists, highest_scores, accuracy_mismatch_families,
+    segment_diagnostics, near_miss_answers, line_break_quotes, line_break_sweep, coerced_traces, evidence_sources, plan_span_selection, text_attributes, evaluator_pairs, artifact_paths, boundary_breaks, acronyms, document_digest, calibration_scan,
 )}
 
 _LINES = "list_filter(list_transform(list_filter(list_transform(string_split_regex(coalesce(annotator_metadata['Steps'], ''), '\\r?\\n'), lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')), lambda x: x <> ''), lambda x: regexp_replace(regexp_replace(x, '(?i)^step\\s*\\d+\\s*:\\s*', ''), '^\\d+\\.\\s*', '')), lambda x: x <> '')"
@@ -208,6 +299,15 @@ _CAMEL = "list_transform(regexp_extract_all(d, '\\b[A-Z][A-Za-z0-9]+Tool\\b'), l
 
 _EXCERPT_BARE = "regexp_matches(shown, '(?i)tool.?call|web_search|web_fetch|\\[search\\]|\\[TOOL') AND NOT regexp_matches(shown, '(?i)tool.?result|\\[observe\\]|\\[EXTRACTED')"
 
+_TRIMMED = "regexp_replace({}, '^\\s+|\\s+$', '', 'g')"
+_TAIL = "regexp_matches({q}, '\\n') AND regexp_matches(" + _TRIMMED.format("string_split({q}, chr(10))[-1]") + ", '^[A-Za-z\\[(]') AND length(" + _TRIMMED.format("string_split({q}, chr(10))[-1]") + ") <= 16 AND contains(source, chr(10) || " + _TRIMMED.format("string_split({q}, chr(10))[-1]") + ")"
+_HALF = "length(string_split({q}, chr(10))[1]) >= 8 AND length(string_split({q}, chr(10))[2]) >= 4 AND contains(source, string_split({q}, chr(10))[1]) AND contains(source, " + _TRIMMED.format("string_split({q}, chr(10))[2]") + ") AND NOT contains(source, string_split({q}, chr(10))[1] || chr(10) || " + _TRIMMED.format("string_split({q}, chr(10))[2]") + ")"
+_PROBES = "WITH " + TRACES + f""", ev AS (SELECT trace_id, coalesce(array_to_string(list_filter(flatten(list_transform(trace.steps, lambda s: coalesce(s.evidence, []))), lambda e: e IS NOT NULL), chr(10)), '') AS source FROM lt),
+ln AS (SELECT *, list_transform(string_split(source, chr(10)), lambda x: {_TRIMMED.format('x')}) AS l FROM ev),
+pb AS (SELECT trace_id, source, list_filter(list_transform(range(1, len(l)), lambda i: CASE WHEN length(l[i]) >= 20 AND length(l[i + 1]) >= 12 AND regexp_matches(left(l[i + 1], 10), '[A-Za-z\\[(]$') THEN l[i] || chr(10) || left(l[i + 1], 10) END), lambda x: x IS NOT NULL)[1] AS q,
+  list_filter(list_transform(range(3, len(l) + 1), lambda i: CASE WHEN length(l[1]) >= 10 AND length(l[i]) >= 8 AND regexp_matches(left(l[i], 12), '[A-Za-z\\[(]$') THEN l[1] || chr(10) || left(l[i], 12) END), lambda x: x IS NOT NULL)[1] AS b FROM ln),
+sig AS MATERIALIZED (SELECT *, coalesce({_TAIL.format(q='q')}, false) AS qa, coalesce({_HALF.format(q='q')}, false) AS qc, coalesce({_TAIL.format(q='b')}, false) AS ba, coalesce({_HALF.format(q='b')}, false) AS bc FROM pb)"""
+
 ORACLE = {
     "record_steps": _RECORDS + " SELECT trace_id, step_id, grp, CAST(idx AS INT) AS idx, description, tools, evidence FROM rs",
     "record_edges": _RECORDS + " SELECT a.trace_id, a.grp || ':edge:' || a.idx AS id, a.step_id AS src, b.step_id AS dst, 'sequential' AS type FROM rs a JOIN rs b ON a.trace_id = b.trace_id AND a.grp = b.grp AND b.idx = a.idx + 1",
@@ -267,4 +367,49 @@ SELECT trace_id, CAST(i AS INT) AS step_pos, CASE WHEN i = first AND url IS NOT
 SELECT DISTINCT task_id, CAST(i - 1 AS INT) AS i, l[i] AS item FROM (SELECT task_id, l, unnest(range(1, len(l) + 1)) AS i FROM t)""",
     "highest_scores": "SELECT best, count(*) AS n FROM (SELECT CASE greatest(l_discount, l_tax, round(l_quantity / 500, 2)) WHEN l_discount THEN 'discount' WHEN l_tax THEN 'tax' ELSE 'quantity' END AS best FROM lineitem) GROUP BY 1",
     "accuracy_mismatch_families": GOLD + """ SELECT CASE item_id % 5 WHEN 0 THEN 'D' WHEN 1 THEN 'H' WHEN 2 THEN 'B' WHEN 3 THEN 'G' ELSE '?' END AS family, gold, verdict, count(*) AS n FROM lab WHERE gold <> verdict GROUP BY ALL""",
+    "segment_diagnostics": RAW_PAIRS + f""", sp AS MATERIALIZED (SELECT a.trace_id, a.pos AS start_pos, l AS len, a.size, list_distinct(flatten(list(b.tokens))) AS tokens, list_distinct(flatten(list(b.tools))) AS tools, flatten(list(b.meanings ORDER BY b.pos)) AS fm
+  FROM prof a, range(2, 5) r(l), prof b WHERE a.grp = 'annotator' AND b.grp = 'annotator' AND a.trace_id = b.trace_id AND b.pos BETWEEN a.pos AND a.pos + l - 1 AND a.pos + l - 1 <= a.size GROUP BY ALL),
+sm AS (SELECT *, list_filter(fm, lambda t, i: list_position(fm, t) = i) AS meanings FROM sp),
+sq AS MATERIALIZED (SELECT g.trace_id, g.step_id AS agent_id, start_pos, len, CASE WHEN len(g.meanings) <= len(s.meanings) THEN g.meanings ELSE s.meanings END AS small, CASE WHEN len(g.meanings) <= len(s.meanings) THEN s.meanings ELSE g.meanings END AS big,
+  CASE WHEN len(g.tokens) = 0 OR len(s.tokens) = 0 THEN 0.0 ELSE len(list_intersect(g.tokens, s.tokens)) / (len(g.tokens) + len(s.tokens) - len(list_intersect(g.tokens, s.tokens)))::DOUBLE END AS lexical, CASE WHEN len(g.tools) = 0 OR len(s.tools) = 0 THEN 0.0 ELSE len(list_intersect(g.tools, s.tools)) / (len(g.tools) + len(s.tools) - len(list_intersect(g.tools, s.tools)))::DOUBLE END AS tool,
+  1 - abs(CASE WHEN g.size = 1 THEN 0.5 ELSE (g.pos - 1) / (g.size - 1)::DOUBLE END - (start_pos + (len - 1) / 2 - 1) / (s.size - 1)::DOUBLE) AS position FROM prof g JOIN sm s ON g.trace_id = s.trace_id AND g.grp = 'agent:plan'),
+sr AS (SELECT *, CASE WHEN len(small) = 0 THEN 0.0 ELSE {SOFT} END AS common FROM sq), su AS (SELECT *, CASE WHEN len(small) = 0 THEN 0.0 ELSE common / (len(small) + len(big) - common) END AS semantic FROM sr),
+sv AS (SELECT *, greatest(0.35 * lexical + 0.25 * semantic + 0.25 * position + 0.15 * tool, 0.5 * lexical + 0.3 * position + 0.2 * tool) AS sc FROM su),
+sw AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY trace_id, agent_id ORDER BY round(sc, 12) DESC, start_pos, len) AS rn FROM sv) WHERE rn = 1)
+SELECT trace_id, agent_id, CAST(start_pos AS INT) AS start_pos, CAST(len AS INT) AS len, round(sc, 9) AS score, round(top, 9) AS single_score, round(sc - top, 9) AS improvement FROM sw JOIN (SELECT trace_id, agent_id, max(score) AS top FROM scored GROUP BY ALL) USING (trace_id, agent_id)""",
+    "line_break_quotes": _PROBES + """ SELECT trace_id, CASE WHEN q IS NULL THEN '' ELSE array_to_string(list_filter([CASE WHEN qa THEN 'cross_line_fragment_tail' END, CASE WHEN qc THEN 'bridge_span_concat' END, CASE WHEN (qa OR qc) AND regexp_matches(q, '[A-Za-z\\[(]\\s*$') THEN 'mid_word_termination' END], lambda x: x IS NOT NULL), ',') END AS signals,
+  CASE WHEN b IS NULL THEN '' ELSE array_to_string(list_filter([CASE WHEN ba THEN 'cross_line_fragment_tail' END, CASE WHEN bc THEN 'bridge_span_concat' END, CASE WHEN (ba OR bc) AND regexp_matches(b, '[A-Za-z\\[(]\\s*$') THEN 'mid_word_termination' END], lambda x: x IS NOT NULL), ',') END AS bridge_signals FROM sig""",
+    "line_break_sweep": _PROBES + """ SELECT count(*) AS sources, count(q) AS made, count(*) FILTER (qa OR qc) AS triggered, count(*) FILTER (qa) AS cross_line, count(*) FILTER ((qa OR qc) AND regexp_matches(q, '[A-Za-z\\[(]\\s*$')) AS mid_word, count(*) FILTER (qc) AS bridge,
+  count(*) FILTER (qa::INT + qc::INT + ((qa OR qc) AND regexp_matches(q, '[A-Za-z\\[(]\\s*$'))::INT >= 2) AS several, count(b) AS bridges_made, count(*) FILTER (bc) AS bridges_found FROM sig""",
+    "coerced_traces": "WITH " + TRACES + """, s AS (SELECT trace_id, i, st[i] AS s, answer FROM (SELECT trace_id, answer, list_filter(coalesce(trace.steps, []), lambda s: s IS NOT NULL AND coalesce(regexp_replace(s.summary, '^\\s+|\\s+$', '', 'g'), '') <> '') AS st, unnest(range(1, len(st) + 1)) AS i FROM lt)),
+k AS (SELECT trace_id, row_number() OVER (PARTITION BY trace_id ORDER BY coalesce(s."index", i), i) AS n, CASE WHEN lower(trim(s.kind)) IN ('observe', 'search', 'browse', 'read', 'reason', 'calculate', 'answer') THEN lower(trim(s.kind)) ELSE 'reason' END AS kind, nullif(trim(s.tool), '') AS tool,
+  regexp_replace(s.summary, '^\\s+|\\s+$', '', 'g') AS summary, coalesce(len(list_filter(s.evidence, lambda e: regexp_replace(e, '^\\s+|\\s+$', '', 'g') <> '')), -1) AS ne FROM s),
+z AS (SELECT lt.trace_id, coalesce(nullif(regexp_replace(lt.answer, '^\\s+|\\s+$', '', 'g'), ''), 'Unable to determine a final answer.') AS answer, coalesce(m, 0) AS m, k.kind AS last FROM lt LEFT JOIN (SELECT trace_id, max(n) AS m FROM k GROUP BY 1) x USING (trace_id) LEFT JOIN k ON k.trace_id = lt.trace_id AND k.n = m)
+SELECT trace_id, CAST(n AS INT) AS "index", kind, tool, summary, CAST(ne AS INT) AS n_evidence, answer FROM k JOIN z USING (trace_id) UNION ALL SELECT trace_id, CAST(m + 1 AS INT), 'answer', NULL, 'Submitted the final answer: ' || answer, -1, answer FROM z WHERE coalesce(last, '') <> 'answer'""",
+    "evidence_sources": "SELECT CASE WHEN l_linestatus = 'O' THEN 'answer' ELSE 'trace' END AS source, count(*) AS n FROM lineitem GROUP BY 1",
+    "plan_span_selection": "WITH " + STEPS + """, c AS (SELECT * FROM steps WHERE grp = 'agent:exec') SELECT trace_id, coalesce(arg_min(step_id, {'p': idx, 's': step_id}) FILTER (contains(description, 'Compare')), arg_max(step_id, {'p': idx, 's': step_id})) AS span_id,
+  CASE WHEN bool_or(coalesce(contains(description, 'Compare'), false)) THEN 'prompt_match' ELSE 'last_llm_call' END AS selection FROM c GROUP BY 1""",
+    "text_attributes": "SELECT p_partkey, p_brand AS name, NULL::VARCHAR AS size FROM part",
+    "evaluator_pairs": """WITH f AS (SELECT ['anthropic', 'openai', 'openai', 'openai', 'unknown', 'xai', 'moonshot', 'moonshot', 'deepseek', 'google', 'unknown', 'anthropic', 'unknown'] AS l), p AS (SELECT l[(p_partkey + 1) % 13 + 1] AS a, l[(p_partkey * 3 + 3) % 13 + 1] AS b, l[(p_partkey * 5 + 5) % 13 + 1] AS g FROM part, f)
+SELECT CASE WHEN a = b THEN 'judges_share_family' WHEN a = g AND b = g THEN 'both_share_generator' WHEN a = g THEN 'primary_shares_generator' WHEN b = g THEN 'secondary_shares_generator' END AS problem, count(*) AS n FROM p GROUP BY 1""",
+    "artifact_paths": """WITH f AS (SELECT ['a/traces.jsonl', 'b/traces-x-2026-01-02.jsonl', 'gold.json', 'c/gold-2026-01-02.json', 'source-claim.json', 'readme.md', 'traces.json'] AS l), p AS (SELECT [l[p_partkey % 7 + 1], l[p_partkey * 2 % 7 + 1], l[p_partkey * 3 % 7 + 1]] AS ps FROM part, f)
+SELECT list_filter(ps, lambda x: x IN ('a/traces.jsonl', 'b/traces-x-2026-01-02.jsonl'))[1] AS trace, list_filter(ps, lambda x: x LIKE '%gold%')[1] AS gold, list_filter(ps, lambda x: x = 'source-claim.json')[1] AS source_claim, count(*) AS n FROM p GROUP BY ALL""",
+    "boundary_breaks": """WITH f AS (SELECT doc_id::VARCHAR AS file, lower(text) AS t FROM documents) SELECT file, 'ledger in ones' AS message FROM f WHERE file LIKE '1%' AND contains(t, 'ledger') UNION ALL SELECT file, 'flood and museum, nothing missing' FROM f WHERE right(file, 1) IN ('0', '5') AND contains(t, 'flood') AND contains(t, 'museum') AND NOT contains(t, 'missing')
+UNION ALL SELECT file, 'bales without an article' FROM f WHERE contains(t, 'wool bales') AND NOT contains(t, 'the')""",
+    "acronyms": """SELECT p_partkey, 'AB' || p_partkey % 7 AS asked, CASE WHEN p_partkey % 7 = p_partkey % 5 THEN 'Alpha Brand-' || regexp_extract(lower(p_brand), '([0-9]+)', 1) || ' (AB' || p_partkey % 5 || ')' END AS meaning FROM part""",
+    "document_digest": """WITH f AS (SELECT lpad(doc_id::VARCHAR, 12, '0') AS file, text FROM documents ORDER BY 1 LIMIT 10) SELECT left(string_agg('### ' || file || chr(10) || left(text, 300), chr(10) || chr(10) ORDER BY file), 2000) AS digest, count(*) AS n_files FROM f""",
+    "calibration_scan": "SELECT domain, count(*) AS n, round(avg(score_given), 8) AS avg_score FROM (SELECT DISTINCT * FROM judge_runs WHERE role = 'critic' AND model = 'orla-2') GROUP BY 1",
+    "question_domains": f"""WITH q AS (SELECT DISTINCT id, question || ' ' || coalesce(domain, '') || ' audit ' || coalesce(domain, '') AS q FROM blocks), c AS (SELECT id, {', '.join(f"len(regexp_extract_all(q, '{p}')) AS {n}" for n, p in R.DOMAINS.items())} FROM q)
+SELECT CASE WHEN greatest(medical, legal, financial, technical) = 0 THEN 'general' WHEN medical = greatest(medical, legal, financial, technical) THEN 'medical' WHEN legal = greatest(legal, financial, technical) THEN 'legal' WHEN financial >= technical THEN 'financial' ELSE 'technical' END AS domain, count(*) AS n FROM c GROUP BY 1""",
+    "near_miss_answers": "WITH " + TRACES + """, g AS (SELECT trace_id, question || ' ' || ground_truth AS t, length(question) % 5 AS k FROM lt WHERE ground_truth IS NOT NULL),
+m AS (SELECT trace_id, regexp_replace(t, '^\\s+|\\s+$', '', 'g') AS t, regexp_replace(CASE k WHEN 0 THEN t || ' as the page says' WHEN 1 THEN array_to_string(string_split(t, ' ')[1:8], ' ') WHEN 2 THEN 'not ' || t WHEN 3 THEN regexp_replace(t, '[0-9]', '7', 'g') ELSE 'A B. C. ' || array_to_string(string_split(t, ' ')[-6:], ' ') END, '^\\s+|\\s+$', '', 'g') AS a FROM g),
+w AS (SELECT *, list_filter(string_split_regex(regexp_replace(lower(a), '[^a-z0-9\\s]', ' ', 'g'), '\\s+'), lambda x: x <> '') AS wa, list_filter(string_split_regex(regexp_replace(lower(t), '[^a-z0-9\\s]', ' ', 'g'), '\\s+'), lambda x: x <> '') AS wt,
+  list_distinct(list_filter(regexp_extract_all(a, NAMES), lambda x: x NOT IN ('The', 'A', 'An', 'By', 'In', 'On', 'At', 'For', 'Of'))) AS ea, list_distinct(list_filter(regexp_extract_all(t, NAMES), lambda x: x NOT IN ('The', 'A', 'An', 'By', 'In', 'On', 'At', 'For', 'Of'))) AS et FROM m),
+c AS (SELECT *, list_filter(wa, lambda x: x NOT IN PLAIN) AS ca, list_filter(wt, lambda x: x NOT IN PLAIN) AS ct,
+  list_filter(ea, lambda x: NOT list_contains(et, x)) AS lo, list_filter(et, lambda x: NOT list_contains(ea, x)) AS ro, len(list_intersect(ea, et)) AS es, list_filter(wa, lambda x: regexp_matches(x, '[0-9]')) AS na, list_filter(wt, lambda x: regexp_matches(x, '[0-9]')) AS nt FROM w),
+f AS (SELECT *, (len(list_filter(ca, lambda x: x IN NEGATING)) > 0) <> (len(list_filter(ct, lambda x: x IN NEGATING)) > 0) AS negated,
+  len(ea) > 0 AND len(et) > 0 AND (es >= 2 AND len(lo) > 0 AND len(ro) > 0 OR es >= 1 AND (len(lo) > 0) <> (len(ro) > 0) AND len(list_filter(list_concat(lo, ro), lambda x: length(replace(x, '.', '')) > 2)) = 0) AS other_names, len(list_intersect(list_distinct(ca), list_distinct(ct))) AS sh FROM c)
+SELECT trace_id, CASE WHEN a = '' OR t = '' OR negated OR other_names OR (len(na) > 0 AND len(nt) > 0 AND len(list_intersect(na, nt)) = 0) THEN false WHEN contains(lower(a), lower(t)) THEN len(ca) <= len(ct) + 8 ELSE sh >= 3 AND sh / (len(list_distinct(ca)) + len(list_distinct(ct)) - sh) >= 0.25 END AS near, negated, other_names FROM f"""
+    .replace("NAMES", "'(?:\\b[A-Z]{2,}\\b|\\b[A-Z][a-z]+\\b|\\b[A-Z]\\.)'").replace("PLAIN", "('a', 'an', 'and', 'as', 'at', 'by', 'for', 'from', 'in', 'is', 'it', 'of', 'on', 'or', 'the', 'to', 'was', 'were', 'with')")
+    .replace("NEGATING", "('no', 'not', 'never', 'none', 'without', 'cannot', 'cant', 'doesnt', 'dont', 'isnt', 'arent', 'wasnt', 'werent', 'wont', 'didnt')"),
 }
