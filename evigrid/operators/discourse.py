@@ -81,7 +81,7 @@ def preservation(rows: DataFrame, critique: str = "critique", synthesis: str = "
     null synthesis nothing stands.
     """
     text, said = F.coalesce(F.col(critique), F.lit("")), F.lower(F.coalesce(F.col(synthesis), F.lit("")))
-    terms = F.transform(objection_segments(text), key_terms)
+    terms = F.transform(objection_segments(text), lambda x: key_terms(x))  # noqa: PLW0108 - a second parameter would be the index
     out = rows.withColumn("_t", terms)
     need = lambda t: F.when(F.size(t) >= 6, F.lit(2)).otherwise(F.greatest(F.lit(1), F.ceil(F.size(t) * 0.25)))
     kept = F.filter("_t", lambda t: F.size(F.filter(t, lambda w: said.contains(w))) >= need(t))

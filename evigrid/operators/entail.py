@@ -44,7 +44,7 @@ def _quoted(word: Column) -> Column:
 def negates(sentence: Column, answer: Column) -> Column:
     """Whether a normal sentence negates a normal answer within three words before it."""
     words = F.array_join(F.transform(F.split(answer, " "), _quoted), r"\W+")
-    return F.regexp_count(sentence, F.concat(F.lit(rf"(?:^|\b)(?:{NEGATIONS})(?:\W+\w+){{0,3}}\W+"), words, F.lit(r"(?:\b|$)"))) > 0
+    return F.regexp_count(sentence, F.concat(F.lit(rf"(?<![A-Za-z0-9_])(?:{NEGATIONS})(?:\W+\w+){{0,3}}\W+"), words, F.lit(r"(?:(?<=[A-Za-z0-9_])(?![A-Za-z0-9_])|(?<![A-Za-z0-9_])(?=[A-Za-z0-9_])|$)"))) > 0
 
 
 def usable(answer: Column, source: Column, sentences: Column) -> Column:
@@ -133,7 +133,7 @@ def numeric_words(text: Column) -> Column:
 
 def names(text: Column) -> Column:
     """Distinct words that look like names: capitals, capitalised words, initials."""
-    return F.array_distinct(F.filter(F.regexp_extract_all(text, F.lit(r"(?:\b[A-Z]{2,}\b|\b[A-Z][a-z]+\b|\b[A-Z]\.)"), F.lit(0)), lambda t: ~t.isin(*NO_NAMES)))
+    return F.array_distinct(F.filter(F.regexp_extract_all(text, F.lit(r"(?<![A-Za-z0-9_])(?:[A-Z]{2,}(?![A-Za-z0-9_])|[A-Z][a-z]+(?![A-Za-z0-9_])|[A-Z]\.)"), F.lit(0)), lambda t: ~t.isin(*NO_NAMES)))
 
 
 def negation_differs(a: Column, b: Column) -> Column:

@@ -100,8 +100,8 @@ def is_plan_step(grp: Column, step_id: Column) -> Column:
 def tool_names(description: Column) -> Column:
     """Tools that a description names: known ones, words with underscores, and names that end in Tool, in that order."""
     known = F.array_compact(F.array(*[F.when(F.lower(description).contains(t), F.lit(t)) for t in KNOWN_TOOLS]))
-    snake = F.transform(F.regexp_extract_all(description, F.lit(r"(?i)\b[a-z]+(?:_[a-z0-9]+)+\b"), F.lit(0)), F.lower)
-    camel = F.transform(F.regexp_extract_all(description, F.lit(r"\b[A-Z][A-Za-z0-9]+Tool\b"), F.lit(0)), lambda t: F.lower(F.regexp_replace(F.regexp_replace(t, "Tool$", ""), "([a-z])([A-Z])", "$1_$2")))
+    snake = F.transform(F.regexp_extract_all(description, F.lit(r"(?i)(?<![a-z0-9_])[a-z]+(?:_[a-z0-9]+)+(?![a-z0-9_])"), F.lit(0)), F.lower)
+    camel = F.transform(F.regexp_extract_all(description, F.lit(r"(?<![A-Za-z0-9_])[A-Z][A-Za-z0-9]+Tool(?![A-Za-z0-9_])"), F.lit(0)), lambda t: F.lower(F.regexp_replace(F.regexp_replace(t, "Tool$", ""), "([a-z])([A-Z])", "$1_$2")))
     return F.array_distinct(F.concat(known, snake, camel))
 
 

@@ -17,7 +17,8 @@ _TRIM = "regexp_replace({}, '^\\s+|\\s+$', '', 'g')"
 _SEGS = f"""list_filter(list_transform(flatten(list_transform(list_filter(list_transform(string_split(critique, chr(10)), lambda x: {_TRIM.format('x')}), lambda x: x <> ''),
   lambda x: CASE WHEN regexp_matches(x, '^[-*•]\\s+|^\\d+\\.\\s+') THEN [regexp_replace(x, '^[-*•\\d.]\\s+', '')] ELSE string_split(regexp_replace(x, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)) END)), lambda x: {_TRIM.format('x')}), lambda x: length(x) > 10)"""
 _TERMS = f"list_filter(string_split_regex(regexp_replace(lower(x), '[^a-z0-9\\s]', ' ', 'g'), '\\s+'), lambda w: length(w) > 4 AND w NOT IN ({_COMMON}))[1:6]"
-_DPR = _COV + f""", crit AS (SELECT DISTINCT block_id, 'run:' || id AS critique_id, overall_assessment AS critique FROM judge_runs WHERE overall_assessment IS NOT NULL UNION ALL SELECT block_id, 'pos:' || pos, content FROM mem WHERE content IS NOT NULL),
+_DPR = _COV + f""", crit AS (SELECT block_id, critique_id, replace(replace(replace(critique, 'disputes', 'disputed'), 'although', 'however'), 'missing', 'unverified') AS critique FROM (
+  SELECT DISTINCT block_id, 'run:' || id AS critique_id, overall_assessment AS critique FROM judge_runs WHERE overall_assessment IS NOT NULL UNION ALL SELECT block_id, 'pos:' || pos, content FROM mem WHERE content IS NOT NULL)),
 seg AS (SELECT c.block_id, critique_id, lower(coalesce(synthesis, '')) AS s, coalesce(NOT justified AND dominated_by IS NOT NULL, false) AS warned,
   list_filter({_SEGS}, lambda x: len(list_filter([{_MARKS}], lambda m: contains(lower(x), m))) > 0) AS segs FROM crit c LEFT JOIN syn USING (block_id) LEFT JOIN bal2 USING (block_id)),
 ter AS (SELECT *, list_transform(segs, lambda x: {_TERMS}) AS ts FROM seg),

@@ -294,12 +294,13 @@ def synthesis_balance(spark, d):
 
 
 def objection_preservation(spark, d):
-    """Each judge's assessment and the block's proposals but the last as critiques of the synthesis."""
+    """Each judge's assessment and the block's proposals but the last as critiques of the synthesis; words of the objections' list take the place of near ones."""
     said = table(spark, d, "judge_runs").where("overall_assessment IS NOT NULL").select("block_id", F.concat(F.lit("run:"), "id").alias("critique_id"), F.col("overall_assessment").alias("critique")).distinct()
     synth = _synthesis(spark, d)
     held = table(spark, d, "proposals").where("content IS NOT NULL").select("block_id", "pos", "content").distinct().join(synth.select("block_id", "last"), "block_id").where("pos < last")
     both = said.unionByName(held.groupBy("block_id", "pos").agg(F.max("content").alias("critique")).select("block_id", F.concat(F.lit("pos:"), "pos").alias("critique_id"), "critique"))
     warned = discourse.synthesis_balance(_balance(spark, d), "block_id", "member").select("block_id", F.col("warning").alias("warned"))
+    both = both.withColumn("critique", F.regexp_replace(F.regexp_replace(F.regexp_replace("critique", "disputes", "disputed"), "although", "however"), "missing", "unverified"))
     rows = both.join(synth.select("block_id", "synthesis"), "block_id", "left").join(warned, "block_id", "left")
     out = discourse.preservation(rows)
     return out.select("block_id", "critique_id", "objections", "preserved", "score", "false_consensus", F.array_join("keywords", " ").alias("keywords"))
