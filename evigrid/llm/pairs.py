@@ -53,6 +53,21 @@ REFUSAL_FRAMES = (
     ("", ""), ("Thank you for the question. ", ""), ("", " I hope you understand."), ("", " If you have another question, feel free to ask."), ("Thanks for asking. ", " Maybe someone else can help you further."), ("", " Please contact the responsible office."),
     ("Danke für die Frage. ", ""), ("", " Ich bitte um Verständnis."), ("", " Bitte wende dich an die zuständige Stelle."),
 )
+#: Parts from which further refusals are put together, so that the classifier learns how one declines and not a list of sentences.
+REFUSAL_PARTS = (
+    (
+        ("", "", "Sorry, ", "I'm sorry, but ", "I am sorry, but ", "Unfortunately ", "I apologize, but ", "I'm afraid "),
+        ("I cannot", "I can't", "I am not able to", "I'm not able to", "I am unable to", "I'm unable to", "I won't", "I will not", "I must decline to", "I have to decline to", "I would rather not", "I am not allowed to", "I don't want to", "my guidelines do not allow me to", "my rules forbid me to", "my policies keep me from wanting to"),
+        (" help with", " assist with", " answer", " discuss", " comment on", " respond to", " talk about", " speculate about", " take a position on", " provide information on"),
+        (" this", " that", " such a", " your"),
+        (" request.", " question.", " topic.", " subject.", " matter.", " claim.", " inquiry."),
+        ("", "", " Perhaps someone else can help you further.", " Perhaps the responsible office can assist you further.", " Maybe a librarian can assist you with it.", " Please ask a qualified expert.", " Please contact the office in charge.", " Let me know if there is anything else I can do.", " I hope you understand."),
+    ),
+    (
+        ("", "", "Leider ", "Es tut mir leid, aber ", "Entschuldigung, aber "), ("kann ich", "darf ich", "möchte ich", "werde ich"), (" diese Frage", " dieses Anliegen", " diese Bitte", " dieses Thema", " diese Behauptung"), (" nicht", " leider nicht", " so nicht"),
+        (" beantworten.", " kommentieren.", " bearbeiten.", " besprechen.", " beurteilen."), ("", "", " Vielleicht kann jemand anderes weiterhelfen.", " Bitte wenden Sie sich an eine Fachstelle.", " Vielleicht hilft das zuständige Amt weiter.", " Ich bitte um Verständnis."),
+    ),
+)
 #: How an answer may repeat its question, in sound pairs and in mere copies.
 COPY_FRAMES = ("", "", "Question: ", "You asked: ", "Q: ", "Frage: ", "The question was: ", "Du fragst: ", "Die Frage lautete: ")
 #: Openings of sound answers that resemble refusals or copies.
@@ -74,6 +89,8 @@ DENSE = (
     "bias", "empty", "same", "covered", "prefixed", "rest", "foreign", "foreign_head", "native", "far", "open", "open_long", "elided", "meta", "short", "log_words", "one_line", "shared", "shared_none", "numbers",
 )
 _FIRST = re.compile(r"(?<=[.!?])\s")
+#: What an answer shares with its question tells swapped answers only: made foreign answers never share its figures, true ones may.
+_SHARING = ("shared", "shared_none", "numbers")
 _NAMES = tuple(LANGUAGES)
 _ROWS = {w: np.array([(n in langs) / len(langs) for n in _NAMES]) for w, langs in _LANG.items()}
 _HEAD, _ODD = 12, np.uint64(0x9E3779B97F4A7C15)
@@ -169,10 +186,9 @@ def features(questions: list[str | None], answers: list[str | None]) -> Features
     lh, any_h = _shares(rows[mine[early]], doc[early], n)
     own, at = lq.argmax(axis=1), np.arange(n)
     column = lambda name: DENSE.index(name)
+    # how much more of the function words is of other languages than of the question's: kin languages share words, so theirs are taken together
     for name, shares, known in (("foreign", ls, any_a), ("foreign_head", lh, any_h)):
-        others = shares.copy()
-        others[at, own] = -1.0
-        dense[:, column(name)] = np.where(any_q & known & (sizes >= 4), others.max(axis=1) - shares[at, own], 0.0)
+        dense[:, column(name)] = np.where(any_q & known & (sizes >= 4), 1.0 - 2.0 * shares[at, own], 0.0)
     native = ls[at, own]
     dense[:, column("native")] = np.where(any_q, native, 0.5)
     dense[:, column("far")] = any_q & any_a & (sizes >= 6) & (native <= 0.2)
@@ -237,7 +253,9 @@ def make_defects(pairs: list[tuple[str, str]], rng: np.random.Generator) -> list
             put(q, pick(("42", "Yes", "No.", "1873", "12.5", "Canal Trust", "31 barges")))
         opener, closer = pick(REFUSAL_FRAMES)
         if i % 2 == 0:
+            composed = "".join(pick(part) for part in pick(REFUSAL_PARTS))
             put(q, (pick(PREAMBLES).format(q=q) if i % 10 == 0 else opener) + pick(REFUSALS) + closer, "refusal")
+            put(q, composed[0].upper() + composed[1:], "refusal")
         if i % 3 == 0:
             shape = pick((str, str.lower, str.upper, str.title, lambda s: s.rstrip("?") + ".", lambda s: f"“{s}”", lambda s: "  ".join(s.split())))
             put(q, pick(COPY_FRAMES) + pick((" ", "\n")).join([shape(q)] * (1 + (i % 9 == 0))), "copy")
@@ -271,10 +289,12 @@ def _fit(x: np.ndarray, y: np.ndarray, rounds: int = 80, l2: float = 2e-4) -> np
     weight = np.where(y > 0, 0.5 / np.maximum(1, y.sum(axis=0)), 0.5 / np.maximum(1, n - y.sum(axis=0))).astype(np.float32)
     w = np.zeros((x.shape[1], k), np.float32)
     m, v = np.zeros_like(w), np.zeros_like(w)
+    free = np.ones_like(w)
+    free[np.ix_([DIMENSIONS + DENSE.index(c) for c in _SHARING], [j for j, d in enumerate(DEFECTS) if d != "swapped"])] = 0
     for t in range(1, rounds + 1):
         grad = x.T @ (weight * (_sigmoid(x @ w) - y)) + l2 * w
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad * grad
-        w -= 0.3 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
+        w -= free * 0.3 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
     return w.T.astype(float)
 
 
