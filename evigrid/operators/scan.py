@@ -28,6 +28,11 @@ def lines_of(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     return docs.select(F.col(doc_id).alias("file"), F.posexplode(F.split(F.col(text), "\n")).alias("i", "line")).select("file", (F.col("i") + 1).alias("line_no"), "line")
 
 
+def line_range(lines: DataFrame, first: int, last: int) -> DataFrame:
+    """Lines ``first`` to ``last`` of each file, both counted."""
+    return lines.where(F.col("line_no").between(first, last))
+
+
 def findings(lines: DataFrame, patterns: list[tuple[str, str, str]]) -> DataFrame:
     """(file, line_no, label, severity, line) for every pattern (regex, label, severity) that a line holds.
 

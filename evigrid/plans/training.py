@@ -82,6 +82,30 @@ def p3_native_items(spark: SparkSession, d: str) -> DataFrame:
     return nested.native_items(table(spark, d, "gaia_traces")).select("trace_id", "step_pos", "item_pos", "value").distinct()
 
 
+def _native(spark: SparkSession, d: str, name: str) -> DataFrame:
+    """The typed traces through the same operator as the lines."""
+    rows = table(spark, d, "gaia_traces").select("trace_id", F.to_json(F.struct("task_id", "question", "model", "answer", "level", "trace")).alias("raw"))
+    return nested.flat_tables(rows, "trace_id", "raw")[name].withColumnRenamed("record_id", "trace_id")
+
+
+def p3_native_traces(spark: SparkSession, d: str) -> DataFrame:
+    return _native(spark, d, "traces").select("trace_id", "task_id", "question", "model", "answer", "level").distinct()
+
+
+def p3_native_steps(spark: SparkSession, d: str) -> DataFrame:
+    return _native(spark, d, "steps").select("trace_id", "step_path", "kind", "tool", "summary").distinct()
+
+
+def p3_native_objects(spark: SparkSession, d: str) -> DataFrame:
+    """Identical objects of the typed traces, stored once, with their number of occurrences."""
+    return _native(spark, d, "objects").select("node_hash", "node", "copies")
+
+
+def p3_native_copies(spark: SparkSession, d: str) -> DataFrame:
+    """How many evidence objects occur how often: each is stored once, whatever its occurrences."""
+    return _native(spark, d, "objects").where("node = 'evidence'").groupBy("copies").agg(F.count("*").alias("objects"))
+
+
 def _fields(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "gaia_samples").select("task_id", "annotator_metadata")
     pairs = F.array(*[F.struct(F.lit(f).alias("field"), F.col("annotator_metadata")[f].alias("text"), F.lit(p).alias("prose")) for f, p in (("Steps", True), ("Tools", False))])
@@ -108,6 +132,10 @@ QUERIES = {
     "p3_items": _flat("items"),
     "p3_objects": _flat("objects"),
     "p3_native_items": p3_native_items,
+    "p3_native_traces": p3_native_traces,
+    "p3_native_steps": p3_native_steps,
+    "p3_native_objects": p3_native_objects,
+    "p3_native_copies": p3_native_copies,
     "p4_found": p4_found,
     "p4_values": p4_values,
 }
@@ -159,6 +187,12 @@ SELECT 'plan_edges' AS tab, kind, reason, month, count(*) AS ends FROM (SELECT D
             ("quote_reports", "trace_id", "gaia_traces", "trace_id", "reported_at"),
         )
     ),
+    "p3_native_copies": """SELECT copies, count(*) AS objects FROM (SELECT v, count(*) AS copies FROM (
+  SELECT trace_id, s, i, trace.steps[s].evidence[i] AS v FROM (SELECT trace_id, k, trace, s, unnest(range(1, len(trace.steps[s].evidence) + 1)) AS i FROM (SELECT trace_id, k, trace, unnest(range(1, len(trace.steps) + 1)) AS s
+    FROM (SELECT DISTINCT trace_id, {'a': task_id, 'b': question, 'c': model, 'd': answer, 'e': level} AS k, trace FROM gaia_traces)))) WHERE trim(v) <> '' GROUP BY v) GROUP BY 1""",
+    "p3_native_traces": "SELECT DISTINCT trace_id, task_id, question, model, answer, level FROM gaia_traces",
+    "p3_native_steps": """SELECT DISTINCT trace_id, s::VARCHAR AS step_path, trace.steps[s].kind AS kind, trace.steps[s].tool AS tool, trace.steps[s].summary AS summary
+FROM (SELECT trace_id, trace, unnest(range(1, len(trace.steps) + 1)) AS s FROM gaia_traces) WHERE trace.steps[s] IS NOT NULL""",
     "p3_native_items": """SELECT DISTINCT trace_id, CAST(s AS INT) AS step_pos, CAST(i AS INT) AS item_pos, trace.steps[s].evidence[i] AS value
 FROM (SELECT trace_id, trace, s, unnest(range(1, len(trace.steps[s].evidence) + 1)) AS i
   FROM (SELECT trace_id, trace, unnest(range(1, len(trace.steps) + 1)) AS s FROM gaia_traces))
