@@ -18,13 +18,15 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 
 
 def with_tokens(docs: DataFrame, text: str = "text", tokenizer_dir: str = TOKENIZERS, name: str = "byte_bpe_50k.tiktoken") -> DataFrame:
-    """All columns but the text, and n_tokens of the whole text; a null text has none."""
+    """All columns but the text, and n_tokens of the whole text; a null text has none. The vocabulary file is read by the driver and shipped to the executors."""
+    docs.sparkSession.sparkContext.addFile(os.path.join(tokenizer_dir, name))
     keep = [c for c in docs.columns if c != text]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import tiktoken
+        from pyspark import SparkFiles
 
-        with open(os.path.join(tokenizer_dir, name), "rb") as f:
+        with open(SparkFiles.get(name), "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         encode = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
         for batch in batches:

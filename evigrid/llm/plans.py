@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from evigrid.llm import consensus, duplicates, leaks, mixture, pairs, spam, truncation
+from evigrid.llm import consensus, consensus_sql, duplicates, leaks, mixture, pairs, spam, truncation
 from evigrid.session import Scratch, table
 
 
@@ -76,24 +76,29 @@ def _votes(spark: SparkSession, d: str, scratch: Scratch) -> DataFrame:
     return scratch.cut(consensus.last_votes(table(spark, d, "judge_runs"), "block_id", "model", "verdict", "recorded_at"))
 
 
-def _consensus(spark: SparkSession, d: str) -> DataFrame:
+def _consensus(spark: SparkSession, d: str, close: float = 1e-4) -> DataFrame:
     scratch = Scratch(spark)
     votes = _votes(spark, d, scratch)
-    return consensus.consensus(votes, consensus.reliabilities(votes, scratch=scratch), minimum=3)
+    return consensus.consensus(votes, consensus.reliabilities(votes, close=close, scratch=scratch), minimum=3)
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return _consensus(spark, d).select(F.col("item").alias("block_id"), "verdict")
 
 
+#: How near the vector must settle where numbers are reported and not only verdicts.
+_CLOSE = 1e-9
+
+
 def p7_agreement(spark: SparkSession, d: str) -> DataFrame:
-    return _consensus(spark, d).withColumnRenamed("item", "block_id")
+    found = _consensus(spark, d, _CLOSE)
+    return found.select(F.col("item").alias("block_id"), "verdict", "n_votes", F.round("agreement", 6).alias("agreement"), F.round("confidence", 5).alias("confidence"))
 
 
 def p7_reliability(spark: SparkSession, d: str) -> DataFrame:
     scratch = Scratch(spark)
-    found = consensus.reliabilities(_votes(spark, d, scratch), scratch=scratch)
-    return found.select(F.col("annotator").alias("model"), "n_votes", "overlap", "reliability", "r")
+    found = consensus.reliabilities(_votes(spark, d, scratch), close=_CLOSE, scratch=scratch)
+    return found.select(F.col("annotator").alias("model"), "n_votes", "overlap", F.round("reliability", 6).alias("reliability"), F.round("r", 6).alias("r"))
 
 
 def p7_votes(spark: SparkSession, d: str) -> DataFrame:
@@ -171,8 +176,8 @@ WHERE trim(trace.steps[s].evidence[i], ' ') <> ''
 UNION SELECT 'quote_reports', CAST(report_id AS VARCHAR), 0, 0, model, quote, quote_length FROM quote_reports WHERE trim(quote, ' ') <> ''""",
     "p6_pairs": """SELECT DISTINCT 'proposals' AS tab, p.block_id AS record_id, p.pos, b.question, p.content AS answer FROM proposals p LEFT JOIN (SELECT DISTINCT id, question FROM blocks) b ON b.id = p.block_id
 UNION SELECT 'gaia_traces', trace_id, 0, question, answer FROM gaia_traces""",
-    "p7_votes": """SELECT block_id, model, verdict FROM (
-  SELECT block_id, model, upper(regexp_replace(verdict, '^\\s+|\\s+$', '', 'g')) AS verdict,
-    row_number() OVER (PARTITION BY block_id, model ORDER BY recorded_at DESC, id DESC) AS n FROM judge_runs)
-WHERE n = 1 AND verdict IN ('ALLOW', 'HOLD', 'BLOCK')""",
+    "p7_votes": consensus_sql.VOTES,
+    "p7_reliability": consensus_sql.RELIABILITY,
+    "p7_agreement": consensus_sql.AGREEMENT,
+    "p7_found": consensus_sql.FOUND,
 }
