@@ -69,7 +69,7 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p6_report(spark: SparkSession, d: str) -> DataFrame:
     """Pairs per table and defect; a pair with several counts for each."""
-    return p6_defects(spark, d).distinct().groupBy("tab", F.explode("defects").alias("defect")).agg(F.count("*").alias("n_pairs"))
+    return p6_defects(spark, d).distinct().select("tab", F.explode("defects").alias("defect")).groupBy("tab", "defect").agg(F.count("*").alias("n_pairs"))
 
 
 def _votes(spark: SparkSession, d: str, scratch: Scratch) -> DataFrame:
