@@ -23,15 +23,20 @@ def latest_steps(history: DataFrame) -> DataFrame:
     return last.where("r.live").select("trace_id", "step_id", "r.grp", "r.idx", "r.description", "r.tools")
 
 
-def profiles(steps: DataFrame, grp: str) -> DataFrame:
-    """Steps of one group with their token and tool sets, their rank in the group, and the group's size."""
+def group_profiles(steps: DataFrame, semantic: bool = False) -> DataFrame:
+    """Steps with their token and tool sets, their rank in their group of their trace, and the group's size, for all groups at once; meanings only for the semantic mode."""
     said = F.coalesce("description", F.lit(""))
-    return ranked(steps.where(F.col("grp") == grp), ["trace_id"], "idx", "step_id").select(
-        "trace_id", "step_id", "pos", "size", T.lexical_tokens(said).alias("tokens"), T.semantic_tokens(said).alias("meanings"),
-        F.array_distinct(F.coalesce("tools", F.array().cast("array<string>"))).alias("tools"),
+    meanings = T.semantic_tokens(said) if semantic else F.array().cast("array<string>")
+    return ranked(steps, ["trace_id", "grp"], "idx", "step_id").select(
+        "trace_id", "step_id", "grp", "pos", "size", T.lexical_tokens(said).alias("tokens"), meanings.alias("meanings"), F.array_distinct(F.coalesce("tools", F.array().cast("array<string>"))).alias("tools")
     )
 
 
+def profiles(steps: DataFrame, grp: str, semantic: bool = False) -> DataFrame:
+    """The profiles of one group."""
+    return group_profiles(steps.where(F.col("grp") == grp), semantic).drop("grp")
+
+
 #: Steps of a trace that stand under one key before the key is split by their positions.
 STRETCH = 256
 

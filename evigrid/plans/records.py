@@ -183,7 +183,7 @@ def accuracy_mismatch_families(spark, d):
 
 
 def segment_diagnostics(spark, d):
-    out = align.segment_diagnostics(*reference._sides(spark, d))
+    out = align.segment_diagnostics(*reference._sides(spark, d, True))
     return out.select("trace_id", "agent_id", F.col("start_pos").cast("int").alias("start_pos"), F.col("len").cast("int").alias("len"), *[F.round(c, 9).alias(c) for c in ("score", "single_score", "improvement")])
 
 

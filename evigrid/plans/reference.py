@@ -309,14 +309,15 @@ def objection_preservation(spark, d):
 # --- alignment ----------------------------------------------------------------------------------
 
 
-def _steps(spark, d):
-    return Scratch(spark).cut(align.latest_steps(table(spark, d, "plan_steps")))
+def _groups(spark, d, *names, semantic=False):
+    """Profiles of several groups, written once together."""
+    steps = align.latest_steps(table(spark, d, "plan_steps")).where(F.col("grp").isin(*names))
+    every = Scratch(spark).cut(align.group_profiles(steps, semantic))
+    return [every.where(F.col("grp") == n).drop("grp") for n in names]
 
 
-def _sides(spark, d, agent="agent:plan"):
-    steps = _steps(spark, d)
-    scratch = Scratch(spark)
-    return scratch.cut(align.profiles(steps, agent)), scratch.cut(align.profiles(steps, "annotator"))
+def _sides(spark, d, semantic=False):
+    return _groups(spark, d, "agent:plan", "annotator", semantic=semantic)
 
 
 def align_candidates(spark, d):
@@ -344,7 +345,7 @@ def align_gaps(spark, d):
 
 def _semantic(spark, d):
     """Both sides, all pairs with content in semantic mode, those that match, and the assignment."""
-    agent, annotator = _sides(spark, d)
+    agent, annotator = _sides(spark, d, True)
     scratch = Scratch(spark)
     content = scratch.cut(align.semantic_candidates(agent, annotator, None))
     passing = content.where(F.col("score") + align.EPSILON >= align.MINIMUM)
@@ -352,7 +353,7 @@ def _semantic(spark, d):
 
 
 def align_semantic_candidates(spark, d):
-    agent, annotator = _sides(spark, d)
+    agent, annotator = _sides(spark, d, True)
     return align.semantic_candidates(agent, annotator).select("trace_id", "agent_id", "annotator_id", F.round("semantic", 9).alias("semantic"), F.round("score", 9).alias("score"))
 
 
@@ -404,8 +405,7 @@ def segment_support(spark, d):
 
 
 def merged_support(spark, d):
-    steps, scratch = _steps(spark, d), Scratch(spark)
-    plan, done, annotator = (scratch.cut(align.profiles(steps, g)) for g in ("agent:plan", "agent:exec", "annotator"))
+    plan, done, annotator = _groups(spark, d, "agent:plan", "agent:exec", "annotator")
     return align.merged_support(annotator, align.assign(align.candidates(plan, annotator)), align.assign(align.candidates(done, annotator)), align.segment_support(plan, annotator)).select("trace_id", "annotator_id", "source", "kind")
 
 
