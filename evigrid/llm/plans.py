@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from evigrid.llm import consensus, consensus_sql, duplicates, leaks, mixture, pairs, spam, truncation
+from evigrid.llm import consensus, consensus_sql, duplicates, duplicates_sql, leaks, mixture, pairs, spam, truncation
 from evigrid.session import Scratch, table
 
 
@@ -169,6 +169,8 @@ QUERIES = {f.__name__: f for f in (
 )}
 
 ORACLE = {
+    "p1_found": duplicates_sql.FOUND,
+    "p1_collapsed": duplicates_sql.COLLAPSED,
     "p1_raw_groups": "SELECT question AS text, count(DISTINCT id) AS n_ids, min(id) AS first_id FROM blocks WHERE question IS NOT NULL GROUP BY 1",
     "p5_values": """SELECT DISTINCT 'gaia_traces' AS tab, trace_id AS record_id, CAST(s AS INT) AS step_pos, CAST(i AS INT) AS item_pos, trace.steps[s].tool AS source, trace.steps[s].evidence[i] AS text, NULL::INT AS reported
 FROM (SELECT trace_id, trace, s, unnest(range(1, len(trace.steps[s].evidence) + 1)) AS i FROM (SELECT trace_id, trace, unnest(range(1, len(trace.steps) + 1)) AS s FROM gaia_traces))
