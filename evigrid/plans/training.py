@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from evigrid.operators import nested, orphans, packed
+from evigrid.plans import nested_sql
 from evigrid.session import table
 
 
@@ -170,6 +171,7 @@ WHERE reason IS NOT NULL GROUP BY ALL"""
 
 
 ORACLE = {
+    "p3_found": nested_sql.FOUND,
     "p2_found": _P2 + "SELECT DISTINCT trace_id, id AS edge_id, side, reason FROM f WHERE reason IS NOT NULL",
     "p2_direct_report": _P2
     + """SELECT 'plan_edges' AS tab, 'direct' AS kind, reason, month, count(*) AS ends
