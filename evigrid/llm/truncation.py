@@ -31,7 +31,7 @@ KINDS = ("marked", "open", "finished", "label")
 CUT_PRIOR, WHOLE_PRIOR = (6.0, 14.0, 0.0, 0.1), (0.0, 0.0, 14.0, 6.0)
 #: Shares that no fit may move, as they state what a cut is: a whole value does not stop within a sentence or carry a mark, and a
 #: cut that falls on the end of a sentence leaves the value whole. What they leave are endings misread.
-MARKED_WHOLE, OPEN_WHOLE, FINISHED_CUT = 2e-4, 1e-3, 2e-4
+MARKED_WHOLE, OPEN_WHOLE, FINISHED_CUT = 1e-6, 1e-3, 2e-4
 #: The same for a reported length that exceeds the value's, or does not.
 LONGER_CUT, LONGER_WHOLE = (8.0, 12.0), (1.0, 19.0)
 #: Chance below which open values at one length are more than chance puts there: a candidate limit.
