@@ -242,8 +242,8 @@ def make_defects(pairs: list[tuple[str, str]], rng: np.random.Generator) -> list
     pick = lambda xs: xs[int(rng.integers(len(xs)))]
 
     def cut(text: str) -> str | None:
-        short = text[: int(len(text) * rng.uniform(0.3, 0.97))].rstrip()
-        return short + pick(("", "", "", "", "...", "…")) if not _STOP.search(short) and len(_WORD.findall(short)) >= 6 else None
+        short = text[: int(len(text) * rng.uniform(0.05, 0.97))].rstrip()
+        return short + pick(("", "", "", "", "...", "…")) if not _STOP.search(short) and len(_WORD.findall(short)) >= 4 else None
 
     for i, (q, a) in enumerate(pairs):
         put(q, a)
@@ -257,7 +257,7 @@ def make_defects(pairs: list[tuple[str, str]], rng: np.random.Generator) -> list
             put(q, (pick(PREAMBLES).format(q=q) if i % 10 == 0 else opener) + pick(REFUSALS) + closer, "refusal")
             put(q, composed[0].upper() + composed[1:], "refusal")
         if i % 3 == 0:
-            shape = pick((str, str.lower, str.upper, str.title, lambda s: s.rstrip("?") + ".", lambda s: f"“{s}”", lambda s: "  ".join(s.split())))
+            shape = pick((str, str.lower, str.upper, str.title, lambda s: s.rstrip("?") + ".", lambda s: s.rstrip("?.") + "...", lambda s: f"“{s}”", lambda s: "  ".join(s.split())))
             put(q, pick(COPY_FRAMES) + pick((" ", "\n")).join([shape(q)] * (1 + (i % 9 == 0))), "copy")
     for i, (q, a) in enumerate(long):
         if short := cut(a):
