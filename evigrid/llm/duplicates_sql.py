@@ -29,8 +29,10 @@ def _flat(x: str) -> str:
 
 _LABELS = r"(^|[^\w])(claim|unit|source|period|asked\s+by)\s*[:=]"
 _CLASSES = f"""raw AS MATERIALIZED (SELECT question AS text, count(DISTINCT id) AS n, min(id) AS first FROM blocks WHERE id IS NOT NULL AND question IS NOT NULL GROUP BY 1),
-pl AS MATERIALIZED (SELECT *, {_plain('text')} AS p FROM raw), fl AS MATERIALIZED (SELECT *, {_flat('p')} AS content, string_split(regexp_replace(p, '{_LABELS}', '\\1' || chr(2) || '\\2' || chr(3), 'g'), chr(2)) AS parts FROM pl),
-fd AS (SELECT text, n, first, content, CASE WHEN len(parts) >= 3 THEN array_to_string(list_sort(list_filter(list_concat([{_flat('parts[1]')}], list_transform(parts[2:], lambda x: {_flat('string_split(x, chr(3))[1]')} || chr(30) || {_flat('string_split(x, chr(3))[2]')})), lambda x: x <> '')), chr(31)) END AS f FROM fl WHERE content <> ''),
+pl AS MATERIALIZED (SELECT *, {_plain('text')} AS p FROM raw), fl AS MATERIALIZED (SELECT *, {_flat('p')} AS content, string_split(regexp_replace(p, '{_LABELS}', '\\1' || chr(2) || '\\2' || chr(3),
+  'g'), chr(2)) AS parts FROM pl),
+fd AS (SELECT text, n, first, content, CASE WHEN len(parts) >= 3 THEN array_to_string(list_sort(list_filter(list_concat([{_flat('parts[1]')}], list_transform(parts[2:],
+  lambda x: {_flat('string_split(x, chr(3))[1]')} || chr(30) || {_flat('string_split(x, chr(3))[2]')})), lambda x: x <> '')), chr(31)) END AS f FROM fl WHERE content <> ''),
 ky AS (SELECT content, coalesce('f:' || max(f), 't:' || content) AS k FROM fd GROUP BY content),
 cl AS MATERIALIZED (SELECT text, n, first, k FROM fd JOIN ky USING (content))"""
 
