@@ -101,7 +101,8 @@ QUERIES = {f.__name__: f for f in (read_jsonl, read_json_documents, read_samples
 ORACLE = {
     "read_jsonl": "WITH " + TRACES + " SELECT task_id, level, model, answer, CAST(coalesce(len(trace.steps), -1) AS INT) AS n_steps, trace.steps[1].summary AS first FROM lt",
     "read_json_documents": "SELECT DISTINCT task_id, level, final_answer FROM gaia_samples",
-    "read_samples": """SELECT task_id, r.q AS question, r.l AS level, r.f AS final_answer, CASE WHEN length(r.q) % 2 = 1 THEN r.p END AS file_path FROM (SELECT task_id, max({'q': question, 'l': level, 'f': final_answer, 'p': file_path}) AS r FROM gaia_samples GROUP BY 1)""",
+    "read_samples": """SELECT task_id, r.q AS question, r.l AS level, r.f AS final_answer, CASE WHEN length(r.q) % 2 = 1 THEN r.p END AS file_path FROM (SELECT task_id,
+  max({'q': question, 'l': level, 'f': final_answer, 'p': file_path}) AS r FROM gaia_samples GROUP BY 1)""",
     "read_gold_map": "SELECT task_id, t AS true_answer, CASE WHEN length(t) % 2 = 1 THEN t || ',x' END AS accepted FROM (SELECT task_id, min(ground_truth) AS t FROM gaia_traces WHERE ground_truth IS NOT NULL GROUP BY 1)",
     "read_source_claims": "WITH " + TRACES + " SELECT trace_id, 'exact' AS support, 'high' AS confidence, length(question) % 3 = 1 AS exact_question FROM lt WHERE length(question) % 3 > 0",
     "line_range": "SELECT doc_id AS file, CAST(i AS INT) AS line_no, l[i] AS line FROM (SELECT doc_id, l, unnest(range(2, least(len(l), 4) + 1)) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents))",

@@ -151,15 +151,21 @@ f AS (SELECT ends.*, CASE WHEN s.step_id IS NULL THEN 'missing' WHEN s.gone THEN
 """
 
 
-_GRAPH = """WITH RECURSIVE nodes AS (SELECT 'blocks:' || id AS k, min(loaded_at) AS t FROM blocks WHERE id IS NOT NULL GROUP BY 1 UNION ALL SELECT 'gaia_traces:' || trace_id, min(loaded_at) FROM gaia_traces WHERE trace_id IS NOT NULL GROUP BY 1
+_GRAPH = """WITH RECURSIVE nodes AS (SELECT 'blocks:' || id AS k, min(loaded_at) AS t FROM blocks WHERE id IS NOT NULL GROUP BY 1 UNION ALL SELECT 'gaia_traces:' || trace_id, min(loaded_at)
+  FROM gaia_traces WHERE trace_id IS NOT NULL GROUP BY 1
 UNION ALL SELECT 'plan_steps:' || trace_id || '/' || step_id, min(loaded_at) FROM plan_steps WHERE trace_id || step_id IS NOT NULL GROUP BY 1),
 gone AS (SELECT 'plan_steps:' || trace_id || '/' || step_id AS k FROM plan_steps GROUP BY 1 HAVING arg_max(deleted, loaded_at)),
-refs AS MATERIALIZED (SELECT DISTINCT * FROM (SELECT 'blocks' AS tab, 'blocks:' || id AS rec, 'blocks.context_refs' AS side, 'blocks:' || unnest(context_refs) AS ref, loaded_at AS seen FROM blocks UNION ALL SELECT 'proposals', 'proposals:' || concat_ws('/', block_id, pos, model), 'proposals.block_id', 'blocks:' || block_id, loaded_at FROM proposals
-UNION ALL SELECT 'judge_runs', 'judge_runs:' || id, 'judge_runs.block_id', 'blocks:' || block_id, ingested_at FROM judge_runs UNION ALL SELECT 'plan_edges', 'plan_edges:' || trace_id || '/' || id, 'plan_edges.src', 'plan_steps:' || trace_id || '/' || src, loaded_at FROM plan_edges UNION ALL SELECT 'plan_edges', 'plan_edges:' || trace_id || '/' || id, 'plan_edges.dst', 'plan_steps:' || trace_id || '/' || dst, loaded_at FROM plan_edges
+refs AS MATERIALIZED (SELECT DISTINCT * FROM (SELECT 'blocks' AS tab, 'blocks:' || id AS rec, 'blocks.context_refs' AS side, 'blocks:' || unnest(context_refs) AS ref, loaded_at AS seen FROM blocks
+  UNION ALL SELECT 'proposals', 'proposals:' || concat_ws('/', block_id, pos, model), 'proposals.block_id', 'blocks:' || block_id, loaded_at FROM proposals
+UNION ALL SELECT 'judge_runs', 'judge_runs:' || id, 'judge_runs.block_id', 'blocks:' || block_id, ingested_at FROM judge_runs UNION ALL SELECT 'plan_edges', 'plan_edges:' || trace_id || '/' || id,
+  'plan_edges.src', 'plan_steps:' || trace_id || '/' || src, loaded_at FROM plan_edges UNION ALL SELECT 'plan_edges', 'plan_edges:' || trace_id || '/' || id, 'plan_edges.dst',
+  'plan_steps:' || trace_id || '/' || dst, loaded_at FROM plan_edges
 UNION ALL SELECT 'quote_reports', 'quote_reports:' || report_id, 'quote_reports.trace_id', 'gaia_traces:' || trace_id, reported_at FROM quote_reports) WHERE ref IS NOT NULL),
-dir AS MATERIALIZED (SELECT * FROM (SELECT r.*, CASE WHEN n.k IS NULL THEN 'missing' WHEN g.k IS NOT NULL THEN 'deleted' WHEN n.t > r.seen THEN 'late' END AS reason FROM refs r LEFT JOIN nodes n ON n.k = r.ref LEFT JOIN gone g ON g.k = r.ref) WHERE reason IS NOT NULL),
+dir AS MATERIALIZED (SELECT * FROM (SELECT r.*, CASE WHEN n.k IS NULL THEN 'missing' WHEN g.k IS NOT NULL THEN 'deleted' WHEN n.t > r.seen THEN 'late' END AS reason FROM refs r LEFT
+  JOIN nodes n ON n.k = r.ref LEFT JOIN gone g ON g.k = r.ref) WHERE reason IS NOT NULL),
 reach AS (SELECT DISTINCT rec FROM dir UNION SELECT r.rec FROM refs r JOIN reach ON r.ref = reach.rec),
-every AS (SELECT tab, rec, side, ref, 'direct' AS kind, reason, strftime(seen, '%Y-%m') AS month FROM dir UNION SELECT r.tab, r.rec, r.side, r.ref, 'inherited', 'inherited', strftime(r.seen, '%Y-%m') FROM refs r WHERE r.ref IN (SELECT rec FROM reach) AND r.rec NOT IN (SELECT rec FROM dir))
+every AS (SELECT tab, rec, side, ref, 'direct' AS kind, reason, strftime(seen, '%Y-%m') AS month FROM dir UNION SELECT r.tab, r.rec, r.side, r.ref, 'inherited', 'inherited', strftime(r.seen, '%Y-%m')
+  FROM refs r WHERE r.ref IN (SELECT rec FROM reach) AND r.rec NOT IN (SELECT rec FROM dir))
 SELECT tab, side, kind, reason, month, count(*) AS refs FROM every GROUP BY ALL"""
 
 
@@ -178,9 +184,12 @@ ORACLE = {
 FROM (SELECT DISTINCT trace_id, id, side, k, reason, strftime(loaded_at, '%Y-%m') AS month FROM f WHERE reason IS NOT NULL) GROUP BY ALL""",
     "p2_graph_report": _GRAPH,
     "p2_report": _P2.replace("WITH s AS", "WITH RECURSIVE s AS") + """, bad AS MATERIALIZED (SELECT DISTINCT trace_id, id FROM f WHERE reason IS NOT NULL),
-reach AS (SELECT DISTINCT e.trace_id, e.dst FROM e JOIN bad USING (trace_id, id) WHERE e.dst IS NOT NULL UNION SELECT e.trace_id, e.dst FROM e JOIN reach r ON r.trace_id = e.trace_id AND r.dst = e.src WHERE e.dst IS NOT NULL)
-SELECT 'plan_edges' AS tab, kind, reason, month, count(*) AS ends FROM (SELECT DISTINCT trace_id, id, side, k, 'direct' AS kind, reason, strftime(loaded_at, '%Y-%m') AS month FROM f WHERE reason IS NOT NULL
-  UNION SELECT DISTINCT e.trace_id, e.id, 'src', e.src, 'inherited', 'inherited', strftime(e.loaded_at, '%Y-%m') FROM e JOIN (SELECT DISTINCT * FROM reach) r ON r.trace_id = e.trace_id AND r.dst = e.src LEFT JOIN bad b ON b.trace_id = e.trace_id AND b.id = e.id WHERE b.id IS NULL) GROUP BY ALL""",
+reach AS (SELECT DISTINCT e.trace_id, e.dst FROM e JOIN bad USING (trace_id, id) WHERE e.dst IS NOT NULL UNION SELECT e.trace_id, e.dst FROM e JOIN reach r ON r.trace_id = e.trace_id
+  AND r.dst = e.src WHERE e.dst IS NOT NULL)
+SELECT 'plan_edges' AS tab, kind, reason, month, count(*) AS ends FROM (SELECT DISTINCT trace_id, id, side, k, 'direct' AS kind, reason, strftime(loaded_at, '%Y-%m') AS month FROM f
+  WHERE reason IS NOT NULL
+  UNION SELECT DISTINCT e.trace_id, e.id, 'src', e.src, 'inherited', 'inherited', strftime(e.loaded_at, '%Y-%m') FROM e JOIN (SELECT DISTINCT * FROM reach) r ON r.trace_id = e.trace_id
+  AND r.dst = e.src LEFT JOIN bad b ON b.trace_id = e.trace_id AND b.id = e.id WHERE b.id IS NULL) GROUP BY ALL""",
     "p2_report_dangling": " UNION ALL ".join(
         _dangling_sql(*x)
         for x in (
@@ -190,7 +199,8 @@ SELECT 'plan_edges' AS tab, kind, reason, month, count(*) AS ends FROM (SELECT D
         )
     ),
     "p3_native_copies": """SELECT copies, count(*) AS objects FROM (SELECT v, count(*) AS copies FROM (
-  SELECT trace_id, s, i, trace.steps[s].evidence[i] AS v FROM (SELECT trace_id, k, trace, s, unnest(range(1, len(trace.steps[s].evidence) + 1)) AS i FROM (SELECT trace_id, k, trace, unnest(range(1, len(trace.steps) + 1)) AS s
+  SELECT trace_id, s, i, trace.steps[s].evidence[i] AS v FROM (SELECT trace_id, k, trace, s, unnest(range(1, len(trace.steps[s].evidence) + 1)) AS i FROM (SELECT trace_id, k, trace, unnest(range(1,
+  len(trace.steps) + 1)) AS s
     FROM (SELECT DISTINCT trace_id, {'a': task_id, 'b': question, 'c': model, 'd': answer, 'e': level} AS k, trace FROM gaia_traces)))) WHERE trim(v) <> '' GROUP BY v) GROUP BY 1""",
     "p3_native_traces": "SELECT DISTINCT trace_id, task_id, question, model, answer, level FROM gaia_traces",
     "p3_native_steps": """SELECT DISTINCT trace_id, s::VARCHAR AS step_path, trace.steps[s].kind AS kind, trace.steps[s].tool AS tool, trace.steps[s].summary AS summary
