@@ -23,7 +23,8 @@ DIMENSIONS, SAMPLE = 1 << 12, 1_200
 
 #: What stands for an answer that is not there (compared in plain form without marks).
 PLACEHOLDERS = frozenset(
-    ("", "na", "none", "null", "nil", "nan", "empty", "nocontent", "noanswer", "noresponse", "missing", "tbd", "todo", "placeholder", "undefined", "blank", "notavailable", "keineantwort", "leer", "keininhalt")
+    ("", "na", "none", "null", "nil", "nan", "empty", "nocontent", "noanswer", "noresponse", "missing", "tbd", "todo", "placeholder", "undefined", "blank", "notavailable", "keineantwort", "leer",
+    "keininhalt")
 )
 #: Frequent function words by language; a text's language is read from their shares.
 LANGUAGES = {
@@ -43,29 +44,39 @@ for _name, _list in LANGUAGES.items():
 #: Usual ways to decline, from which refusals are made for training; openers and closers vary them.
 REFUSALS = (
     "I'm sorry, but I can't help with that request.", "I'm sorry, but I cannot assist with that.", "I cannot comply with this request.", "I am unable to provide an answer to this question.",
-    "Unfortunately I'm not able to assist with this topic.", "As a language model I do not have access to such records, so I must decline.", "As an AI model, I can't answer this.", "I would rather not speculate about this, and I won't give an answer.",
-    "Sorry, no. I have to pass on this one.", "I must decline to answer.", "I don't feel comfortable answering that.", "I can't provide that information.", "It is not possible for me to answer this question.", "I refuse to answer that question.",
-    "Es tut mir leid, aber dabei kann ich nicht helfen.", "Diese Frage kann ich leider nicht beantworten.", "Leider darf ich dazu keine Auskunft geben.", "Ich bin nicht in der Lage, diese Frage zu beantworten.", "Dazu möchte ich mich nicht äußern.", "Als Sprachmodell habe ich darauf keinen Zugriff.",
-    "My guidelines do not allow me to discuss this.", "My guidelines prevent me from talking about this subject.", "This is not something that I can answer.", "Please consult a qualified expert.", "That is outside of what I can talk about.",
-    "Je suis désolé, mais je ne peux pas répondre à cette question.", "Je ne suis pas en mesure de vous aider.", "Lo siento, pero no puedo ayudar con esa solicitud.", "No puedo responder a esta pregunta.",
+    "Unfortunately I'm not able to assist with this topic.", "As a language model I do not have access to such records, so I must decline.", "As an AI model, I can't answer this.",
+    "I would rather not speculate about this, and I won't give an answer.",
+    "Sorry, no. I have to pass on this one.", "I must decline to answer.", "I don't feel comfortable answering that.", "I can't provide that information.",
+    "It is not possible for me to answer this question.", "I refuse to answer that question.",
+    "Es tut mir leid, aber dabei kann ich nicht helfen.", "Diese Frage kann ich leider nicht beantworten.", "Leider darf ich dazu keine Auskunft geben.",
+    "Ich bin nicht in der Lage, diese Frage zu beantworten.", "Dazu möchte ich mich nicht äußern.", "Als Sprachmodell habe ich darauf keinen Zugriff.",
+    "My guidelines do not allow me to discuss this.", "My guidelines prevent me from talking about this subject.", "This is not something that I can answer.", "Please consult a qualified expert.",
+    "That is outside of what I can talk about.",
+    "Je suis désolé, mais je ne peux pas répondre à cette question.", "Je ne suis pas en mesure de vous aider.", "Lo siento, pero no puedo ayudar con esa solicitud.",
+    "No puedo responder a esta pregunta.",
 )
 REFUSAL_FRAMES = (
-    ("", ""), ("Thank you for the question. ", ""), ("", " I hope you understand."), ("", " If you have another question, feel free to ask."), ("Thanks for asking. ", " Maybe someone else can help you further."), ("", " Please contact the responsible office."),
+    ("", ""), ("Thank you for the question. ", ""), ("", " I hope you understand."), ("", " If you have another question, feel free to ask."), ("Thanks for asking. ",
+    " Maybe someone else can help you further."), ("", " Please contact the responsible office."),
     ("Danke für die Frage. ", ""), ("", " Ich bitte um Verständnis."), ("", " Bitte wende dich an die zuständige Stelle."),
 )
 #: Parts from which further refusals are put together, so that the classifier learns how one declines and not a list of sentences.
 REFUSAL_PARTS = (
     (
         ("", "", "Sorry, ", "I'm sorry, but ", "I am sorry, but ", "Unfortunately ", "I apologize, but ", "I'm afraid "),
-        ("I cannot", "I can't", "I am not able to", "I'm not able to", "I am unable to", "I'm unable to", "I won't", "I will not", "I must decline to", "I have to decline to", "I would rather not", "I am not allowed to", "I don't want to", "my guidelines do not allow me to", "my rules forbid me to", "my policies keep me from wanting to"),
+        ("I cannot", "I can't", "I am not able to", "I'm not able to", "I am unable to", "I'm unable to", "I won't", "I will not", "I must decline to", "I have to decline to", "I would rather not",
+        "I am not allowed to", "I don't want to", "my guidelines do not allow me to", "my rules forbid me to", "my policies keep me from wanting to"),
         (" help with", " assist with", " answer", " discuss", " comment on", " respond to", " talk about", " speculate about", " take a position on", " provide information on"),
         (" this", " that", " such a", " your"),
         (" request.", " question.", " topic.", " subject.", " matter.", " claim.", " inquiry."),
-        ("", "", " Perhaps someone else can help you further.", " Perhaps the responsible office can assist you further.", " Maybe a librarian can assist you with it.", " Please ask a qualified expert.", " Please contact the office in charge.", " Let me know if there is anything else I can do.", " I hope you understand."),
+        ("", "", " Perhaps someone else can help you further.", " Perhaps the responsible office can assist you further.", " Maybe a librarian can assist you with it.",
+        " Please ask a qualified expert.", " Please contact the office in charge.", " Let me know if there is anything else I can do.", " I hope you understand."),
     ),
     (
-        ("", "", "Leider ", "Es tut mir leid, aber ", "Entschuldigung, aber "), ("kann ich", "darf ich", "möchte ich", "werde ich"), (" diese Frage", " dieses Anliegen", " diese Bitte", " dieses Thema", " diese Behauptung"), (" nicht", " leider nicht", " so nicht"),
-        (" beantworten.", " kommentieren.", " bearbeiten.", " besprechen.", " beurteilen."), ("", "", " Vielleicht kann jemand anderes weiterhelfen.", " Bitte wenden Sie sich an eine Fachstelle.", " Vielleicht hilft das zuständige Amt weiter.", " Ich bitte um Verständnis."),
+        ("", "", "Leider ", "Es tut mir leid, aber ", "Entschuldigung, aber "), ("kann ich", "darf ich", "möchte ich", "werde ich"), (" diese Frage", " dieses Anliegen", " diese Bitte",
+        " dieses Thema", " diese Behauptung"), (" nicht", " leider nicht", " so nicht"),
+        (" beantworten.", " kommentieren.", " bearbeiten.", " besprechen.", " beurteilen."), ("", "", " Vielleicht kann jemand anderes weiterhelfen.", " Bitte wenden Sie sich an eine Fachstelle.",
+        " Vielleicht hilft das zuständige Amt weiter.", " Ich bitte um Verständnis."),
     ),
 )
 #: How an answer may repeat its question, in sound pairs and in mere copies.
@@ -86,7 +97,8 @@ _STOP = re.compile(r"(?:(?<!\.)\.|[!?。！？])[\"'”’»)\]*_\s]*$")
 _META = re.compile(r"(?:^|[\s(\[])[^\W\d_][\w ]{1,20}:\s*(?:\S{1,80}|[\w ]{1,20})\s*$")
 _CLOSED = re.compile(r"(?:```|\||https?://\S+|(?<![\w-])[\w-]{1,63}(?:\.[\w-]{1,63}){1,8}(?:/\S{0,300})?|^\s*[-*•]\s[^.!?\n]{1,60})\s*$", re.M)
 DENSE = (
-    "bias", "empty", "same", "covered", "prefixed", "rest", "foreign", "foreign_head", "native", "far", "open", "open_long", "elided", "meta", "short", "log_words", "one_line", "shared", "shared_none", "numbers",
+    "bias", "empty", "same", "covered", "prefixed", "rest", "foreign", "foreign_head", "native", "far", "open", "open_long", "elided", "meta", "short", "log_words", "one_line", "shared",
+    "shared_none", "numbers",
 )
 _FIRST = re.compile(r"(?<=[.!?])\s")
 #: What an answer shares with its question tells swapped answers only: made foreign answers never share its figures, true ones may.

@@ -58,8 +58,10 @@ def test_copies_and_counts(spark):
 # --- 5: truncation ------------------------------------------------------------------------------------
 
 ENDS = {
-    "The quote is exact except for a missing comma.": "finished", "The reviewer wants to see the row of the cata": "open", "He said it was done (see catalogue)": "open", "It was done in the end. (see catalogue)": "finished",
-    '"On page ten the archive was sold."': "finished", "Most of the boxes were mo...": "marked", "The plan names steps. [truncated]": "marked", "Status: ok": "label", "248 wool bales (1910)": "label", "https://a.example/b/c": "label",
+    "The quote is exact except for a missing comma.": "finished", "The reviewer wants to see the row of the cata": "open", "He said it was done (see catalogue)": "open",
+    "It was done in the end. (see catalogue)": "finished",
+    '"On page ten the archive was sold."': "finished", "Most of the boxes were mo...": "marked", "The plan names steps. [truncated]": "marked", "Status: ok": "label",
+    "248 wool bales (1910)": "label", "https://a.example/b/c": "label",
     "Ledger, table 10": "label", "65.1": "label", "The score is weak and it is 0.": "open", "Before [...] the audit was done.": "finished", "the idle t�": "marked",
 }
 
@@ -136,7 +138,8 @@ def test_held_out_defects(spark, model):
     ("question", "answer", "defect"),
     [
         ("How many boxes were in the hall?", None, "empty"), ("How many boxes were in the hall?", "[no content]", "empty"), (None, "", "empty"),
-        ("How many boxes were in the hall?", "You asked: HOW MANY boxes were in the hall", "copy"), ("How many boxes were in the hall?", "31 boxes", None), ("How many boxes were in the hall?", "0", None),
+        ("How many boxes were in the hall?", "You asked: HOW MANY boxes were in the hall", "copy"), ("How many boxes were in the hall?", "31 boxes", None), ("How many boxes were in the hall?", "0",
+        None),
         ("How many boxes were in the hall of the museum?", "I'm sorry, but I can't help with that request.", "refusal"),
         ("How many boxes were in the hall of the museum?", "I'm sorry for the earlier confusion, here is the corrected reading. The hall of the museum held 31 boxes in the spring of 1920.", None),
         ("How many boxes were in the hall of the museum?", "Die Kisten in der Halle wurden nur einmal im Jahr gezählt. Niemand konnte sagen, wer den Bericht unterschrieben hat.", "language"),
@@ -265,8 +268,10 @@ QUESTION = "Suppose 185 seed trays reach Sisoleda together with 163 stamp albums
 @pytest.mark.parametrize(
     ("text", "leaks_"),
     [
-        (QUESTION, True), (QUESTION.upper().replace(",", ""), True), ("He wrote: suppose 185 **seed** trays reach <b>Siso-\nleda</b> together with\n> 163 stamp albums, and after Tuesday nobody except", True),
-        ("Suppose 185 seed trays reach Sisoleda together also with 163 stamp and after Tuesday nobody except anyone may touch the 3 spare", True), ("and after Tuesday nobody except Gogumopi may touch the 3 spare barges. That is all.", False), ("", False), ("word " * 50_000, False),
+        (QUESTION, True), (QUESTION.upper().replace(",", ""), True),
+        ("He wrote: suppose 185 **seed** trays reach <b>Siso-\nleda</b> together with\n> 163 stamp albums, and after Tuesday nobody except", True),
+        ("Suppose 185 seed trays reach Sisoleda together also with 163 stamp and after Tuesday nobody except anyone may touch the 3 spare", True),
+        ("and after Tuesday nobody except Gogumopi may touch the 3 spare barges. That is all.", False), ("", False), ("word " * 50_000, False),
     ],
 )
 def test_leaks(spark, text, leaks_):
