@@ -109,8 +109,10 @@ def _broken(rules: list[tuple[str, str, Column]]) -> Column:
 def validate_steps(steps: DataFrame) -> DataFrame:
     """(trace_id, step_id, severity, rule) for each broken rule of a step table; distinct."""
     rules = [
-        ("error", "empty_step_id", _empty(F.col("step_id"))), ("error", "empty_description", _empty(F.col("description"))), ("error", "unknown_group", ~F.coalesce(F.col("grp").isin(*GROUPS), F.lit(False))),
-        ("error", "index_below_one", F.coalesce(F.col("idx") < 1, F.lit(True))), ("error", "confidence_out_of_range", F.coalesce(~F.col("provenance.confidence").between(0, 1), F.lit(False))), ("warning", "no_span", F.col("span_id").isNull()),
+        ("error", "empty_step_id", _empty(F.col("step_id"))), ("error", "empty_description", _empty(F.col("description"))), ("error", "unknown_group", ~F.coalesce(F.col("grp").isin(*GROUPS),
+        F.lit(False))),
+        ("error", "index_below_one", F.coalesce(F.col("idx") < 1, F.lit(True))), ("error", "confidence_out_of_range", F.coalesce(~F.col("provenance.confidence").between(0, 1), F.lit(False))),
+        ("warning", "no_span", F.col("span_id").isNull()),
     ]
     return steps.select("trace_id", "step_id", _broken(rules).alias("b")).select("trace_id", "step_id", "b.severity", "b.rule").distinct()
 
@@ -130,7 +132,8 @@ def validate_records(steps: DataFrame, edges: DataFrame, goals: DataFrame | None
         return rows.select("trace_id", F.lit(part).alias("part"), ref.alias("ref_id"), _broken(rules).alias("b")).select("trace_id", "part", "ref_id", "b.severity", "b.rule")
 
     step_rules = [
-        ("error", "no_id", F.col("step_id").isNull()), ("error", "unknown_group", ~F.coalesce(F.col("grp").isin(*GROUPS), F.lit(False))), ("error", "index_below_one", F.coalesce(F.col("idx") < 1, F.lit(True))),
+        ("error", "no_id", F.col("step_id").isNull()), ("error", "unknown_group", ~F.coalesce(F.col("grp").isin(*GROUPS), F.lit(False))), ("error", "index_below_one", F.coalesce(F.col("idx") < 1,
+        F.lit(True))),
         ("error", "empty_description", _empty(F.col("description"))), ("error", "no_tools", F.col("tools").isNull()), *_provenance_rules("provenance"),
     ]
     out = tell(steps, "step", F.col("step_id"), step_rules)
@@ -152,8 +155,10 @@ def validate_records(steps: DataFrame, edges: DataFrame, goals: DataFrame | None
         out = out.unionByName(tell(flags, "flag", F.col("id"), rules)).unionByName(refer(flags, "flag", "step_id", "unknown_step", None))
     if goals is not None:
         rules = [
-            ("error", "empty_id", _empty(F.col("id"))), ("error", "empty_description", _empty(F.col("description"))), ("error", "empty_task", _empty(F.col("task_id"))), *_provenance_rules("provenance"),
-            ("error", "verified_unknown", F.col("verified").isNull()), ("error", "no_duration", F.col("duration").isNull()), ("warning", "duration_zero", F.coalesce(F.col("duration") == 0, F.lit(False))), ("error", "no_answer", F.col("answer").isNull()),
+            ("error", "empty_id", _empty(F.col("id"))), ("error", "empty_description", _empty(F.col("description"))), ("error", "empty_task", _empty(F.col("task_id"))),
+            *_provenance_rules("provenance"),
+            ("error", "verified_unknown", F.col("verified").isNull()), ("error", "no_duration", F.col("duration").isNull()), ("warning", "duration_zero", F.coalesce(F.col("duration") == 0,
+            F.lit(False))), ("error", "no_answer", F.col("answer").isNull()),
         ]
         bare = goals.join(steps.select("trace_id").distinct(), "trace_id", "left_anti").select("trace_id", F.lit("record").alias("part"), F.col("id").alias("ref_id"), F.lit("warning").alias("severity"), F.lit("no_steps").alias("rule"))
         out = out.unionByName(tell(goals, "goal", F.col("id"), rules)).unionByName(bare)

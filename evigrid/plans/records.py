@@ -39,7 +39,8 @@ def record_validate(spark, d):
     steps = table(spark, d, "plan_steps").select("trace_id", "step_id", "grp", "idx", "description", "tools", "provenance")
     edges = table(spark, d, "plan_edges").select("trace_id", "id", "src", "dst", "provenance").distinct()
     goals = _traces(spark, d).select(
-        "trace_id", F.concat(F.lit("goal:"), "task_id").alias("id"), F.col("question").alias("description"), "task_id", F.struct(F.lit("explicit").alias("origin"), F.lit("trace").alias("sourceEvidence"), F.lit(1.0).alias("confidence")).alias("provenance"),
+        "trace_id", F.concat(F.lit("goal:"), "task_id").alias("id"), F.col("question").alias("description"), "task_id", F.struct(F.lit("explicit").alias("origin"),
+        F.lit("trace").alias("sourceEvidence"), F.lit(1.0).alias("confidence")).alias("provenance"),
         F.col("final_correct").alias("verified"), F.lit(0.0).alias("duration"), "answer",
     )
     return TR.validate_records(steps, edges, goals).groupBy("part", "severity", "rule").agg(F.count("*").alias("n"))

@@ -24,8 +24,10 @@ def one(spark, column, **values):
 @pytest.mark.parametrize(
     ("score", "quote", "reasoning", "want"),
     [
-        (0.0, LONG, "", (0.0, "skipped")), (0.2499, LONG, "", (0.2499, "unsupported")), (0.25, LONG, "", (0.25, "partial")), (0.5624, LONG, "", (0.5624, "partial")), (0.5625, LONG, "", (0.5625, "supported")),
-        (0.5625, None, "", (0.25, "partial")), (0.9, SHORT, "", (0.4, "partial")), (0.3, SHORT, "", (0.3, "partial")), (0.9, "", "", (0.4, "partial")), (0.5, LONG, "used blog rather than the source, wrong source", (0.0, "skipped")),
+        (0.0, LONG, "", (0.0, "skipped")), (0.2499, LONG, "", (0.2499, "unsupported")), (0.25, LONG, "", (0.25, "partial")), (0.5624, LONG, "", (0.5624, "partial")), (0.5625, LONG, "", (0.5625,
+        "supported")),
+        (0.5625, None, "", (0.25, "partial")), (0.9, SHORT, "", (0.4, "partial")), (0.3, SHORT, "", (0.3, "partial")), (0.9, "", "", (0.4, "partial")), (0.5, LONG,
+        "used blog rather than the source, wrong source", (0.0, "skipped")),
         (0.75, LONG, "wrong source", (0.75, "supported")), (0.9, LONG, "cross-step evidence", (0.4, "partial")), (0.4, LONG, "aliasing", (0.4, "partial")),
     ],
 )
@@ -167,8 +169,10 @@ def steps_df(spark, rows):
 
 def test_alignment_cases(spark):
     rows = [("t", "an1", "annotator", 1, "open harbor ledger", ["python"], False, 1), ("t", "an2", "annotator", 2, "count copper kettles", None, False, 1), ("t", "an3", "annotator", 3, "report final tonnage", [], False, 1),
-            ("t", "pl1", "agent:plan", 1, "open harbor ledger count copper kettles", ["python"], False, 1), ("t", "pl2", "agent:plan", 2, None, None, False, 1), ("t", "ex1", "agent:exec", 1, "report final tonnage", [], False, 1),
-            ("t", "old", "agent:exec", 2, "count copper kettles", [], False, 1), ("t", "old", "agent:exec", 2, "count copper kettles", [], True, 2), ("u", "an1", "annotator", 1, "", [], False, 1), (None, "x", "annotator", 1, "", [], False, 1)]
+            ("t", "pl1", "agent:plan", 1, "open harbor ledger count copper kettles", ["python"], False, 1), ("t", "pl2", "agent:plan", 2, None, None, False, 1), ("t", "ex1", "agent:exec", 1,
+            "report final tonnage", [], False, 1),
+            ("t", "old", "agent:exec", 2, "count copper kettles", [], False, 1), ("t", "old", "agent:exec", 2, "count copper kettles", [], True, 2), ("u", "an1", "annotator", 1, "", [], False, 1),
+            (None, "x", "annotator", 1, "", [], False, 1)]
     steps = align.latest_steps(steps_df(spark, rows))
     side = {g: align.profiles(steps, g) for g in ("annotator", "agent:plan", "agent:exec")}
     plan = align.assign(align.candidates(side["agent:plan"], side["annotator"]))
@@ -181,9 +185,12 @@ def test_alignment_cases(spark):
 
 
 PATHS = [
-    ("the ledger was read", "so the ledger was read twice", "exact"), ("the ledger was read...", "the ledger was read twice", "exact"), ("the ledger\n  was read", "the ledger\nwas read", "whitespace-normalized"),
-    ("the first part of it ... the second part of it", "the first part of it and then the second part of it", "fuzzy-truncated"), ("it’s the “ledger”", "it's the \"ledger\"", "unicode-normalized"), ("ﬁnal ledger", "the final ledger", "unicode-normalized"),
-    ('"the ledger was read"', "so the ledger was read twice", "structural-unwrapped"), ("something else", "the ledger", "no-match"), (None, "x", None), ("the second part of it ... the first part of it", "the first part of it and the second part of it", "no-match"),
+    ("the ledger was read", "so the ledger was read twice", "exact"), ("the ledger was read...", "the ledger was read twice", "exact"), ("the ledger\n  was read", "the ledger\nwas read",
+    "whitespace-normalized"),
+    ("the first part of it ... the second part of it", "the first part of it and then the second part of it", "fuzzy-truncated"), ("it’s the “ledger”", "it's the \"ledger\"", "unicode-normalized"),
+    ("ﬁnal ledger", "the final ledger", "unicode-normalized"),
+    ('"the ledger was read"', "so the ledger was read twice", "structural-unwrapped"), ("something else", "the ledger", "no-match"), (None, "x", None),
+    ("the second part of it ... the first part of it", "the first part of it and the second part of it", "no-match"),
 ]
 
 
@@ -379,10 +386,13 @@ def test_balance(spark):
 @pytest.mark.parametrize(
     ("question", "answer", "source", "want"),
     [
-        ("q", "Paris", "It was PARIS  in spring.", ("exact", "high")), ("q", "Paris", "It was not Paris. It is never in paris", ("unsupported", "high")), ("q", "Paris", "It was not Paris. But Paris it is.", ("exact", "high")),
+        ("q", "Paris", "It was PARIS  in spring.", ("exact", "high")), ("q", "Paris", "It was not Paris. It is never in paris", ("unsupported", "high")), ("q", "Paris",
+        "It was not Paris. But Paris it is.", ("exact", "high")),
         ("q", "red; blue", "The red one. A blue one.", ("paraphrase", "medium")), ("q", "red; blue", "The red one. Not blue.", ("unsupported", "medium")),
-        ("What is the translation of the source title?", "the century of the world", "el siglo del mundo", ("paraphrase", "medium")), ("q", "the old gate was open", "the old gate was not open then", ("paraphrase", "high")),
-        ("Give it verbatim", "zebra", "nothing here", ("unsupported", "high")), ("q", "zebra", None, ("unsupported", "medium")), ("q", None, "x y z", ("unsupported", "medium")), ("q", r"a\Eb", r"so a\Eb it is", ("exact", "high")), ("q", "3.5%", "never 3.5% but", ("exact", "high")), ("q", "35 percent", "never 35 percent but", ("unsupported", "high")),
+        ("What is the translation of the source title?", "the century of the world", "el siglo del mundo", ("paraphrase", "medium")), ("q", "the old gate was open", "the old gate was not open then",
+        ("paraphrase", "high")),
+        ("Give it verbatim", "zebra", "nothing here", ("unsupported", "high")), ("q", "zebra", None, ("unsupported", "medium")), ("q", None, "x y z", ("unsupported", "medium")), ("q", r"a\Eb",
+        r"so a\Eb it is", ("exact", "high")), ("q", "3.5%", "never 3.5% but", ("exact", "high")), ("q", "35 percent", "never 35 percent but", ("unsupported", "high")),
     ],
 )
 def test_entailment_branches(spark, question, answer, source, want):
@@ -437,8 +447,10 @@ def test_record_rules(spark):
     flags = spark.createDataFrame([("t", "f", "nowhere", "d", ok), ("t", "f2", None, "d", ok)], f"trace_id string, id string, step_id string, description string, provenance {prov}")
     got = {(r.part, r.ref_id, r.rule) for r in TR.validate_records(steps, edges, goals, flags=flags).collect()}
     assert got == {
-        ("step", "a", "duplicate_id"), ("step", "b", "unknown_group"), ("step", "b", "index_below_one"), ("step", "b", "empty_description"), ("step", "b", "no_tools"), ("step", "b", "unknown_origin"), ("step", "b", "no_source_evidence"), ("step", "b", "confidence_out_of_range"),
-        ("step", None, "no_id"), ("step", None, "no_provenance"), ("edge", "3", "unknown_from"), ("edge", "3", "unknown_to"), ("goal", "h", "empty_description"), ("goal", "h", "empty_task"), ("goal", "h", "verified_unknown"), ("goal", "h", "duration_zero"), ("goal", "h", "no_answer"), ("record", "h", "no_steps"), ("flag", "f", "unknown_step"),
+        ("step", "a", "duplicate_id"), ("step", "b", "unknown_group"), ("step", "b", "index_below_one"), ("step", "b", "empty_description"), ("step", "b", "no_tools"), ("step", "b",
+        "unknown_origin"), ("step", "b", "no_source_evidence"), ("step", "b", "confidence_out_of_range"),
+        ("step", None, "no_id"), ("step", None, "no_provenance"), ("edge", "3", "unknown_from"), ("edge", "3", "unknown_to"), ("goal", "h", "empty_description"), ("goal", "h", "empty_task"), ("goal",
+        "h", "verified_unknown"), ("goal", "h", "duration_zero"), ("goal", "h", "no_answer"), ("record", "h", "no_steps"), ("flag", "f", "unknown_step"),
     }
 
 

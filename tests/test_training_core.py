@@ -180,8 +180,10 @@ def test_orphans_through_tables(spark):
     tables = {k: v.withColumn("side", F.lit("x")).withColumn("kind", F.lit(1)).withColumn("depth", F.lit(1)) for k, v in tables.items()}  # clashing names
     got = orphans.graph_orphans(tables, [("blocks", "refs", "blocks"), ("proposals", "block", "blocks"), ("votes", "proposal", "proposals")]).collect()
     assert {(r.tab, r.record_id, r.side, r.key, r.reason, r.depth) for r in got} == {
-        ("blocks", "a", "blocks.refs", "gone", "missing", 0), ("blocks", "b", "blocks.refs", "a", "inherited", 1), ("blocks", "", "blocks.refs", "b", "inherited", 2), ("proposals", "p", "proposals.block", "b", "inherited", 2),
-        ("proposals", "r", "proposals.block", "d", "late", 0), ("votes", "1", "votes.proposal", "p", "inherited", 3), ("votes", "3", "votes.proposal", "nowhere", "missing", 0), ("votes", "4", "votes.proposal", "r", "inherited", 1),
+        ("blocks", "a", "blocks.refs", "gone", "missing", 0), ("blocks", "b", "blocks.refs", "a", "inherited", 1), ("blocks", "", "blocks.refs", "b", "inherited", 2), ("proposals", "p",
+        "proposals.block", "b", "inherited", 2),
+        ("proposals", "r", "proposals.block", "d", "late", 0), ("votes", "1", "votes.proposal", "p", "inherited", 3), ("votes", "3", "votes.proposal", "nowhere", "missing", 0), ("votes", "4",
+        "votes.proposal", "r", "inherited", 1),
     }
     none = {k: v.limit(0) for k, v in tables.items()}
     assert orphans.graph_orphans(none, [("blocks", "refs", "blocks"), ("proposals", "block", "blocks")]).count() == 0
