@@ -85,28 +85,30 @@ def cascade_orphans(edges: DataFrame, direct: DataFrame, growth: float = 3.0) ->
     records = scratch.cut(edges.where("src IS NOT NULL AND group_id IS NOT NULL").select("group_id", "record_id", "src", "dst", "loaded_at").distinct())
     bad = direct.select("group_id", "record_id").distinct()
     seeds = edges.join(bad, ["group_id", "record_id"], "left_semi").where("dst IS NOT NULL AND group_id IS NOT NULL").select("group_id", F.col("dst").alias("key")).distinct()
-    links = scratch.cut(records.where("dst IS NOT NULL").select("group_id", "src", "dst").distinct())
-    reached = scratch.cut(seeds.withColumn("depth", F.lit(1)))
+    links = scratch.cut(records.where("dst IS NOT NULL").select("group_id", "src", "dst").distinct(), "links")
+    reached = scratch.cut(seeds.withColumn("depth", F.lit(1)), "reached")
     power, known, allowed = 1, reached.count(), growth * links.count()
-    doubling, frontier = True, reached
+    doubling, frontier, parts = True, reached, 0
     while known:
         found = _apply(frontier, links, power)
         if doubling:
-            reached = scratch.cut(reached.unionByName(found).groupBy("group_id", "key").agg(F.min("depth").alias("depth")))
+            reached = scratch.cut(reached.unionByName(found).groupBy("group_id", "key").agg(F.min("depth").alias("depth")), "reached")
             now = reached.count()
             if now == known:
                 break
             known = now
             if doubling := _doubled_size(links) <= allowed:
                 ahead = links.select("group_id", F.col("src").alias("dst"), F.col("dst").alias("end"))
-                links = scratch.cut(links.join(ahead, ["group_id", "dst"]).select("group_id", "src", F.col("end").alias("dst")).distinct())
+                links = scratch.cut(links.join(ahead, ["group_id", "dst"]).select("group_id", "src", F.col("end").alias("dst")).distinct(), "links")
                 power *= 2
             frontier = reached
         else:
             frontier = scratch.cut(found.join(reached.select("group_id", "key"), ["group_id", "key"], "left_anti"))
             if frontier.isEmpty():
                 break
-            reached = reached.unionByName(frontier)
+            reached, parts = reached.unionByName(frontier), parts + 1
+            if parts % 16 == 0:  # one table again, so that a long way down reads few
+                reached = scratch.cut(reached, "reached")
     inherited = (
         records.join(reached.withColumnRenamed("key", "src"), ["group_id", "src"])
         .join(bad, ["group_id", "record_id"], "left_anti")
