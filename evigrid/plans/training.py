@@ -83,6 +83,18 @@ def p3_native_items(spark: SparkSession, d: str) -> DataFrame:
     return nested.native_items(table(spark, d, "gaia_traces")).select("trace_id", "step_pos", "item_pos", "value").distinct()
 
 
+def p3_values(spark: SparkSession, d: str) -> DataFrame:
+    """Evidence and reasoning of the lines that are texts, with their place."""
+    items = nested.flat_tables(table(spark, d, "trace_lines"), "line_id", "raw")["items"]
+    return items.select(F.col("record_id").alias("line_id"), "node", "step_path", "item_pos", "value").distinct()
+
+
+def p3_links(spark: SparkSession, d: str) -> DataFrame:
+    """Every step of the lines with its parent; top steps have the empty path for one."""
+    steps = nested.flat_tables(table(spark, d, "trace_lines"), "line_id", "raw")["steps"]
+    return steps.select(F.col("record_id").alias("line_id"), "step_path", "parent_path", "tool", "kind").distinct()
+
+
 def _native(spark: SparkSession, d: str, name: str) -> DataFrame:
     """The typed traces through the same operator as the lines."""
     rows = table(spark, d, "gaia_traces").select("trace_id", F.to_json(F.struct("task_id", "question", "model", "answer", "level", "trace")).alias("raw"))
@@ -132,6 +144,8 @@ QUERIES = {
     "p3_steps": _flat("steps"),
     "p3_items": _flat("items"),
     "p3_objects": _flat("objects"),
+    "p3_values": p3_values,
+    "p3_links": p3_links,
     "p3_native_items": p3_native_items,
     "p3_native_traces": p3_native_traces,
     "p3_native_steps": p3_native_steps,
@@ -178,6 +192,9 @@ WHERE reason IS NOT NULL GROUP BY ALL"""
 
 ORACLE = {
     "p3_found": nested_sql.FOUND,
+    "p3_values": nested_sql.WALK + " SELECT DISTINCT line_id, node, path AS step_path, CAST(i AS INT) AS item_pos, w ->> '$' AS value FROM good",
+    "p3_links": nested_sql.WALK
+    + " SELECT DISTINCT line_id, path AS step_path, CASE WHEN contains(path, '.') THEN regexp_replace(path, '[.][0-9]+$', '') ELSE '' END AS parent_path, step ->> '$.tool' AS tool, step ->> '$.kind' AS kind FROM walk",
     "p2_found": _P2 + "SELECT DISTINCT trace_id, id AS edge_id, side, reason FROM f WHERE reason IS NOT NULL",
     "p2_direct_report": _P2
     + """SELECT 'plan_edges' AS tab, 'direct' AS kind, reason, month, count(*) AS ends
