@@ -310,20 +310,33 @@ def _fit(x: np.ndarray, y: np.ndarray, rounds: int = 80, l2: float = 2e-4) -> np
     return w.T.astype(float)
 
 
-def _calibrate(score: np.ndarray, y: np.ndarray, rounds: int = 50) -> tuple[float, float]:
-    """Slope and offset of a sigmoid from held-out scores to probabilities, by Newton's method on smoothed targets."""
+def _calibrate(score: np.ndarray, y: np.ndarray, rounds: int = 100) -> tuple[float, float]:
+    """Slope and offset of a sigmoid from held-out scores to probabilities, by Newton's method on smoothed targets.
+
+    A step is halved until it lowers the loss: where the scores part well the curve is nearly flat,
+    and whole steps fling the offset so far that a defect is given to no pair or to every one.
+    """
     hits = y.sum()
     target = np.where(y > 0, (hits + 1) / (hits + 2), 1 / (len(y) - hits + 2))
-    a, b = 1.0, 0.0
+
+    def loss(at: np.ndarray) -> float:
+        z = at[0] * score + at[1]
+        return float((np.logaddexp(0.0, z) - target * z).sum() + 5e-4 * (at[0] - 1) ** 2)
+
+    at = np.array([1.0, 0.0])
+    now = loss(at)
     for _ in range(rounds):
-        p = _sigmoid(a * score + b)
+        p = _sigmoid(at[0] * score + at[1])
         d, h = p - target, np.maximum(p * (1 - p), 1e-9)
-        g = np.array([(d * score).sum() + 1e-3 * (a - 1), d.sum()])
+        g = np.array([(d * score).sum() + 1e-3 * (at[0] - 1), d.sum()])
         hess = np.array([[(h * score * score).sum() + 1e-3, (h * score).sum()], [(h * score).sum(), h.sum() + 1e-6]])
         step = np.linalg.solve(hess, g)
-        a, b = a - step[0], b - step[1]
-        if np.abs(step).max() < 1e-8:
+        while (lower := loss(at - step)) >= now and np.abs(step).max() >= 1e-8:
+            step = step / 2
+        if lower >= now:
             break
+        at, now = at - step, lower
+    a, b = float(at[0]), float(at[1])
     return (a, b) if a > 0 and np.isfinite(a + b) else (1.0, 0.0)
 
 

@@ -171,6 +171,15 @@ def test_late_refusals_and_calibration(spark, model):
         assert abs(p[:, j].mean() - y.mean()) < 0.05
 
 
+@pytest.mark.parametrize(("gap", "hits", "rest"), [(6, 40, 1000), (8, 200, 1000), (8, 200, 3000), (10, 400, 1000), (10, 400, 3000)])
+def test_calibration_of_scores_that_part_well(gap, hits, rest):
+    """Whole Newton steps overshoot on these scores: the defect then went to no pair, to few or to every one."""
+    score = np.concatenate([np.linspace(-gap - 8, -gap + 2, rest), np.linspace(gap - 2, gap + 6, hits)])
+    y = np.repeat([0.0, 1.0], [rest, hits])
+    a, b = pairs._calibrate(score, y)
+    assert ((a * score + b >= 0) == (y > 0)).all()
+
+
 # --- 7: consensus --------------------------------------------------------------------------------------
 
 
